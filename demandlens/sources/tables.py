@@ -118,3 +118,24 @@ def mentions_sql(skill: str = "p_brand", fields: Iterable[str] = ALL_FIELDS) ->
     if "customer" in need:
         sql += " JOIN customer c ON o.o_custkey = c.c_custkey"
     return sql
+
+
+def validation_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-in for the secondary (validation) inputs.
+
+    ``job_skills``: (job_link, job_skills) -- each document's text is the
+    comma-separated skill list. ``postings``: the postings sample, i.e. the
+    documents that carry labels, with job_title <- source, job_level <- lang.
+    """
+    docs = table(spark, sf_dir, "documents")
+    job_skills = docs.select(F.col("doc_id").alias("job_link"), F.col("text").alias("job_skills"))
+    postings = (table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_link"))
+                .join(docs.select(F.col("doc_id").alias("job_link"),
+                                  F.col("source").alias("job_title"),
+                                  F.col("lang").alias("job_level")), "job_link"))
+    return job_skills, postings
+
+
+VALIDATION_POSTINGS_SQL = (
+    "SELECT l.doc_id AS job_link, d.source AS job_title, d.lang AS job_level "
+    "FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
