@@ -139,3 +139,29 @@ def validation_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 VALIDATION_POSTINGS_SQL = (
     "SELECT l.doc_id AS job_link, d.source AS job_title, d.lang AS job_level "
     "FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for user skill profiles: one row per customer, the text lists
+    the part types of the customer's latest order in line order (then by name)
+    (``user_id``, ``skills_text``), raw case and repeats kept."""
+    latest = (table(spark, sf_dir, "orders")
+              .groupBy(F.col("o_custkey").alias("user_id"))
+              .agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("l_orderkey")))
+    lines = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+             .join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey"))
+    # one order's lines: a handful of rows per user
+    return (latest.join(lines, "l_orderkey")
+            .groupBy("user_id")
+            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_type"))),
+                                          lambda x: x["p_type"]), ", ").alias("skills_text")))
+
+
+PROFILES_SQL = """
+SELECT lo.o_custkey AS user_id, string_agg(p.p_type, ', ' ORDER BY l.l_linenumber, p.p_type) AS skills_text
+FROM (SELECT o_custkey, o_orderkey FROM (
+        SELECT o_custkey, o_orderkey,
+               row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
+        FROM orders) WHERE r = 1) lo
+JOIN lineitem l ON l.l_orderkey = lo.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey
+GROUP BY lo.o_custkey"""
