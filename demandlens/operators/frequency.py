@@ -77,7 +77,8 @@ def describe(df: DataFrame, year: str = "posted_year", matched: str | None = "jo
         F.countDistinct("skill").alias("skills"),
         F.countDistinct("skill_category").alias("skill_categories"),
         # distinct years: a handful of values, bounded by the calendar
-        F.array_join(F.sort_array(F.collect_set(F.col(year))), ",").alias("years"),
+        F.array_join(F.transform(F.sort_array(F.collect_set(F.col(year))), lambda y: y.cast("string")),
+                     ",").alias("years"),
         matched_expr.alias("matched_rows"),
     )
 

@@ -165,3 +165,69 @@ FROM (SELECT o_custkey, o_orderkey FROM (
         FROM orders) WHERE r = 1) lo
 JOIN lineitem l ON l.l_orderkey = lo.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey
 GROUP BY lo.o_custkey"""
+
+
+def primary_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-in for the two raw primary files (jobs, skills), with the id
+    defects the key repair exists for.
+
+    jobs (one row per order with status 'F', so about a third of skills stay
+    unmatched): job_id = 11-char zero-padded (orderkey div 2) + (orderkey mod 2),
+    so two jobs share each 11-char prefix; ordinal = orderkey (file order);
+    text metadata with raw case; numbers and dates as text.
+    skills (one row per line item): job_id by line number mod 3 -- the job id
+    as is, 'E' + its first 11 characters, or a junk id; skill = p_brand,
+    upper-cased on even line numbers (case variants); category p_type; level
+    l_returnflag.
+    """
+    jid = F.concat(F.lpad(F.expr("CAST(o_orderkey DIV 2 AS STRING)"), 11, "0"),
+                   F.expr("CAST(o_orderkey % 2 AS STRING)"))
+    orders = table(spark, sf_dir, "orders")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    jobs = (orders.filter(F.col("o_orderstatus") == "F")
+            .join(cust, orders["o_custkey"] == cust["c_custkey"])
+            .join(nation, "c_nationkey")
+            .select(jid.alias("job_id"), F.col("o_orderkey").alias("ordinal"),
+                    F.col("o_orderpriority").alias("job_title"),
+                    F.col("c_mktsegment").alias("experience_level"),
+                    F.col("n_name").alias("country"),
+                    F.col("c_nationkey").cast("string").alias("min_experience_years"),
+                    F.floor("o_totalprice").cast("string").alias("salary_min_usd"),
+                    F.col("o_totalprice").cast("string").alias("salary_max_usd"),
+                    F.year("o_orderdate").cast("string").alias("posted_year"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted_date")))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    own = F.concat(F.lpad(F.expr("CAST(l_orderkey DIV 2 AS STRING)"), 11, "0"),
+                   F.expr("CAST(l_orderkey % 2 AS STRING)"))
+    form = F.col("l_linenumber") % 3
+    skill_id = (F.when(form == 0, own)
+                 .when(form == 1, F.concat(F.lit("E"), F.substring(own, 1, 11)))
+                 .otherwise(F.concat(F.lit("J"), own)))
+    skills = (li.join(part, "l_partkey")
+              .select(skill_id.alias("job_id"),
+                      F.when(F.col("l_linenumber") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("skill"),
+                      F.col("p_type").alias("skill_category"),
+                      F.col("l_returnflag").alias("skill_level")))
+    return jobs, skills
+
+
+PRIMARY_JOBS_SQL = """
+SELECT lpad(CAST(o.o_orderkey // 2 AS VARCHAR), 11, '0') || CAST(o.o_orderkey % 2 AS VARCHAR) AS job_id,
+       o.o_orderkey AS ordinal, o.o_orderpriority AS job_title, c.c_mktsegment AS experience_level,
+       n.n_name AS country, CAST(c.c_nationkey AS VARCHAR) AS min_experience_years,
+       CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS VARCHAR) AS salary_min_usd,
+       CAST(o.o_totalprice AS VARCHAR) AS salary_max_usd,
+       CAST(year(o.o_orderdate) AS VARCHAR) AS posted_year, strftime(o.o_orderdate, '%Y-%m-%d') AS posted_date
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+WHERE o.o_orderstatus = 'F'"""
+
+PRIMARY_SKILLS_SQL = """
+SELECT CASE l.l_linenumber % 3
+         WHEN 0 THEN lpad(CAST(l.l_orderkey // 2 AS VARCHAR), 11, '0') || CAST(l.l_orderkey % 2 AS VARCHAR)
+         WHEN 1 THEN 'E' || substr(lpad(CAST(l.l_orderkey // 2 AS VARCHAR), 11, '0') || CAST(l.l_orderkey % 2 AS VARCHAR), 1, 11)
+         ELSE 'J' || lpad(CAST(l.l_orderkey // 2 AS VARCHAR), 11, '0') || CAST(l.l_orderkey % 2 AS VARCHAR) END AS job_id,
+       CASE WHEN l.l_linenumber % 2 = 0 THEN upper(p.p_brand) ELSE p.p_brand END AS skill,
+       p.p_type AS skill_category, l.l_returnflag AS skill_level
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"""
