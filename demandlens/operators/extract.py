@@ -55,19 +55,43 @@ def phrase_pattern(skill: str, word: bool = True, java: bool = True) -> str:
     return f"{flags}(^|{NON_WORD}){body}({NON_WORD}|$)"
 
 
-def extract_skills(text: Column, skills: Sequence[str], word: bool = True) -> Column:
+# Characters outside ASCII that Unicode case-insensitive matching equates
+# with an ASCII letter (dotless i, long s, Kelvin sign, dotted capital I).
+_FOLD_FROM, _FOLD_TO = "\u0131\u017f\u212a\u0130", "iski"
+
+
+def fold_case(text: Column) -> Column:
+    """Lower-cased text with the four characters above mapped to ASCII."""
+    return F.lower(F.translate(text, _FOLD_FROM, _FOLD_TO))
+
+
+def extract_skills(text: Column, skills: Sequence[str], word: bool = True,
+                   folded: Column | None = None) -> Column:
     """The skills found in ``text`` (each once, taxonomy order); null or
-    blank text gives an empty array."""
-    hits = [F.when(text.rlike(phrase_pattern(s, word)), F.lit(s)) for s in skills]
+    blank text gives an empty array.
+
+    Each regex runs only on texts whose case-folded form (``folded``, see
+    ``fold_case``) contains the skill as a plain substring -- a necessary
+    condition for a match, so the result is exact -- which skips the regex
+    for most (text, skill) pairs.
+    """
+    folded = fold_case(text) if folded is None else folded
+    hits = [F.when(folded.contains(s.lower()) & text.rlike(phrase_pattern(s, word)), F.lit(s)) for s in skills]
     return F.coalesce(F.array_compact(F.array(*hits)), F.array().cast("array<string>"))
 
 
 def apply_extraction(df: DataFrame, text_col: str,
                      taxonomy: Mapping[str, Sequence[str]] = DEFAULT_TAXONOMY,
                      word: bool = True, out: str = "skills_found") -> DataFrame:
-    """Add the ``skills_found`` array column."""
+    """Add the ``skills_found`` array column.
+
+    The folded text is a column of its own first: referenced once per skill,
+    it is computed once per row instead of once per skill.
+    """
     skills = [s for _, s in flatten_taxonomy(taxonomy)]
-    return df.withColumn(out, extract_skills(F.col(text_col), skills, word))
+    return (df.withColumn("_folded", fold_case(F.col(text_col)))
+              .withColumn(out, extract_skills(F.col(text_col), skills, word, F.col("_folded")))
+              .drop("_folded"))
 
 
 def explode_skills(df: DataFrame, col: str = "skills_found", out: str = "skill") -> DataFrame:

@@ -118,8 +118,10 @@ def trending_list(df: DataFrame, top_n: int = TREND_TOP_N) -> Column:
     """The top-n trending skills (A16) as one array, in rank order; a scalar
     subquery over at most top_n rows."""
     ranked = trending_score(df, top_n)
+    # canonical names (lower-case, as trending names are) computed once, inside
+    # the subquery, so the per-profile expressions only read the finished list
     return ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "skill"))),
-                                  lambda x: x["skill"])).scalar()
+                                  lambda x: F.lower(canonical_skill(x["skill"])))).scalar()
 
 
 def _match(a: Column, b: Column) -> Column:
@@ -133,20 +135,22 @@ def _match(a: Column, b: Column) -> Column:
 def skill_gap(parsed: DataFrame, trending: Column) -> DataFrame:
     """Matched user skills, missing trending skills (by exact
     lower-case name, so a partial match still leaves the trending skill
-    missing) and the first five as priority."""
-    # the trending array is a scalar subquery; materialise it as a column
-    # first, since a subquery may not sit inside a higher-order function
-    parsed = parsed.withColumn("_trending", trending)
-    trend = F.transform(F.col("_trending"), lambda t: canonical_skill(t))
-    matched = F.filter(F.col("user_skills"), lambda u: F.exists(F.col("trending_skills"), lambda t: _match(u, t)))
-    missing = F.filter(F.col("trending_skills"),
-                       lambda t: ~F.array_contains(F.transform(F.col("matched_skills"), lambda m: F.lower(m)),
-                                                   F.lower(t)))
-    return (parsed.withColumn("trending_skills", F.when(F.col("valid"), trend))
-                  .withColumn("matched_skills", matched)
-                  .withColumn("missing_skills", missing)
-                  .withColumn("priority_skills", F.slice(F.col("missing_skills"), 1, PRIORITY_N))
-                  .drop("_trending"))
+    missing) and the first five as priority.
+
+    ``trending`` is the canonical, lower-case trending list (``trending_list``).
+    Every lambda below reads only its own variables and that list: a lambda
+    that referenced another derived column would get that column's whole
+    expression inlined by the optimizer and re-run per array element.
+    """
+    # a subquery may not sit inside a higher-order function: hold it in a column
+    df = parsed.withColumn("_trending", trending)
+    matched = F.filter(F.col("user_skills"), lambda u: F.exists(F.col("_trending"), lambda t: _match(u, t)))
+    df = df.withColumn("matched_skills", matched)
+    missing = F.array_except(F.col("_trending"), F.transform(F.col("matched_skills"), lambda m: F.lower(m)))
+    return (df.withColumn("missing_skills", missing)
+              .withColumn("priority_skills", F.slice(F.col("missing_skills"), 1, PRIORITY_N))
+              .withColumn("trending_skills", F.when(F.col("valid"), F.col("_trending")))
+              .drop("_trending"))
 
 
 def _join(c: Column) -> Column:

@@ -99,21 +99,27 @@ def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_
                       F.col(year).cast("int").alias("posted_year"))
               .filter(F.col("posted_year").isNotNull()))
     annual = annual_share(rows)
-    last_year = annual.agg(F.max("posted_year")).scalar()
-    first_year = annual.agg(F.min("posted_year")).scalar()
-    recent_from = last_year - F.lit(TREND_RECENT_YEARS)
-    n_recent = (annual.filter(F.col("posted_year") >= recent_from)
-                      .agg(F.countDistinct("posted_year")).scalar())
-    n_rows_with_skill = rows.filter(F.col("skill").isNotNull()).agg(F.count(F.lit(1))).scalar()
-    per_skill = (annual.filter(F.col("skill").isNotNull())
-                 .groupBy("skill")
-                 .agg(F.sum(F.when(F.col("posted_year") >= recent_from, F.col("share"))).alias("recent_sum"),
-                      F.coalesce(F.max(F.when(F.col("posted_year") == last_year, F.col("share"))), F.lit(0.0)).alias("share_last"),
-                      F.coalesce(F.max(F.when(F.col("posted_year") == first_year, F.col("share"))), F.lit(0.0)).alias("share_first"),
-                      F.sum("mentions").alias("mentions")))
+    # Both scalars come from the aggregated table and merge into one job: the
+    # sorted distinct years (a calendar-bounded list) and the rows with a skill.
+    years = annual.agg(F.sort_array(F.collect_set("posted_year"))).scalar()
+    n_rows_with_skill = annual.agg(F.sum(F.when(F.col("skill").isNotNull(), F.col("mentions")))).scalar()
+    scope = (annual.filter(F.col("skill").isNotNull())
+                   .withColumn("_years", years)
+                   .withColumn("_last", F.array_max("_years"))
+                   .withColumn("_first", F.array_min("_years")))
+    recent = F.col("posted_year") >= F.col("_last") - TREND_RECENT_YEARS
+    per_skill = (scope.groupBy("skill")
+                 .agg(F.sum(F.when(recent, F.col("share"))).alias("recent_sum"),
+                      F.coalesce(F.max(F.when(F.col("posted_year") == F.col("_last"), F.col("share"))),
+                                 F.lit(0.0)).alias("share_last"),
+                      F.coalesce(F.max(F.when(F.col("posted_year") == F.col("_first"), F.col("share"))),
+                                 F.lit(0.0)).alias("share_first"),
+                      F.sum("mentions").alias("mentions"),
+                      F.first(F.size(F.filter("_years", lambda y: y >= F.col("_last") - TREND_RECENT_YEARS)))
+                       .alias("n_recent")))
     scored = per_skill.select(
         "skill",
-        (F.coalesce(F.col("recent_sum"), F.lit(0.0)) / n_recent).alias("recent_share"),
+        (F.coalesce(F.col("recent_sum"), F.lit(0.0)) / F.col("n_recent")).alias("recent_share"),
         (F.col("share_last") - F.col("share_first")).alias("share_change"),
         (F.col("mentions") / n_rows_with_skill).alias("overall_share"),
     ).withColumn(

@@ -8,6 +8,7 @@ from demandlens.operators import extract, gap, quality
 from demandlens.plans.cleaning import CLEAN_CTE, clean_long
 from demandlens.plans.gap import GAP_CTE, _gap
 from demandlens.plans.registry import query
+from demandlens.session import spread
 from demandlens.sources.tables import table
 
 _FLAT = extract.flatten_taxonomy()
@@ -27,7 +28,7 @@ WITH tax(category, skill) AS (VALUES {_TAX_VALUES}),
 h AS ({_HITS})
 SELECT h.doc_id, h.skill, coalesce(tax.category, 'Unknown') AS category FROM h LEFT JOIN tax USING (skill)""")
 def q_taxonomy_extract(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = extract.explode_skills(extract.apply_extraction(docs, "text"))
     return extract.attach_category(found.select("doc_id", "skill"), extract.taxonomy_frame(spark))
 
@@ -43,10 +44,12 @@ FROM sub GROUP BY skill""")
 def q_extraction_counts(spark, sf_dir):
     """Per skill, documents matching it as a plain substring (X5) and as a
     whole phrase (X2); skills with no substring hit are absent."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     skills = [s for _, s in _FLAT]
-    both = (docs.select("doc_id", extract.extract_skills(F.col("text"), skills, word=False).alias("sub"),
-                        extract.extract_skills(F.col("text"), skills, word=True).alias("wrd")))
+    docs = docs.withColumn("_folded", extract.fold_case(F.col("text")))
+    both = docs.select("doc_id",
+                       extract.extract_skills(F.col("text"), skills, False, F.col("_folded")).alias("sub"),
+                       extract.extract_skills(F.col("text"), skills, True, F.col("_folded")).alias("wrd"))
     sub = both.select(F.explode("sub").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("docs_substring"))
     wrd = both.select(F.explode("wrd").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("docs_word"))
     return (sub.join(wrd, "skill", "left")

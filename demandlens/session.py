@@ -69,3 +69,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         chosen = tempfile.mkdtemp(prefix="demandlens-ckpt-")
     spark.sparkContext.setCheckpointDir(chosen)
     return chosen
+
+
+def spread(df, spark: SparkSession | None = None):
+    """Spread CPU-heavy per-row work (whole-text regexes) over the cluster's
+    parallelism when the scan yields fewer partitions than that (e.g. a
+    single large row group). At scale a scan has far more partitions than
+    cores and this is a no-op, so no shuffle is added there."""
+    spark = spark or df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

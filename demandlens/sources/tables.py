@@ -24,6 +24,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandlens.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -45,10 +47,15 @@ ALL_FIELDS = tuple(_FIELD_SOURCE)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table (a parquet file or directory)."""
+    """One driver table (a parquet file or directory).
+
+    A scan with fewer partitions than the cluster's parallelism (here: one
+    large row group per file) is spread round-robin so the work after it is
+    not single-threaded; a scan of many files is left as it is.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), spark)
 
 
 def mentions(spark: SparkSession, sf_dir: str, skill: str = "p_brand",
