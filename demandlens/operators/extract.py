@@ -95,8 +95,14 @@ def apply_extraction(df: DataFrame, text_col: str,
 
 
 def explode_skills(df: DataFrame, col: str = "skills_found", out: str = "skill") -> DataFrame:
-    """One row per found skill; rows with no skill disappear."""
-    return df.withColumn(out, F.explode(F.col(col))).drop(col)
+    """One row per found skill; rows with no skill disappear.
+
+    Written as ``explode_outer`` + a null filter: a plain ``explode`` lets the
+    optimizer infer ``size(array) > 0`` and push that copy of the whole
+    extraction below the repartition onto the scan, running it twice.
+    """
+    return (df.withColumn(out, F.explode_outer(F.col(col))).drop(col)
+              .filter(F.col(out).isNotNull()))
 
 
 def flatten_nested(col: Column) -> Column:

@@ -50,8 +50,10 @@ def q_extraction_counts(spark, sf_dir):
     both = docs.select("doc_id",
                        extract.extract_skills(F.col("text"), skills, False, F.col("_folded")).alias("sub"),
                        extract.extract_skills(F.col("text"), skills, True, F.col("_folded")).alias("wrd"))
-    sub = both.select(F.explode("sub").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("docs_substring"))
-    wrd = both.select(F.explode("wrd").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("docs_word"))
+    sub = (extract.explode_skills(both.select("sub"), "sub").groupBy("skill")
+           .agg(F.count(F.lit(1)).alias("docs_substring")))
+    wrd = (extract.explode_skills(both.select("wrd"), "wrd").groupBy("skill")
+           .agg(F.count(F.lit(1)).alias("docs_word")))
     return (sub.join(wrd, "skill", "left")
                .select("skill", "docs_substring", F.coalesce("docs_word", F.lit(0)).cast("bigint").alias("docs_word")))
 
