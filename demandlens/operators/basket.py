@@ -126,28 +126,41 @@ def association_rules(itemsets: DataFrame) -> DataFrame:
     rules = (split.withColumn("ak", F.array_join("ante", _KEY_SEP))
                   .withColumn("ck", F.array_join("cons", _KEY_SEP))
                   .join(a_sup, "ak").join(c_sup, "ck"))
-    s, a, c = F.col("support"), F.col("antecedent_support"), F.col("consequent_support")
-    conf = s / a
-    leverage = s - a * c
-    zden = F.greatest(s * (1 - a), a * (c - s))
-    return rules.select(
+    return rule_metrics(rules).select(
         F.array_join("ante", ", ").alias("antecedents"),
         F.array_join("cons", ", ").alias("consequents"),
         F.col("ante").alias("antecedent_items"),
         F.col("cons").alias("consequent_items"),
-        a, c, s,
-        conf.alias("confidence"),
-        (conf / c).alias("lift"),
-        F.lit(1.0).alias("representativity"),
-        leverage.alias("leverage"),
-        F.when(conf == 1, F.lit(float("inf"))).otherwise((1 - c) / (1 - conf)).alias("conviction"),
-        F.when(zden == 0, F.lit(0.0)).otherwise(leverage / zden).alias("zhangs_metric"),
-        (s / (a + c - s)).alias("jaccard"),
-        F.when(1 - c == 0, F.lit(0.0)).otherwise((conf - c) / (1 - c)).alias("certainty"),
-        ((s / a + s / c) / 2).alias("kulczynski"),
+        *RULE_METRICS,
     )
 
 
+RULE_METRICS = ["antecedent_support", "consequent_support", "support", "confidence", "lift",
+                "representativity", "leverage", "conviction", "zhangs_metric", "jaccard",
+                "certainty", "kulczynski"]
+
+
+def rule_metrics(df: DataFrame) -> DataFrame:
+    """The metric columns of a rule from its three supports (columns
+    ``antecedent_support``, ``consequent_support``, ``support``); the zero
+    denominators follow mlxtend (conviction inf, zhang and certainty 0)."""
+    s, a, c = F.col("support"), F.col("antecedent_support"), F.col("consequent_support")
+    conf = s / a
+    leverage = s - a * c
+    zden = F.greatest(s * (1 - a), a * (c - s))
+    return df.withColumns({
+        "confidence": conf,
+        "lift": conf / c,
+        "representativity": F.lit(1.0),
+        "leverage": leverage,
+        "conviction": F.when(conf == 1, F.lit(float("inf"))).otherwise((1 - c) / (1 - conf)),
+        "zhangs_metric": F.when(zden == 0, F.lit(0.0)).otherwise(leverage / zden),
+        "jaccard": s / (a + c - s),
+        "certainty": F.when(1 - c == 0, F.lit(0.0)).otherwise((conf - c) / (1 - c)),
+        "kulczynski": (s / a + s / c) / 2,
+    })
+
+
 def select_rules(rules: DataFrame,
                  tier1: tuple[float, float] = (DEFAULT_LIFT_THRESHOLD, DEFAULT_CONF_THRESHOLD),
                  tier2: tuple[float, float] = (FALLBACK_LIFT_THRESHOLD, FALLBACK_CONF_THRESHOLD)) -> DataFrame:
