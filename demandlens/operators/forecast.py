@@ -116,10 +116,12 @@ def interval_forecast(series: DataFrame, min_points: int = MIN_DATAPOINTS_REQUIR
     raw = F.col("slope") * F.col("forecast_year") + F.col("intercept")
     f = (f.withColumn("ci_lower", F.greatest(F.lit(0.0), raw - half))
           .withColumn("ci_upper", raw + half))
-    wide = (F.col("ci_upper") - F.col("ci_lower")) > F.col("forecast_value") * WIDTH_FALLBACK_RATIO
+    f = f.withColumn("_wide", (F.col("ci_upper") - F.col("ci_lower")) > F.col("forecast_value") * WIDTH_FALLBACK_RATIO)
+    wide = F.col("_wide")
     return (f.withColumn("method", F.when(wide, F.lit("linear_trend")).otherwise(F.lit("linear_interval")))
              .withColumn("ci_lower", F.when(wide, F.lit(None)).otherwise(F.col("ci_lower")))
-             .withColumn("ci_upper", F.when(wide, F.lit(None)).otherwise(F.col("ci_upper"))))
+             .withColumn("ci_upper", F.when(wide, F.lit(None)).otherwise(F.col("ci_upper")))
+             .drop("_wide"))
 
 
 def top_skill_forecasts(df: DataFrame, k: int = 10, year: str = "posted_year",
