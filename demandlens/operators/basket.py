@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandlens.operators.frequency import top_skill_list
 
 # Support, lift and confidence thresholds with their fallbacks,
 # and the top-n item limits.
@@ -35,17 +34,27 @@ FALLBACK_TOP_N = 15
 _KEY_SEP = "\u0001"  # joins sorted items into a lookup key
 
 
-def baskets(df: DataFrame, item: str = "skill", key: str = "job_id", min_len: int = 2) -> DataFrame:
-    """(job_id, n_items, items) -- n_items counts repeats, items are the
-    sorted distinct items; jobs with n_items < min_len are dropped."""
-    per_item = (df.filter(F.col(item).isNotNull())
-                  .groupBy(F.col(key).alias("job_id"), F.col(item).alias("item"))
-                  .agg(F.count(F.lit(1)).alias("k")))
+def item_counts(df: DataFrame, item: str = "skill", key: str = "job_id") -> DataFrame:
+    """(job_id, item, k): mentions of each item per job, a partial aggregate
+    (a hot job is reduced per task before the shuffle)."""
+    return (df.filter(F.col(item).isNotNull())
+              .groupBy(F.col(key).alias("job_id"), F.col(item).alias("item"))
+              .agg(F.count(F.lit(1)).alias("k")))
+
+
+def baskets_from_counts(per_item: DataFrame, min_len: int = 2) -> DataFrame:
+    """(job_id, n_items, items) from ``item_counts``; n_items counts repeats."""
     return (per_item.groupBy("job_id")
                     .agg(F.sum("k").alias("n_items"), F.sort_array(F.collect_list("item")).alias("items"))
                     .filter(F.col("n_items") >= min_len))
 
 
+def baskets(df: DataFrame, item: str = "skill", key: str = "job_id", min_len: int = 2) -> DataFrame:
+    """(job_id, n_items, items) -- n_items counts repeats, items are the
+    sorted distinct items; jobs with n_items < min_len are dropped."""
+    return baskets_from_counts(item_counts(df, item, key), min_len)
+
+
 def basket_stats(df: DataFrame, item: str = "skill", key: str = "job_id", min_len: int = 2) -> DataFrame:
     """Jobs, mean list length over all jobs, and jobs with >= min_len items."""
     per_job = (df.filter(F.col(item).isNotNull()).groupBy(key)
@@ -60,10 +69,14 @@ def basket_stats(df: DataFrame, item: str = "skill", key: str = "job_id", min_le
 def mining_baskets(df: DataFrame, top_n: int = DEFAULT_TOP_N, item: str = "skill",
                    key: str = "job_id", min_len: int = 2) -> DataFrame:
     """M1: keep only the top-n items by raw count, then the baskets whose
-    filtered list still has >= min_len entries (repeats counted)."""
-    top = top_skill_list(df.select(F.col(item).alias("skill")), top_n)
-    kept = df.select(F.col(key).alias(key), F.col(item).alias("skill")).join(F.broadcast(top), "skill", "left_semi")
-    return baskets(kept, "skill", key, min_len)
+    filtered list still has >= min_len entries (repeats counted).
+
+    The top-n list and the baskets both come from one (job, item, k)
+    aggregate, so the input is scanned and joined once."""
+    per_item = item_counts(df, item, key)
+    top = (per_item.groupBy("item").agg(F.sum("k").alias("mentions"))
+                   .orderBy(F.desc("mentions"), F.asc("item")).limit(top_n).select("item"))
+    return baskets_from_counts(per_item.join(F.broadcast(top), "item", "left_semi"), min_len)  # top: <= n rows
 
 
 def onehot(bask: DataFrame, items: list[str]) -> DataFrame:
@@ -89,15 +102,23 @@ def frequent_itemsets(bask: DataFrame, min_support: float = DEFAULT_MIN_SUPPORT,
     """
     from pyspark.ml.fpm import FPGrowth
 
+    from demandlens.session import checkpoint_dir
+
+    checkpoint_dir(bask.sparkSession)  # the session's shared folder (set only in local runs)
     n = bask.agg(F.count(F.lit(1))).scalar()
 
     def mine(support: float) -> DataFrame:
         model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(bask.select("items"))
-        return (model.freqItemsets
-                .select(F.sort_array("items").alias("items"), F.col("freq").cast("bigint").alias("freq"))
-                .withColumn("support", F.col("freq") / n)
-                .filter(F.col("support") >= support)
-                .withColumn("n_items", F.size("items")))
+        found = (model.freqItemsets
+                 .select(F.sort_array("items").alias("items"), F.col("freq").cast("bigint").alias("freq"))
+                 .withColumn("support", F.col("freq") / n)
+                 .filter(F.col("support") >= support)
+                 .withColumn("n_items", F.size("items")))
+        # The itemsets come from an RDD that would re-run FP-growth at every
+        # use (emptiness test, both support lookups of the rules, the tier
+        # test). They are few rows: checkpoint them once to the shared folder,
+        # which also cuts the lineage back to the baskets.
+        return found.checkpoint(eager=True)
 
     found = mine(min_support)
     if fallback_support is not None and found.limit(1).count() == 0:

@@ -19,20 +19,24 @@ _PAIRS = ("flatten(transform(sequence(1, size(s) - 1), i -> "
           "transform(sequence(i + 1, size(s)), j -> named_struct('a', s[i - 1], 'b', s[j - 1]))))")
 
 
-def job_skill_sets(df: DataFrame, top: DataFrame, key: str = "job_id") -> DataFrame:
-    """(job, sorted distinct skills of the job that are in ``top``); only jobs
-    with at least two such skills."""
-    distinct = (df.filter(F.col("skill").isNotNull())
-                  .join(F.broadcast(top), "skill", "left_semi")  # top: <= n rows
-                  .select(key, "skill").distinct())  # partial aggregate per task
-    return (distinct.groupBy(key).agg(F.sort_array(F.collect_list("skill")).alias("s"))
-                    .filter(F.size("s") >= 2))
+def job_skill_sets(df: DataFrame, top_n: int, key: str = "job_id") -> DataFrame:
+    """(job, sorted distinct skills of the job among the top-n skills); only
+    jobs with at least two such skills. The top-n list (by raw mentions) and
+    the sets come from one (job, skill, k) aggregate, so the input is scanned
+    and joined once."""
+    per = (df.filter(F.col("skill").isNotNull())
+             .groupBy(key, "skill").agg(F.count(F.lit(1)).alias("k")))  # partial aggregate per task
+    top = (per.groupBy("skill").agg(F.sum("k").alias("mentions"))
+              .orderBy(F.desc("mentions"), F.asc("skill")).limit(top_n).select("skill"))
+    return (per.join(F.broadcast(top), "skill", "left_semi")  # top: <= n rows
+               .groupBy(key).agg(F.sort_array(F.collect_list("skill")).alias("s"))
+               .filter(F.size("s") >= 2))
 
 
 def cooccurrence_pairs(df: DataFrame, top_n: int = 11, key: str = "job_id") -> DataFrame:
     """K1: (skill_a, skill_b, co_occurrence) with skill_a < skill_b, counted
     over jobs, for the top-n skills."""
-    sets = job_skill_sets(df, top_skill_list(df, top_n), key)
+    sets = job_skill_sets(df, top_n, key)
     pairs = sets.select(F.explode(F.expr(_PAIRS)).alias("p"))
     return (pairs.groupBy(F.col("p.a").alias("skill_a"), F.col("p.b").alias("skill_b"))
                  .agg(F.count(F.lit(1)).alias("co_occurrence")))
