@@ -32,9 +32,18 @@ def annual_share(df: DataFrame, year: str = "posted_year", skill: str = "skill")
     annual = (df.filter(F.col(year).isNotNull())
                 .groupBy(F.col(year).alias("posted_year"), F.col(skill).alias("skill"))
                 .agg(F.count(F.lit(1)).alias("mentions")))
-    # per-year totals from the aggregated rows (years x vocabulary), no 2nd scan
-    w = Window.partitionBy("posted_year")
-    return (annual.withColumn("year_total", F.sum("mentions").over(w))
+    return with_year_share(annual)
+
+
+def with_year_share(annual: DataFrame) -> DataFrame:
+    """Add year_total and share to (posted_year, skill, mentions) rows.
+
+    Per-year totals come from the aggregated rows (no second scan of the
+    input): one row per year, a calendar-bounded table, broadcast back. A
+    window by year would put a whole year's vocabulary into one task.
+    """
+    totals = annual.groupBy("posted_year").agg(F.sum("mentions").alias("year_total"))
+    return (annual.join(F.broadcast(totals), "posted_year")
                   .withColumn("share", F.col("mentions") / F.col("year_total")))
 
 

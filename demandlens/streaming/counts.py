@@ -64,7 +64,5 @@ def start_running_counts(spark: SparkSession, folder: str, output: str, name: st
 def annual_share_of(counts: DataFrame) -> DataFrame:
     """Batch view of the running counts as annual shares (same columns as the
     batch ``annual_share`` operator)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("posted_year")
-    return (counts.withColumn("year_total", F.sum("mentions").over(w))
-                  .withColumn("share", F.col("mentions") / F.col("year_total")))
+    from demandlens.operators.trends import with_year_share
+    return with_year_share(counts.select("posted_year", "skill", "mentions"))
