@@ -71,11 +71,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return chosen
 
 
-def spread(df, spark: SparkSession | None = None):
-    """Spread CPU-heavy per-row work (whole-text regexes) over the cluster's
-    parallelism when the scan yields fewer partitions than that (e.g. a
-    single large row group). At scale a scan has far more partitions than
-    cores and this is a no-op, so no shuffle is added there."""
+# Below this input size a single-task scan is cheaper than a round-robin shuffle.
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
+
+def input_bytes(df) -> int:
+    """Total size of the files behind a file-source DataFrame (Hadoop FS, so
+    it works for cluster storage as well as local paths)."""
+    sc = df.sparkSession.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
+def spread(df, spark: SparkSession | None = None, min_bytes: int = SPREAD_MIN_BYTES):
+    """Spread the work after a scan over the cluster's parallelism when the
+    scan yields fewer partitions than that (e.g. one large row group read by
+    a single task) and the input is large enough to be worth a round-robin
+    shuffle. At scale a scan has far more partitions than cores and this is a
+    no-op, so no shuffle is added there."""
     spark = spark or df.sparkSession
     want = spark.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want or input_bytes(df) < min_bytes:
+        return df
+    return df.repartition(want)
