@@ -103,3 +103,39 @@ def subset_violations(recommended: DataFrame, allowed: DataFrame, key: str = "sk
 def nonempty(df: DataFrame) -> bool:
     """Q12: the table has at least one row (reads at most one row)."""
     return df.limit(1).count() > 0
+
+
+class StepLog:
+    """Row counts at named steps of a plan, gathered with
+    ``DataFrame.observe`` while the plan's own action runs (no extra pass).
+
+    ``df = log.step("dedup", df)`` marks a step; after an action on a frame
+    built from the marked ones, ``log.rows()`` gives (step, rows, empty).
+    """
+
+    def __init__(self, name: str = "steps"):
+        self.name = name
+        self._obs: list[tuple[str, object]] = []
+
+    def step(self, label: str, df: DataFrame) -> DataFrame:
+        from pyspark.sql import Observation
+        obs = Observation(f"{self.name}:{label}:{len(self._obs)}")
+        self._obs.append((label, obs))
+        return df.observe(obs, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> list[tuple[str, int, bool]]:
+        out = []
+        for label, obs in self._obs:
+            n = int(obs.get["rows"])
+            out.append((label, n, n == 0))
+        return out
+
+
+def logged_clean_primary(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal") -> tuple[DataFrame, StepLog]:
+    """C16 with its step log: skill rows in, and cleaned rows out (after key
+    repair, de-duplication and the metadata join)."""
+    from demandlens.operators import cleaning
+    log = StepLog("clean_primary")
+    skills = log.step("skills_in", skills)
+    out = log.step("cleaned", cleaning.clean_primary(skills, jobs, ordinal))
+    return out, log

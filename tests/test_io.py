@@ -29,3 +29,21 @@ def test_materialize_reuses(spark):
 def test_first_n_ordered(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "o long, v string")
     assert [r.v for r in io.first_n(df, 2, "o").collect()] == ["a", "b"]
+
+
+def test_step_log_counts_without_extra_pass(spark):
+    from demandlens.operators import quality
+    jobs = spark.createDataFrame([("J1", 1, "2021")], "job_id string, ordinal long, posted_year string")
+    skills = spark.createDataFrame([("J1", "SQL", "P", "B"), ("J1", "SQL", "P", "B"), ("J2", "R", "P", "B")],
+                                   "job_id string, skill string, skill_category string, skill_level string")
+    out, log = quality.logged_clean_primary(skills, jobs)
+    out.write.format("noop").mode("overwrite").save()
+    assert log.rows() == [("skills_in", 3, False), ("cleaned", 2, False)]
+
+
+def test_column_overlap_and_nonempty(spark):
+    from demandlens.operators import quality
+    a = spark.createDataFrame([(1, "x")], "job_id long, skill string")
+    b = spark.createDataFrame([(1, 2)], "job_id long, year int")
+    assert quality.column_overlap(a, b) == [("job_id", True, True), ("skill", True, False), ("year", False, True)]
+    assert quality.nonempty(a) and not quality.nonempty(a.filter("job_id < 0"))
