@@ -74,24 +74,28 @@ def repair_job_ids(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal",
     applied second, so it overrides an exact match. Everything else is
     ``unmatched``. Adds ``job_id_normalized`` and ``job_match_method``.
 
-    Both lookups are equi-joins on the skills side; the job side is reduced
-    to distinct ids / one row per prefix before it is shuffled.
+    Both lookups are one table keyed by the id a skill row would carry: the
+    job id itself (exact) and ``marker`` + its prefix (prefix hit). It is
+    reduced to one row per key on the jobs side, so the (large) skills side
+    is shuffled for a single join instead of one per lookup.
     """
     s = skills.withColumn("job_id", F.regexp_replace(F.col("job_id").cast("string"), r"^\s+|\s+$", ""))
     j = jobs.select(F.regexp_replace(F.col("job_id").cast("string"), r"^\s+|\s+$", "").alias("job_id"),
-                    F.col(ordinal)).filter(F.col("job_id").isNotNull())
-    exact_ids = j.select(F.col("job_id").alias("_exact_id")).distinct()
-    prefix_map = (j.groupBy(F.substring("job_id", 1, prefix_len).alias("_prefix"))
-                   .agg(F.max_by("job_id", ordinal).alias("_prefix_job")))
-    s = s.withColumn("_prefix", F.when(F.col("job_id").startswith(marker), F.expr("substring(job_id, 2)")))
-    out = (s.join(exact_ids, s["job_id"] == exact_ids["_exact_id"], "left")
-            .join(prefix_map, "_prefix", "left"))
+                    F.col(ordinal).alias("_ord")).filter(F.col("job_id").isNotNull())
+    exact = j.select(F.col("job_id").alias("_key"), F.lit(True).alias("_exact"),
+                     F.lit(None).cast("string").alias("_job"), F.lit(None).cast(j.schema["_ord"].dataType).alias("_ord"))
+    prefix = j.select(F.concat(F.lit(marker), F.substring("job_id", 1, prefix_len)).alias("_key"),
+                      F.lit(False).alias("_exact"), F.col("job_id").alias("_job"), "_ord")
+    lookup = (exact.unionByName(prefix).groupBy("_key")
+              .agg(F.max("_exact").alias("_exact_hit"),
+                   F.max_by(F.col("_job"), F.when(~F.col("_exact"), F.col("_ord"))).alias("_prefix_job")))
+    out = s.join(lookup, s["job_id"] == lookup["_key"], "left")
     method = (F.when(F.col("_prefix_job").isNotNull(), F.lit("prefix11"))
-               .when(F.col("_exact_id").isNotNull(), F.lit("exact"))
+               .when(F.col("_exact_hit"), F.lit("exact"))
                .otherwise(F.lit("unmatched")))
     return (out.withColumn("job_id_normalized", F.coalesce(F.col("_prefix_job"), F.col("job_id")))
                .withColumn("job_match_method", method)
-               .drop("_prefix", "_prefix_job", "_exact_id"))
+               .drop("_key", "_exact_hit", "_prefix_job"))
 
 
 def clean_primary(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal",
