@@ -92,3 +92,9 @@ def keyword_flag(c: Column | str, terms: Iterable[str], word: bool = False) -> C
 
 def _sql(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
+
+
+def year_from_decimal(c: Column | str) -> Column:
+    """C20: an integer year from a decimal value (2021.0 -> 2021); text that is
+    not a number gives null."""
+    return F.floor(_col(c).cast("string").try_cast("double")).cast("int")

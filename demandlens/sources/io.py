@@ -74,3 +74,16 @@ def first_n(df: DataFrame, n: int, ordinal: str) -> DataFrame:
     """The first n rows in ingest order (a bare limit is not deterministic).
     A sampling operator: the limit is the feature."""
     return df.orderBy(F.col(ordinal)).limit(n)
+
+
+def validated_load(spark: SparkSession, path: str, schema: StructType | str, required: Sequence[str],
+                   min_rows: int, fmt: str = "csv"):
+    """Q6: typed load plus the schema (Q4) and minimum-row (Q5) checks.
+    Returns (DataFrame, report rows); never raises on a failed check. The row
+    check reads at most ``min_rows`` rows."""
+    df = read_csv_typed(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
+    missing = [c for c in required if c not in df.columns]
+    have = df.limit(min_rows).count()
+    report = [("required_columns_missing", float(len(missing)), 0.0, not missing),
+              ("row_count_at_least", float(have), float(min_rows), have >= min_rows)]
+    return df, report

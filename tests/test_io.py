@@ -47,3 +47,25 @@ def test_column_overlap_and_nonempty(spark):
     b = spark.createDataFrame([(1, 2)], "job_id long, year int")
     assert quality.column_overlap(a, b) == [("job_id", True, True), ("skill", True, False), ("year", False, True)]
     assert quality.nonempty(a) and not quality.nonempty(a.filter("job_id < 0"))
+
+
+def test_validated_load_and_year_from_decimal(spark):
+    from pyspark.sql import functions as F
+    from demandlens.functions.text import year_from_decimal
+    base = tempfile.mkdtemp(prefix="demandlens-val-")
+    df = spark.createDataFrame([("J1", "2021.0"), ("J2", "x")], "job_id string, posted_year string")
+    io.write_table(df, os.path.join(base, "t"), fmt="csv")
+    loaded, report = io.validated_load(spark, os.path.join(base, "t"), "job_id string, posted_year string",
+                                       ["job_id", "skill"], min_rows=3)
+    assert report == [("required_columns_missing", 1.0, 0.0, False), ("row_count_at_least", 2.0, 3.0, False)]
+    years = sorted((r.job_id, r.y) for r in loaded.select("job_id", year_from_decimal("posted_year").alias("y")).collect())
+    assert years == [("J1", 2021), ("J2", None)]
+
+
+def test_onehot_view(spark):
+    from demandlens.operators import basket
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "b")], "job_id long, skill string")
+    b = basket.baskets(df)
+    got = {r.job_id: (r.a, r.b) for r in basket.onehot(b, ["a", "b"]).collect()}
+    assert got == {1: (True, True), 2: (False, True)}
+    assert {r.item: r.baskets for r in basket.item_presence(b).collect()} == {"a": 1, "b": 2}
