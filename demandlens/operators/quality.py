@@ -100,6 +100,19 @@ def subset_violations(recommended: DataFrame, allowed: DataFrame, key: str = "sk
     return recommended.join(allowed.select(key), key, "left_anti")
 
 
+def array_subset_violations(df: DataFrame, recommended: str, allowed: str, key: str = "skill") -> DataFrame:
+    """Q11 when both lists sit on the same rows: items of ``recommended`` that
+    appear in no row's ``allowed`` list. One pass: tag the elements of both
+    arrays, explode once, aggregate per item (no self-join)."""
+    tagged = F.concat(F.transform(F.coalesce(F.col(recommended), F.array().cast("array<string>")),
+                                  lambda x: F.struct(x.alias("v"), F.lit(True).alias("rec"))),
+                      F.transform(F.coalesce(F.col(allowed), F.array().cast("array<string>")),
+                                  lambda x: F.struct(x.alias("v"), F.lit(False).alias("rec"))))
+    items = df.select(F.explode(tagged).alias("t")).groupBy(F.col("t.v").alias(key)).agg(
+        F.max(F.col("t.rec").cast("int")).alias("_rec"), F.min(F.col("t.rec").cast("int")).alias("_only_rec"))
+    return items.filter((F.col("_rec") == 1) & (F.col("_only_rec") == 1)).select(key)
+
+
 def nonempty(df: DataFrame) -> bool:
     """Q12: the table has at least one row (reads at most one row)."""
     return df.limit(1).count() > 0

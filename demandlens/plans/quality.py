@@ -105,6 +105,4 @@ SELECT skill FROM rec WHERE skill NOT IN (SELECT skill FROM allowed)""")
 def q_recommendation_check(spark, sf_dir):
     """Q11: priority skills that are not in the trending list (expected: none)."""
     g = _gap(spark, sf_dir).filter(F.col("valid"))
-    rec = g.select(F.explode("priority_skills").alias("skill")).distinct()
-    allowed = g.select(F.explode("trending_skills").alias("skill")).distinct()
-    return quality.subset_violations(rec, allowed)
+    return quality.array_subset_violations(g, "priority_skills", "trending_skills")

@@ -69,3 +69,12 @@ def test_onehot_view(spark):
     got = {r.job_id: (r.a, r.b) for r in basket.onehot(b, ["a", "b"]).collect()}
     assert got == {1: (True, True), 2: (False, True)}
     assert {r.item: r.baskets for r in basket.item_presence(b).collect()} == {"a": 1, "b": 2}
+
+
+def test_array_subset_violations(spark):
+    from demandlens.operators import quality
+    df = spark.createDataFrame([(["a", "x"], ["a", "b"]), (["b"], ["c"]), (None, ["x"])],
+                               "rec array<string>, ok array<string>")
+    assert [r.skill for r in quality.array_subset_violations(df, "rec", "ok").collect()] == []
+    df2 = spark.createDataFrame([(["a", "z"], ["a"])], "rec array<string>, ok array<string>")
+    assert [r.skill for r in quality.array_subset_violations(df2, "rec", "ok").collect()] == ["z"]
