@@ -201,3 +201,28 @@ FROM r GROUP BY experience_level""")
 def q_level_champion(spark, sf_dir):
     ct = crosstab.experience_crosstab(analysis_input(spark, sf_dir, "p_brand", ["experience_level"]), top_n=11)
     return crosstab.level_champions(ct)
+
+
+@query("crosstab_check", "A20", f"""
+WITH x AS ({EXP_SQL})
+SELECT experience_level, round(sum(pct), 9) AS pct_total, abs(sum(pct) - 100) <= 0.1 AS ok
+FROM x GROUP BY experience_level""")
+def q_crosstab_check(spark, sf_dir):
+    ct = crosstab.experience_crosstab(analysis_input(spark, sf_dir, "p_brand", ["experience_level"]), top_n=11)
+    return rounded(crosstab.crosstab_row_check(ct), ["pct_total"])
+
+
+@query("skill_weights", "A25", f"""
+WITH m AS ({analysis_sql("p_name", [])}),
+c AS (SELECT skill, count(*) AS mentions FROM m WHERE skill IS NOT NULL GROUP BY skill)
+SELECT skill, mentions, mentions * 100.0 / (SELECT sum(mentions) FROM c) AS share_pct FROM c""")
+def q_skill_weights(spark, sf_dir):
+    return frequency.top_skills(analysis_input(spark, sf_dir, "p_name", []), n=None)
+
+
+@query("monthly_series", "A17", f"""
+WITH m AS ({M_DATE})
+SELECT strftime(order_date, '%Y-%m') AS month, skill, count(*) AS mentions FROM m
+WHERE order_date IS NOT NULL GROUP BY ALL""")
+def q_monthly_series(spark, sf_dir):
+    return trends.monthly_counts(analysis_input(spark, sf_dir, "p_brand", ["order_date"]))
