@@ -38,14 +38,26 @@ T90 = [
 Z90 = 1.281552
 
 
-def yearly_series(df: DataFrame, skills: DataFrame | None = None, year: str = "posted_year") -> DataFrame:
-    """(skill, year, y) mention counts on rows with a numeric year,
-    optionally only for the skills in ``skills`` (a bounded list)."""
-    rows = df.filter(F.col(year).isNotNull() & F.col("skill").isNotNull())
+def yearly_series(df: DataFrame, skills: DataFrame | None = None, year: str = "posted_year",
+                  measure: str = "count") -> DataFrame:
+    """(skill, year, y) on rows with a numeric year, optionally only for
+    the skills in ``skills`` (a bounded list). ``measure='count'`` (default)
+    gives mention counts; ``'share'`` the skill's share of the year's mentions
+    (the documented alternative)."""
+    base = df.filter(F.col(year).isNotNull())
+    rows = base.filter(F.col("skill").isNotNull())
     if skills is not None:
         rows = rows.join(F.broadcast(skills), "skill", "left_semi")
-    return (rows.groupBy("skill", F.col(year).cast("bigint").alias("year"))
-                .agg(F.count(F.lit(1)).alias("y")))
+    counts = (rows.groupBy("skill", F.col(year).cast("bigint").alias("year"))
+                  .agg(F.count(F.lit(1)).alias("y")))
+    if measure == "count":
+        return counts
+    if measure != "share":
+        raise ValueError(f"unknown measure {measure!r}")
+    # year totals over all rows of the year (one row per year, broadcast back)
+    totals = base.groupBy(F.col(year).cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("_total"))
+    return (counts.join(F.broadcast(totals), "year")
+                  .select("skill", "year", (F.col("y") / F.col("_total")).alias("y")))
 
 
 def series_stats(series: DataFrame) -> DataFrame:
@@ -125,9 +137,12 @@ def interval_forecast(series: DataFrame, min_points: int = MIN_DATAPOINTS_REQUIR
 
 
 def top_skill_forecasts(df: DataFrame, k: int = 10, year: str = "posted_year",
-                        with_interval: bool = False) -> DataFrame:
-    """Forecasts for the k most mentioned skills (counted over all rows)."""
-    series = yearly_series(df, top_skill_list(df, k), year)
+                        with_interval: bool = False, top_from_verified: bool = False,
+                        measure: str = "count") -> DataFrame:
+    """Forecasts for the k most mentioned skills, counted over all rows
+    (default) or only over rows with a numeric year (``top_from_verified``)."""
+    pool = df.filter(F.col(year).isNotNull()) if top_from_verified else df
+    series = yearly_series(df, top_skill_list(pool, k), year, measure)
     return interval_forecast(series) if with_interval else linear_forecast(series)
 
 

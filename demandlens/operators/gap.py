@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.operators.trends import TREND_TOP_N, trending_score
+from demandlens.operators.trends import PRIMARY_TREND_SKILLS, TREND_TOP_N, trending_score
 
 # Trivial inputs, alias map, names kept lower-case, the
 # keyword shape required of long phrases, and the messages.
@@ -119,9 +119,12 @@ def trending_list(df: DataFrame, top_n: int = TREND_TOP_N) -> Column:
     subquery over at most top_n rows."""
     ranked = trending_score(df, top_n)
     # canonical names (lower-case, as trending names are) computed once, inside
-    # the subquery, so the per-profile expressions only read the finished list
-    return ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "skill"))),
-                                  lambda x: F.lower(canonical_skill(x["skill"])))).scalar()
+    # the subquery, so the per-profile expressions only read the finished list;
+    # an empty input gives the fixed fallback list
+    fallback = F.array(*[F.lit(x) for x in PRIMARY_TREND_SKILLS[:top_n]])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "skill"))),
+                         lambda x: F.lower(canonical_skill(x["skill"])))
+    return ranked.agg(F.when(F.size(listed) > 0, listed).otherwise(fallback)).scalar()
 
 
 def _match(a: Column, b: Column) -> Column:

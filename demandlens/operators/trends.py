@@ -101,7 +101,8 @@ def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_
     + 0.15 * overall share of mentions. Top-n by score, ties by name.
 
     Skills are stripped and lower-cased; rows without a numeric year are
-    dropped first. The zero fill needs no years x skills grid: a mean with
+    dropped first. When no row has a numeric year the skills are ranked by
+    plain frequency instead (score columns null). The zero fill needs no years x skills grid: a mean with
     zeros is the sum over present years divided by the number of recent years.
     """
     rows = (df.select(F.lower(F.regexp_replace("skill", r"^\s+|\s+$", "")).alias("skill"),
@@ -137,8 +138,22 @@ def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_
         + F.greatest(F.col("share_change"), F.lit(0.0)) * TREND_WEIGHT_CHANGE
         + F.col("overall_share") * TREND_WEIGHT_OVERALL,
     )
-    top = scored.orderBy(F.desc("score"), F.asc("skill")).limit(top_n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("skill"))))
+    top = (scored.orderBy(F.desc("score"), F.asc("skill")).limit(top_n)
+                 .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("skill")))))
+    # No numeric year anywhere: rank by plain frequency instead (the scored
+    # branch is then empty). The switch is a scalar test, so both branches
+    # stay in one lazy plan.
+    all_rows = df.select(F.lower(F.regexp_replace("skill", r"^\s+|\s+$", "")).alias("skill"))
+    no_years = rows.agg(F.count(F.lit(1))).scalar() == 0
+    by_count = (all_rows.filter(F.col("skill").isNotNull()).groupBy("skill")
+                        .agg(F.count(F.lit(1)).alias("mentions"))
+                        .orderBy(F.desc("mentions"), F.asc("skill")).limit(top_n)
+                        .filter(no_years)
+                        .select("skill",
+                                *[F.lit(None).cast("double").alias(c)
+                                  for c in ("recent_share", "share_change", "overall_share", "score")],
+                                F.row_number().over(Window.orderBy(F.desc("mentions"), F.asc("skill"))).alias("rank")))
+    return top.unionByName(by_count)
 
 
 def monthly_change(df: DataFrame, date: str = "order_date", k: int = 5) -> DataFrame:

@@ -77,3 +77,16 @@ def test_trending_score_zero_fill(spark):
     assert got["a"].recent_share == pytest.approx((0.5 + 1.0) / 2)
     assert got["b"].recent_share == pytest.approx(0.5 / 2)
     assert got["a"].rank == 1
+
+
+def test_trending_falls_back_to_frequency_without_years(spark):
+    df = spark.createDataFrame([(None, "b"), (None, "a"), (None, "b")], "posted_year int, skill string")
+    got = [(r.skill, r.rank, r.score) for r in trends.trending_score(df).orderBy("rank").collect()]
+    assert got == [("b", 1, None), ("a", 2, None)]
+
+
+def test_trending_list_fallback_on_empty_input(spark):
+    from demandlens.operators import gap
+    df = spark.createDataFrame([], "posted_year int, skill string")
+    lst = spark.range(1).select(gap.trending_list(df, 3).alias("t")).first().t
+    assert lst == ["aws", "gcp", "tensorflow"]

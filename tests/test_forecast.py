@@ -59,3 +59,13 @@ def test_interval_contains_forecast_and_tier(spark):
     s = got["steady"]
     assert s.method == "linear_interval" and s.ci_lower <= s.forecast_value <= s.ci_upper
     assert got["noisy"].method == "linear_trend" and got["noisy"].ci_lower is None
+
+
+def test_share_measure_and_verified_top(spark):
+    rows = [(2020 + i % 5, "a") for i in range(10)] + [(2020 + i % 5, "b") for i in range(5)] + [(None, "c")] * 20
+    df = spark.createDataFrame(rows, "posted_year int, skill string")
+    got = {r.skill: r for r in forecast.top_skill_forecasts(df, k=2, measure="share").collect()}
+    assert set(got) == {"a"}  # "c" is in the top 2 over all rows but has no numeric year
+    assert got["a"].forecast_value == pytest.approx(2 / 3)
+    verified = {r.skill for r in forecast.top_skill_forecasts(df, k=2, top_from_verified=True).collect()}
+    assert verified == {"a", "b"}
