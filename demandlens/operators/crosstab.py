@@ -55,3 +55,15 @@ def crosstab_row_check(crosstab: DataFrame, tol: float = 0.1) -> DataFrame:
     return (crosstab.groupBy("experience_level")
                     .agg(F.sum("pct").alias("pct_total"))
                     .withColumn("ok", F.abs(F.col("pct_total") - 100) <= tol))
+
+
+def ordered_crosstab(crosstab: DataFrame) -> DataFrame:
+    """The chart feed -- only the entry / mid / senior levels that
+    exist (other levels, 'not specified' included, are dropped), skills
+    ordered by their total share over those levels (ties by name)."""
+    kept = crosstab.filter(F.col("level_order") < 99)
+    totals = (kept.groupBy("skill").agg(F.sum("share").alias("_total"))  # <= top_n rows
+                  .withColumn("skill_order", F.row_number().over(Window.orderBy(F.desc("_total"), F.asc("skill"))))
+                  .drop("_total"))
+    return kept.join(F.broadcast(totals), "skill").select(
+        "experience_level", "skill", "n", "share", "pct", "level_order", "skill_order")

@@ -87,3 +87,18 @@ def validated_load(spark: SparkSession, path: str, schema: StructType | str, req
     report = [("required_columns_missing", float(len(missing)), 0.0, not missing),
               ("row_count_at_least", float(have), float(min_rows), have >= min_rows)]
     return df, report
+
+
+def write_bucketed(df: DataFrame, name: str, key: str | Sequence[str], buckets: int,
+                   path: str | None = None) -> DataFrame:
+    """Write a table bucketed (and sorted) by ``key`` and return it from the
+    catalog. Two tables bucketed on the join key with the same bucket count
+    join without a shuffle, so a fact table written once this way (e.g. by
+    job id) serves every later per-job join and aggregate shuffle-free.
+    ``path`` defaults to the shared checkpoint folder."""
+    keys = [key] if isinstance(key, str) else list(key)
+    spark = df.sparkSession
+    path = path or os.path.join(checkpoint_dir(spark), "bucketed", name)
+    (df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+       .option("path", path).saveAsTable(name))
+    return spark.table(name)

@@ -78,3 +78,30 @@ def test_array_subset_violations(spark):
     assert [r.skill for r in quality.array_subset_violations(df, "rec", "ok").collect()] == []
     df2 = spark.createDataFrame([(["a", "z"], ["a"])], "rec array<string>, ok array<string>")
     assert [r.skill for r in quality.array_subset_violations(df2, "rec", "ok").collect()] == ["z"]
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    name = os.path.basename(tempfile.mkdtemp(prefix="bkt")).replace("-", "_")
+    a = spark.createDataFrame([(i, f"s{i % 3}") for i in range(40)], "job_id long, skill string")
+    b = spark.createDataFrame([(i, 2000 + i % 5) for i in range(40)], "job_id long, posted_year int")
+    ta = io.write_bucketed(a, f"{name}_a", "job_id", 4)
+    tb = io.write_bucketed(b, f"{name}_b", "job_id", 4)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = ta.join(tb, "job_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_ordered_crosstab_drops_other_levels(spark):
+    from demandlens.operators import crosstab
+    df = spark.createDataFrame([(1, "Python", "entry"), (2, "SQL", "senior"), (3, "Python", "senior"),
+                                (4, "SQL", "not specified")], "job_id long, skill string, experience_level string")
+    out = crosstab.ordered_crosstab(crosstab.experience_crosstab(df, top_n=5)).collect()
+    assert {r.experience_level for r in out} == {"entry", "senior"}
+    order = {r.skill: r.skill_order for r in out}
+    assert order == {"Python": 1, "SQL": 2}
