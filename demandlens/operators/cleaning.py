@@ -174,3 +174,38 @@ def parse_timestamp(c: Column | str) -> Column:
 def year_of_text(c: Column | str) -> Column:
     """C4: an all-digit year string -> int, else null."""
     return digit_year(c)
+
+
+POSTING_TEXT_COLS = ("job_title", "skills_required", "date_posted", "experience_level", "company_location")
+
+
+def clean_postings(df: DataFrame, skills: str = "skills_required", date: str = "date_posted",
+                   title: str = "job_title", level: str = "experience_level") -> DataFrame:
+    """C16 (contract form): drop rows without skills -> strip all text ->
+    lower-case all text but the title -> parse the date -> drop unparsed
+    dates -> year, 'yyyy-MM' month and 'yyyyQn' quarter -> fill a missing
+    level with 'Not Specified' -> drop exact duplicates. One projection chain
+    and one de-duplication shuffle; step counts via ``quality.StepLog``."""
+    text = [c for c in POSTING_TEXT_COLS if c in df.columns]
+    out = df.filter(F.col(skills).isNotNull() & (F.regexp_replace(F.col(skills), r"^\s+|\s+$", "") != ""))
+    out = out.withColumns({c: F.regexp_replace(F.col(c), r"^\s+|\s+$", "") for c in text})
+    out = out.withColumns({c: F.lower(F.col(c)) for c in text if c != title})
+    ts = F.try_to_timestamp(F.col(date))
+    out = (out.withColumn("posted_date", ts.cast("date")).filter(F.col("posted_date").isNotNull())
+              .withColumn("year", F.year("posted_date"))
+              .withColumn("month", F.date_format("posted_date", "yyyy-MM"))
+              .withColumn("quarter", F.concat(F.year("posted_date").cast("string"), F.lit("Q"),
+                                              F.quarter("posted_date").cast("string")))
+              .withColumn(level, F.coalesce(F.col(level), F.lit(NOT_SPECIFIED))))
+    return out.dropDuplicates()
+
+
+def unparsed_date_share(df: DataFrame, date: str = "date_posted", skills: str = "skills_required",
+                        max_share: float = 0.20) -> DataFrame:
+    """C17: share of rows (with skills) whose date does not parse, and whether
+    it is within ``max_share`` (the contract fails above 20 %)."""
+    rows = df.filter(F.col(skills).isNotNull() & (F.regexp_replace(F.col(skills), r"^\s+|\s+$", "") != ""))
+    bad = F.try_to_timestamp(F.regexp_replace(F.col(date), r"^\s+|\s+$", "")).isNull()
+    return (rows.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(bad, 1)).alias("unparsed"))
+                .withColumn("unparsed_share", F.coalesce(F.col("unparsed") / F.col("rows"), F.lit(0.0)))
+                .withColumn("passed", F.col("unparsed_share") <= max_share))

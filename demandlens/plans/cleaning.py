@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from demandlens.operators import cleaning, frequency
 from demandlens.plans.inputs import analysis_input, analysis_sql
 from demandlens.plans.registry import query, sql_norm, sql_strip
-from demandlens.sources.tables import PRIMARY_JOBS_SQL, PRIMARY_SKILLS_SQL, primary_sources, table
+from demandlens.sources.tables import (
+    PRIMARY_JOBS_SQL,
+    PRIMARY_SKILLS_SQL,
+    TICKET_POSTINGS_SQL,
+    primary_sources,
+    table,
+    ticket_postings,
+)
 
 
 def _coerce_sql(x: str) -> str:
@@ -125,3 +132,21 @@ def q_filtered_view(spark, sf_dir):
     view = cleaning.year_filter(df, years=[1996, 1997, 1998, 1999, 2000], categories=["economy", "small"],
                                 year_range=(1997, 2000))
     return view.groupBy("posted_year", "skill_category").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+_S = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("clean_postings", "C16 C17", f"""
+WITH p AS ({TICKET_POSTINGS_SQL}),
+s AS (SELECT {_S.format(x='job_title')} AS job_title, lower({_S.format(x='skills_required')}) AS skills_required,
+             lower({_S.format(x='date_posted')}) AS date_posted, lower({_S.format(x='experience_level')}) AS experience_level,
+             lower({_S.format(x='company_location')}) AS company_location
+      FROM p WHERE skills_required IS NOT NULL AND {_S.format(x='skills_required')} <> ''),
+d AS (SELECT *, CAST(TRY_CAST(date_posted AS TIMESTAMP) AS DATE) AS posted_date FROM s)
+SELECT DISTINCT job_title, skills_required, date_posted, coalesce(experience_level, 'Not Specified') AS experience_level,
+       company_location, posted_date, CAST(year(posted_date) AS INTEGER) AS year, strftime(posted_date, '%Y-%m') AS month,
+       CAST(year(posted_date) AS VARCHAR) || 'Q' || CAST(quarter(posted_date) AS VARCHAR) AS quarter
+FROM d WHERE posted_date IS NOT NULL""")
+def q_clean_postings(spark, sf_dir):
+    return cleaning.clean_postings(ticket_postings(spark, sf_dir))

@@ -238,3 +238,40 @@ SELECT CASE l.l_linenumber % 3
        CASE WHEN l.l_linenumber % 2 = 0 THEN upper(p.p_brand) ELSE p.p_brand END AS skill,
        p.p_type AS skill_category, l.l_returnflag AS skill_level
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"""
+
+
+def ticket_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for the contract's postings table (job_title, skills_required,
+    date_posted, experience_level, company_location), one row per order:
+    title <- market segment (raw case), skills <- the order's part brands as a
+    comma list (orders without lines have none), date <- order date as text
+    (every 50th order carries an unparsable date), level <- a code from the
+    order priority (EX / SE / MI / EN; '4-NOT SPECIFIED' has none),
+    location <- the customer's nation."""
+    orders = table(spark, sf_dir, "orders")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    lines = (table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+             .join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+             .groupBy("o_orderkey")  # one order's lines: a handful of rows
+             .agg(F.concat_ws(", ", F.sort_array(F.collect_list("p_brand"))).alias("skills_required")))
+    level = (F.when(F.col("o_orderpriority") == "1-URGENT", "EX").when(F.col("o_orderpriority") == "2-HIGH", "SE")
+              .when(F.col("o_orderpriority") == "3-MEDIUM", "MI").when(F.col("o_orderpriority") == "5-LOW", "EN"))
+    date = F.when(F.col("o_orderkey") % 50 == 0, F.lit("not a date")).otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return (orders.join(cust, orders["o_custkey"] == cust["c_custkey"]).join(nation, "c_nationkey")
+            .join(lines, "o_orderkey", "left")
+            .select(F.col("c_mktsegment").alias("job_title"), "skills_required", date.alias("date_posted"),
+                    level.alias("experience_level"), F.col("n_name").alias("company_location")))
+
+
+TICKET_POSTINGS_SQL = """
+SELECT c.c_mktsegment AS job_title, li.skills_required,
+       CASE WHEN o.o_orderkey % 50 = 0 THEN 'not a date' ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS date_posted,
+       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'EX' WHEN '2-HIGH' THEN 'SE' WHEN '3-MEDIUM' THEN 'MI'
+                              WHEN '5-LOW' THEN 'EN' END AS experience_level,
+       n.n_name AS company_location
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN (SELECT l.l_orderkey, array_to_string(list_sort(list(p.p_brand)), ', ') AS skills_required
+           FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey) li
+  ON li.l_orderkey = o.o_orderkey"""

@@ -111,3 +111,21 @@ def test_filter_values_numeric_years_first(spark):
     vals = cleaning.filter_values(df).orderBy("kind", "sort_group", "value").collect()
     years = [r["value"] for r in vals if r["kind"] == "year"]
     assert years == ["2020", "2021", "Not Specified"]
+
+
+def test_clean_postings_contract_cases(spark):
+    rows = [("Data Scientist", "Python, SQL", "2024-05-02", "EN", "US"),
+            ("Data Scientist", "Python, SQL", "2024-05-02", "EN", "US"),      # exact duplicate
+            ("Analyst", None, "2024-01-01", "MI", "UK"),                     # no skills
+            ("Analyst", "  ", "2024-01-01", "MI", "UK"),                     # blank skills
+            ("Engineer", "Spark", "not a date", "SE", "DE"),                 # bad date
+            ("ML Engineer ", " TensorFlow\t", "2023-11-30", None, " FR ")]   # null level
+    df = spark.createDataFrame(rows, "job_title string, skills_required string, date_posted string, "
+                                     "experience_level string, company_location string")
+    out = {r.job_title: r for r in cleaning.clean_postings(df).collect()}
+    assert set(out) == {"Data Scientist", "ML Engineer"}
+    assert out["Data Scientist"].skills_required == "python, sql" and out["Data Scientist"].quarter == "2024Q2"
+    ml = out["ML Engineer"]
+    assert ml.experience_level == "Not Specified" and ml.company_location == "fr" and ml.month == "2023-11"
+    report = cleaning.unparsed_date_share(df).first()
+    assert report.rows == 4 and report.unparsed == 1 and report.passed is False  # 25 % > 20 %
