@@ -150,3 +150,42 @@ SELECT DISTINCT job_title, skills_required, date_posted, coalesce(experience_lev
 FROM d WHERE posted_date IS NOT NULL""")
 def q_clean_postings(spark, sf_dir):
     return cleaning.clean_postings(ticket_postings(spark, sf_dir))
+
+
+@query("posting_level_crosstab", "X4 C18 A19 A20", f"""
+WITH p AS ({TICKET_POSTINGS_SQL}),
+s AS (SELECT lower({_S.format(x='skills_required')}) AS skills_required,
+             lower({_S.format(x='experience_level')}) AS experience_level,
+             CAST(TRY_CAST(lower({_S.format(x='date_posted')}) AS TIMESTAMP) AS DATE) AS posted_date,
+             {_S.format(x='job_title')} AS job_title, lower({_S.format(x='company_location')}) AS company_location
+      FROM p WHERE skills_required IS NOT NULL AND {_S.format(x='skills_required')} <> ''),
+c AS (SELECT DISTINCT job_title, skills_required, coalesce(experience_level, 'Not Specified') AS experience_level,
+             company_location, posted_date FROM s WHERE posted_date IS NOT NULL),
+e AS (SELECT CASE WHEN length(experience_level) = 2 THEN coalesce(
+                 CASE upper(experience_level) WHEN 'EN' THEN 'Entry-Level' WHEN 'MI' THEN 'Mid-Level'
+                      WHEN 'SE' THEN 'Senior' WHEN 'EX' THEN 'Executive' END, experience_level)
+             ELSE experience_level END AS experience_level,
+             {_S.format(x="unnest(string_split(skills_required, ','))")} AS skill FROM c),
+m AS (SELECT * FROM e WHERE skill <> ''),
+t AS (SELECT skill FROM m GROUP BY skill ORDER BY count(*) DESC, skill LIMIT 11),
+cc AS (SELECT experience_level, skill, count(*) AS n FROM m
+       WHERE experience_level IS NOT NULL AND skill IN (SELECT skill FROM t) GROUP BY ALL),
+g AS (SELECT l.experience_level, t.skill FROM (SELECT DISTINCT experience_level FROM cc) l, t),
+z AS (SELECT g.experience_level, g.skill, CAST(coalesce(cc.n, 0) AS BIGINT) AS n FROM g
+      LEFT JOIN cc ON g.experience_level = cc.experience_level AND g.skill = cc.skill)
+SELECT experience_level, skill, n, n / sum(n) OVER (PARTITION BY experience_level) AS share,
+       n / sum(n) OVER (PARTITION BY experience_level) * 100 AS pct,
+       CASE lower(experience_level) WHEN 'entry' THEN 1 WHEN 'mid' THEN 2 WHEN 'senior' THEN 3 ELSE 99 END AS level_order
+FROM z""")
+def q_posting_level_crosstab(spark, sf_dir):
+    from demandlens.functions.text import level_label, normalize_text
+    from demandlens.operators import crosstab
+    cleaned = cleaning.clean_postings(ticket_postings(spark, sf_dir))
+    lvl = F.col("experience_level")
+    # codes were lower-cased by the cleaning; the code map is applied to 2-letter codes
+    coded = F.when(F.length(lvl) == 2, level_label(F.upper(lvl))).otherwise(lvl)
+    exploded = (cleaned.select(coded.alias("experience_level"),
+                               F.explode(F.split("skills_required", ",")).alias("_s"))
+                       .select("experience_level", normalize_text("_s").alias("skill"))
+                       .filter(F.col("skill") != ""))
+    return crosstab.experience_crosstab(exploded, top_n=11, map_codes=False)
