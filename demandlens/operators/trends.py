@@ -143,12 +143,13 @@ def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_
     # No numeric year anywhere: rank by plain frequency instead (the scored
     # branch is then empty). The switch is a scalar test, so both branches
     # stay in one lazy plan.
+    # The switch reuses the years subquery and is applied before the
+    # aggregation, so when years exist this branch shuffles nothing.
     all_rows = df.select(F.lower(F.regexp_replace("skill", r"^\s+|\s+$", "")).alias("skill"))
-    no_years = rows.agg(F.count(F.lit(1))).scalar() == 0
-    by_count = (all_rows.filter(F.col("skill").isNotNull()).groupBy("skill")
+    no_years = F.size(years) == 0
+    by_count = (all_rows.filter(no_years & F.col("skill").isNotNull()).groupBy("skill")
                         .agg(F.count(F.lit(1)).alias("mentions"))
                         .orderBy(F.desc("mentions"), F.asc("skill")).limit(top_n)
-                        .filter(no_years)
                         .select("skill",
                                 *[F.lit(None).cast("double").alias(c)
                                   for c in ("recent_share", "share_change", "overall_share", "score")],
