@@ -102,9 +102,8 @@ def frequent_itemsets(bask: DataFrame, min_support: float = DEFAULT_MIN_SUPPORT,
     """
     from pyspark.ml.fpm import FPGrowth
 
-    from demandlens.session import checkpoint_dir
+    from demandlens.session import checkpointed
 
-    checkpoint_dir(bask.sparkSession)  # the session's shared folder (set only in local runs)
     n = bask.agg(F.count(F.lit(1))).scalar()
 
     def mine(support: float) -> DataFrame:
@@ -118,7 +117,7 @@ def frequent_itemsets(bask: DataFrame, min_support: float = DEFAULT_MIN_SUPPORT,
         # use (emptiness test, both support lookups of the rules, the tier
         # test). They are few rows: checkpoint them once to the shared folder,
         # which also cuts the lineage back to the baskets.
-        return found.checkpoint(eager=True)
+        return checkpointed(found)
 
     found = mine(min_support)
     if fallback_support is not None and found.limit(1).count() == 0:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.functions.stats import chi2_sf
+from demandlens.session import checkpointed
 from demandlens.functions.text import keyword_flag
 
 # The generative-AI keyword list and the test thresholds.
@@ -56,6 +57,10 @@ def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
     default). Returns one row: statistic, dof, p_value, n, n_rows, n_cols,
     min_expected, valid (no zero expected cell).
     """
+    # The cells are a small aggregate read by several scalar subqueries;
+    # checkpointing them once (shared checkpoint folder) keeps each subquery
+    # from carrying -- and possibly re-running -- the whole input pipeline.
+    cells = checkpointed(cells)
     col_values = cells.agg(F.sort_array(F.collect_set("col"))).scalar()  # small, bounded
     grid = (cells.select("row").distinct()
                  .select("row", F.explode(col_values).alias("col"))
@@ -99,13 +104,14 @@ def two_year_test(df: DataFrame, year_a: int, year_b: int, group: Sequence[str],
     """
     sub = (df.filter(F.col(year).isin(year_a, year_b))
              .select(F.col(year).alias("y"), F.coalesce(F.col(skill).isin(list(group)), F.lit(False)).alias("g")))
-    counts = sub.agg(
-        F.count(F.when(F.col("y") == year_a, 1)).alias("n_a"),
-        F.count(F.when(F.col("y") == year_b, 1)).alias("n_b"),
-        F.count(F.when((F.col("y") == year_a) & F.col("g"), 1)).alias("k_a"),
-        F.count(F.when((F.col("y") == year_b) & F.col("g"), 1)).alias("k_b"),
+    cells = checkpointed(contingency(sub, "y", "g"))  # at most 4 rows
+    counts = cells.agg(
+        F.sum(F.when(F.col("row") == str(year_a), F.col("n")).otherwise(0)).alias("n_a"),
+        F.sum(F.when(F.col("row") == str(year_b), F.col("n")).otherwise(0)).alias("n_b"),
+        F.sum(F.when((F.col("row") == str(year_a)) & (F.col("col") == "true"), F.col("n")).otherwise(0)).alias("k_a"),
+        F.sum(F.when((F.col("row") == str(year_b)) & (F.col("col") == "true"), F.col("n")).otherwise(0)).alias("k_b"),
     )
-    chi = chi_square(contingency(sub, "y", "g"))
+    chi = chi_square(cells)
     n_a, n_b, k_a, k_b = (F.col(c) for c in ("n_a", "n_b", "k_a", "k_b"))
     p1, p2 = k_a / n_a, k_b / n_b
     pooled = (k_a + k_b) / (n_a + n_b)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandlens.session import checkpointed
+
 # Trending score weights, recent-year window, and top-n.
 TREND_WEIGHT_RECENT = 0.55
 TREND_WEIGHT_CHANGE = 0.30
@@ -56,6 +58,7 @@ def first_last_change(annual: DataFrame, first_year: int | None = None,
     A skill missing in either year has a null change and ranks last.
     Returns (skill, share_first, share_last, change_pp, direction, rank).
     """
+    annual = checkpointed(annual)  # aggregated; read by the subqueries and both lists
     fy = F.lit(first_year) if first_year is not None else annual.agg(F.min("posted_year")).scalar()
     ly = F.lit(last_year) if last_year is not None else annual.agg(F.max("posted_year")).scalar()
     wide = (annual.filter(F.col("skill").isNotNull())
@@ -108,7 +111,8 @@ def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_
     rows = (df.select(F.lower(F.regexp_replace("skill", r"^\s+|\s+$", "")).alias("skill"),
                       F.col(year).cast("int").alias("posted_year"))
               .filter(F.col("posted_year").isNotNull()))
-    annual = annual_share(rows)
+    # aggregated (years x vocabulary); checkpointed once for the subqueries
+    annual = checkpointed(annual_share(rows))
     # Both scalars come from the aggregated table and merge into one job: the
     # sorted distinct years (a calendar-bounded list) and the rows with a skill.
     years = annual.agg(F.sort_array(F.collect_set("posted_year"))).scalar()
@@ -161,9 +165,10 @@ def monthly_change(df: DataFrame, date: str = "order_date", k: int = 5) -> DataF
     """Mentions per (yyyy-MM, skill); the count change from the first to the
     last month of the data, for skills present in both; top and bottom k.
     Returns (skill, first_count, last_count, delta, direction, rank)."""
-    monthly = (df.filter(F.col(date).isNotNull() & F.col("skill").isNotNull())
-                 .groupBy(F.date_format(date, "yyyy-MM").alias("month"), "skill")
-                 .agg(F.count(F.lit(1)).alias("mentions")))
+    monthly = checkpointed(  # months x vocabulary, read by the subqueries
+        df.filter(F.col(date).isNotNull() & F.col("skill").isNotNull())
+          .groupBy(F.date_format(date, "yyyy-MM").alias("month"), "skill")
+          .agg(F.count(F.lit(1)).alias("mentions")))
     first_m = monthly.agg(F.min("month")).scalar()
     last_m = monthly.agg(F.max("month")).scalar()
     both = (monthly.filter((F.col("month") == first_m) | (F.col("month") == last_m))

@@ -98,3 +98,12 @@ def spread(df, spark: SparkSession | None = None, min_bytes: int = SPREAD_MIN_BY
     if df.rdd.getNumPartitions() >= want or input_bytes(df) < min_bytes:
         return df
     return df.repartition(want)
+
+
+def checkpointed(df):
+    """Reliable checkpoint of a (small, aggregated) intermediate into the
+    session's shared checkpoint folder: written once, lineage cut, so the
+    scalar subqueries and branches that read it never re-run its inputs and a
+    lost executor does not recompute them."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
