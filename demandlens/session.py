@@ -101,9 +101,17 @@ def spread(df, spark: SparkSession | None = None, min_bytes: int = SPREAD_MIN_BY
 
 
 def checkpointed(df):
-    """Reliable checkpoint of a (small, aggregated) intermediate into the
-    session's shared checkpoint folder: written once, lineage cut, so the
+    """Materialise a (small, aggregated) intermediate in the session's shared
+    checkpoint folder and read it back: computed once, lineage cut, so the
     scalar subqueries and branches that read it never re-run its inputs and a
-    lost executor does not recompute them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    lost executor does not recompute them.
+
+    Written as Parquet rather than with ``DataFrame.checkpoint()``: a reliable
+    RDD checkpoint computes its input a second time to write the files.
+    """
+    import os
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
