@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import blocks as B
+from .buckets import connect, shared
 from .components import components
 
 #: One verified candidate costs as much as so many signatures.
@@ -169,9 +170,10 @@ def _signature_rows(docs: DataFrame, measure: Measure, edges: np.ndarray, plan:
                         at = doc[k:k + (1 << 17)]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(sig[k:k + (1 << 17)].view(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)),
-                             pa.array(np.full(len(at), low == 0))], names=["sig", "doc_id", "n", "own"])
+                             pa.array(np.full(len(at), low == 0))], names=["sig", "node", "n", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long, n int, own boolean")
+    return (docs.select("doc_id", "text").mapInArrow(run, "sig long, node long, n int, own boolean")
+            .select("sig", "node", "own", F.struct("n").alias("hint")))
 
 
 def _set_rows(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -217,41 +219,12 @@ def links(docs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame |
     reps = classes.where(F.col("n_shingles") >= smallest).select(F.col("rep").alias("doc_id")).distinct()
     rep_docs = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi")
     rows = checkpointed(_signature_rows(rep_docs, measure, edges, plan))  # read twice below
-    # buckets of two documents or more, one of them in its own band
-    full = (rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-                                    F.min(F.when(F.col("own"), F.col("doc_id"))).alias("rep"))
-            .where("low < high and rep is not null").select("sig", "rep"))
-    members = checkpointed(rows.join(full, "sig").select("sig", "rep", "doc_id", "n", "own"))
-    near = docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    members = checkpointed(shared(rows))
+    near = docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = checkpointed(_set_rows(near, measure))
     num, den = measure.threshold.numerator, measure.threshold.denominator
-
-    star = members.where("doc_id != rep").select(F.least("rep", "doc_id").alias("a"), F.greatest("rep", "doc_id").alias("b")).distinct()
-    found = checkpointed(_verified(star, sets, measure))
-
-    def labelled(found: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold more than one component."""
-        parts = components(found)
-        out = (members.drop("rep").join(parts, members["doc_id"] == parts["node"], "left")
-               .select("sig", "doc_id", "n", "own", F.coalesce("component", "doc_id").alias("part")))
-        mixed = out.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
-        return out.join(mixed, "sig", "left_semi")
-
-    # one member of each component, against the smallest component's
-    part = checkpointed(labelled(found))
-    heads = part.groupBy("sig", "part").agg(F.min("doc_id").alias("head"))
-    first = heads.groupBy("sig").agg(F.min("head").alias("first"))
-    star = (heads.join(first, "sig").where("head != first")
-            .select(F.least("first", "head").alias("a"), F.greatest("first", "head").alias("b")).distinct())
-    found = checkpointed(found.unionByName(_verified(star, sets, measure)))
-    # every pair that is still in different components
-    part = checkpointed(labelled(found))
-    p, q = part.alias("p"), part.alias("q")
-    rest = (p.join(q, F.col("p.sig") == F.col("q.sig"))
-            .where("p.own and p.part != q.part and (not q.own or p.doc_id < q.doc_id)")
-            .where(den * F.least("p.n", "q.n") >= num * F.greatest("p.n", "q.n"))
-            .select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct())
-    return found.unionByName(_verified(rest, sets, measure))
+    return connect(members, lambda pairs: _verified(pairs, sets, measure),
+                   lambda x, y: den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"]))
 
 
 def linked(docs: DataFrame, measure: Measure = Measure(), columns: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, quality, urlrules
+from . import bpe, decontaminate, jaccard, linededup, pii, quality, suffixdedup, toxicity, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def rank_file() -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), *rank_file())
 
@@ -51,11 +55,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages"), urlrules.rules_frame(spark))
 
 
-_QUERIES: list[Query] = [op3_byte_bpe, op4_ngram_jaccard_join, op5_quality_rules, op6_decontamination, op9_url_filters]
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.report(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES: list[Query] = [op1_toxicity, op3_byte_bpe, op4_ngram_jaccard_join, op5_quality_rules, op6_decontamination, op7_line_dedup, op8_pii, op9_url_filters,
+                         op10_suffix_array_dedup]
 
 
 def _prepared(f: Query) -> Query:
