@@ -1,10 +1,11 @@
 """Links among the members of candidate buckets, without all pairs of a bucket.
 
 DataFrame operations only. Each member is first verified against its bucket's
-smallest member; then one member of each component that is left in a bucket;
-at last every pair of a bucket that is still in different components. A pair
-within one component can connect nothing, so the components are those of all
-pairs, while a bucket of n copies costs n verifications.
+smallest member; at last come the pairs of a bucket that are still in different
+components: those that the caller's ``rest`` can't rule out, or, after a round
+with one member of each component, all of them. A pair within one component can
+connect nothing, so the components are those of all pairs, while a bucket of n
+copies costs n verifications.
 """
 
 from __future__ import annotations
@@ -30,13 +31,16 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.join(full, "sig")
 
 
-def connect(members: DataFrame, verify: Verify, near: Callable[[Column, Column], Column]) -> DataFrame:
+def connect(members: DataFrame, verify: Verify, near: Callable[[Column, Column], Column],
+            rest: Verify | None = None) -> DataFrame:
     """Links (a, b) that give the same components as verifying every pair of
     every bucket in which one is ``own``.
 
     ``members``: sig, rep, node, own and a struct ``hint``, written to a table;
     ``near(hint, hint)`` is a cheap necessary condition; ``verify`` keeps the
-    true ones of distinct pairs (a, b), a < b."""
+    true ones of distinct pairs (a, b), a < b. ``rest`` maps the members (sig,
+    rep, node, own, hint, part) of buckets with several components, none of
+    which is linked to the bucket's rep but by its component, to pairs (a, b)."""
     hints = members.select("node", "hint").distinct()
 
     def paired(heads: DataFrame, rep: str, node: str) -> DataFrame:
@@ -49,20 +53,27 @@ def connect(members: DataFrame, verify: Verify, near: Callable[[Column, Column],
     def mixed(found: DataFrame) -> DataFrame:
         """Members, with their component, of buckets that hold more than one."""
         parts = components(found)
-        out = (members.drop("rep").join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-               .select("sig", "node", "own", "hint", F.coalesce("component", "node").alias("part")))
+        out = (members.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+               .select("sig", "rep", "node", "own", "hint", F.coalesce("component", "node").alias("part")))
         more = out.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
         return checkpointed(out.join(more, "sig", "left_semi"))
 
     found = checkpointed(verify(paired(members, "rep", "node")))
-    part = mixed(found)
-    heads = part.groupBy("sig", "part").agg(F.min("node").alias("head"))
-    heads = heads.join(heads.groupBy("sig").agg(F.min("head").alias("first")), "sig")
-    found = checkpointed(found.unionByName(verify(paired(heads, "first", "head"))))
-    part = mixed(found)
-    p, q = part.alias("p"), part.alias("q")
-    rest = (p.join(q, F.col("p.sig") == F.col("q.sig"))
+    if rest is None:
+        part = mixed(found)
+        heads = part.groupBy("sig", "part").agg(F.min("node").alias("head"))
+        heads = heads.join(heads.groupBy("sig").agg(F.min("head").alias("first")), "sig")
+        found = checkpointed(found.unionByName(verify(paired(heads, "first", "head"))))
+    left = mixed(found)
+    return found.unionByName(verify((rest or every_pair)(left).join(hints.select(
+        F.col("node").alias("a"), F.col("hint").alias("hint_a")), "a").join(hints.select(
+            F.col("node").alias("b"), F.col("hint").alias("hint_b")), "b")
+        .where(near(F.col("hint_a"), F.col("hint_b"))).select("a", "b").distinct()))
+
+
+def every_pair(left: DataFrame) -> DataFrame:
+    """The pairs of different components in a bucket, one of them ``own``."""
+    p, q = left.alias("p"), left.alias("q")
+    return (p.join(q, F.col("p.sig") == F.col("q.sig"))
             .where("p.own and p.part != q.part and (not q.own or p.node < q.node)")
-            .where(near(F.col("p.hint"), F.col("q.hint")))
             .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
-    return found.unionByName(verify(rest))

@@ -17,9 +17,9 @@ representatives are joined as follows:
   mean size, by the cost of signatures plus that of chance candidates.
 * Candidates are verified on the whole sets. Rather than all pairs of a
   bucket, each member is first verified against the bucket's smallest member;
-  then one member of each remaining component; at last every pair of the
-  bucket that is in different components. Pairs in one component can change
-  nothing, so no link between components is lost.
+  then the bucket's pairs in different components that ``_unruled`` can't rule
+  out. Pairs in one component
+  can change nothing, so no link between components is lost.
 
 Null and empty texts have empty sets, which are linked with nothing. A doc_id
 that occurs with several texts goes by each text. Rows without doc_id keep
@@ -34,7 +34,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -199,6 +199,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
             .where(den * both >= num * (F.size("ga") + F.size("gb") - both)).select("a", "b"))
 
 
+def _unruled(left: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """Pairs of different components in a bucket that may be linked.
+
+    Members are compared by what tells them from their bucket's rep: D(x), the
+    elements in only one of x and the rep. x and y differ in |D(x)| + |D(y)| -
+    2 |D(x) & D(y)| elements, of which a link allows H at most. Who isn't linked
+    to the rep has |D| > H, so linked residuals must overlap, by ``need``
+    elements at least; then the first |D| - need + 1 elements of both, in one
+    order, have one in common. The order is by how often an element is in the
+    residuals of a rep, rarest first, so copies of one text that are too far
+    apart to be linked don't meet by the changes that most of them share. A
+    residual is bounded by its document's and the rep's own size."""
+    home = left.where("node = rep").select("rep", F.col("part").alias("home")).distinct()
+    rows = left.select("rep", "node", "part", F.col("hint.n").alias("n")).distinct().join(home, "rep")
+    x = sets.select(F.col("doc_id").alias("node"), F.col("grams").alias("gx"))
+    p = sets.select(F.col("doc_id").alias("rep"), F.col("grams").alias("gp"))
+    rows = (rows.where("node != rep").join(x, "node").join(p, "rep")
+            .select("rep", "node", "part", "n", (F.col("part") != F.col("home")).alias("out"),
+                    F.explode(F.concat(F.array_except("gx", "gp"), F.array_except("gp", "gx"))).alias("e")))
+    rows = checkpointed(rows)
+    often = rows.groupBy("rep", "e").agg(F.count("*").alias("times"))
+    rows = (rows.join(often, ["rep", "e"]).groupBy("rep", "node", "part", "n", "out")
+            .agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("rest")))
+    rows = checkpointed(rows.withColumn("rest", F.col("rest.e")).withColumn("d", F.size("rest")))
+    least = rows.groupBy("rep").agg(F.min(F.when(F.col("out"), F.col("d"))).alias("d_out"),
+                                    F.min(F.when(~F.col("out"), F.col("d"))).alias("d_home"))
+    t = measure.threshold
+    most = F.floor(F.col("n") * (t.denominator - t.numerator) / t.numerator + 1e-9).cast("int")
+    rows = rows.join(least.where("d_out is not null"), "rep")
+
+    def prefix(rows: DataFrame, other: str) -> DataFrame:
+        need = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col(other) - most) / 2).cast("int"))
+        first = F.slice("rest", F.lit(1), F.greatest(F.col("d") - need + 1, F.lit(0)))
+        return rows.select("rep", "node", "part", "n", "d", F.posexplode(first).alias("i", "e"))
+
+    # The first element two residuals share, at places i and j, leaves room for
+    # 1 + min(d - i, d - j) common ones (places from 0: without the 1 +).
+    room = F.least(F.col("p.d") - F.col("p.i"), F.col("q.d") - F.col("q.i"))
+    allowed = F.floor((F.col("p.n") + F.col("q.n")) * (t.denominator - t.numerator) / (t.denominator + t.numerator) + 1e-9)
+    same = ((F.col("p.rep") == F.col("q.rep")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.part") != F.col("q.part"))
+            & (2 * room >= F.col("p.d") + F.col("q.d") - allowed))
+    outer = prefix(rows.where("out"), "d_out")
+    pairs = outer.alias("p").join(outer.alias("q"), same & (F.col("p.node") < F.col("q.node")))
+    across = (prefix(rows.where("out and d_home is not null"), "d_home").alias("p")
+              .join(prefix(rows.where("not out"), "d_out").alias("q"), same))
+    return _ends(pairs).unionByName(_ends(across)).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+
+
 def links(docs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame | None:
     """Links (a, b) between class representatives that connect all that can be
     connected; None where no two sizes are near enough."""
@@ -224,7 +276,8 @@ def links(docs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame |
     sets = checkpointed(_set_rows(near, measure))
     num, den = measure.threshold.numerator, measure.threshold.denominator
     return connect(members, lambda pairs: _verified(pairs, sets, measure),
-                   lambda x, y: den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"]))
+                   lambda x, y: den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"]),
+                   lambda left: _unruled(left, sets, measure))
 
 
 def linked(docs: DataFrame, measure: Measure = Measure(), columns: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, linededup, pii, quality, suffixdedup, toxicity, urlrules
+from . import bpe, decontaminate, jaccard, licenses, linededup, pii, quality, suffixdedup, toxicity, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), *rank_file())
 
@@ -71,7 +75,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.report(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[Query] = [op1_toxicity, op3_byte_bpe, op4_ngram_jaccard_join, op5_quality_rules, op6_decontamination, op7_line_dedup, op8_pii, op9_url_filters,
+_QUERIES: list[Query] = [op1_toxicity, op2_license_scan, op3_byte_bpe, op4_ngram_jaccard_join, op5_quality_rules, op6_decontamination, op7_line_dedup, op8_pii, op9_url_filters,
                          op10_suffix_array_dedup]
 
 
