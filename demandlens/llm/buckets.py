@@ -1,11 +1,11 @@
 """Links among the members of candidate buckets, without all pairs of a bucket.
 
 DataFrame operations only. Each member is first verified against its bucket's
-smallest member; at last come the pairs of a bucket that are still in different
-components: those that the caller's ``rest`` can't rule out, or, after a round
-with one member of each component, all of them. A pair within one component can
-connect nothing, so the components are those of all pairs, while a bucket of n
-copies costs n verifications.
+smallest member; then the pairs of a bucket that are still in different
+components: those that the caller's ``rest`` can't rule out (``every_pair``
+rules out none). A pair within one component can connect nothing, so the
+components are those of all pairs, while a bucket of n copies costs n
+verifications.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def connect(members: DataFrame, verify: Verify, near: Callable[[Column, Column], Column],
-            rest: Verify | None = None) -> DataFrame:
+            rest: Verify) -> DataFrame:
     """Links (a, b) that give the same components as verifying every pair of
     every bucket in which one is ``own``.
 
@@ -59,13 +59,8 @@ def connect(members: DataFrame, verify: Verify, near: Callable[[Column, Column],
         return checkpointed(out.join(more, "sig", "left_semi"))
 
     found = checkpointed(verify(paired(members, "rep", "node")))
-    if rest is None:
-        part = mixed(found)
-        heads = part.groupBy("sig", "part").agg(F.min("node").alias("head"))
-        heads = heads.join(heads.groupBy("sig").agg(F.min("head").alias("first")), "sig")
-        found = checkpointed(found.unionByName(verify(paired(heads, "first", "head"))))
     left = mixed(found)
-    return found.unionByName(verify((rest or every_pair)(left).join(hints.select(
+    return found.unionByName(verify(rest(left).join(hints.select(
         F.col("node").alias("a"), F.col("hint").alias("hint_a")), "a").join(hints.select(
             F.col("node").alias("b"), F.col("hint").alias("hint_b")), "b")
         .where(near(F.col("hint_a"), F.col("hint_b"))).select("a", "b").distinct()))
