@@ -108,8 +108,8 @@ FAMILIES = [UNKNOWN, *TEMPLATES]
 
 
 def tokens(text: Column) -> Column:
-    """Words of a paragraph: lower-cased runs of letters, digits and inner dots."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\.+"), lambda x: x != "")
+    """Words of a paragraph: lower-cased runs of letters and digits."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def pairs(words: Column) -> Column:
@@ -147,7 +147,7 @@ def cover(words: Column, family: Column) -> Column:
 def _pairs_of(template: str) -> list[str]:
     """Word pairs of a template, as ``pairs`` makes them (on the driver, for literals)."""
     import re
-    words = [w for w in re.split(r"[^a-z0-9.]+|\.+(?![a-z0-9])|(?<![a-z0-9])\.+", template.lower()) if w]
+    words = re.findall("[a-z0-9]+", template.lower())
     return list(dict.fromkeys(f"{a} {b}".strip() for a, b in zip(words, [*words[1:], ""], strict=True)))
 
 
