@@ -16,6 +16,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,6 +32,7 @@ def main() -> None:
     from demandlens.session import build_session
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(plans.REGISTRY)
 
     def run(name: str) -> float:

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LN_SQRT_PI = 0.5723649429247001  # ln(sqrt(pi))
-# Beyond this distance between x and a the upper tail is below 1e-250.
-_TAIL_CUTOFF = 700.0
+# Terms of the continued fraction; it converges within about sqrt(a) + 60.
+_FRACTION_TERMS = 400
 
 
 def ln_gamma_half_int_plus1(a: Column) -> Column:
@@ -22,20 +22,20 @@ def ln_gamma_half_int_plus1(a: Column) -> Column:
 
 
 def chi2_sf(stat: Column, dof: Column) -> Column:
-    """Survival function of the chi-square distribution, P(X >= stat).
+    """Upper tail of the chi-square distribution, P(X >= stat), in full
+    precision: with a = dof/2 and x = stat/2, for x <= a + 1 one minus the
+    series of the lower tail (which is no small difference there), beyond it
+    the continued fraction of the upper tail, evaluated from its far end:
 
-    Q(a, x) = 1 - P(a, x) with a = dof/2, x = stat/2 and the series
-    P(a, x) = sum_n exp(a ln x - x - ln Gamma(a+1) + ln(x^n / ((a+1)...(a+n)))).
-    Every term is a probability mass (<= 1), so nothing overflows; the number
-    of terms grows with x until the series has converged. dof 0 (a degenerate
-    table) or stat 0 give 1; a tail far beyond the mean gives 0.
+        Q(a, x) = exp(-x + a ln x - ln Gamma(a)) / (x + 1 - a - 1(1 - a)/(x + 3 - a - ...))
+
+    dof 0 (a degenerate table) or stat 0 give 1.
     """
     a = dof.cast("double") / 2
     x = stat.cast("double") / 2
-    n_terms = F.greatest(F.lit(60), (x + F.sqrt(x) * 12 + 60).cast("int"))
     log_pref = a * F.ln(x) - x - ln_gamma_half_int_plus1(a)
     series = F.aggregate(
-        F.sequence(F.lit(1), n_terms),
+        F.sequence(F.lit(1), F.greatest(F.lit(60), (x + F.sqrt(x) * 12 + 60).cast("int"))),
         F.struct(F.lit(0.0).alias("lt"), F.exp(log_pref).alias("s")),
         lambda acc, m: F.struct(
             (acc["lt"] + F.ln(x) - F.ln(a + m)).alias("lt"),
@@ -43,19 +43,12 @@ def chi2_sf(stat: Column, dof: Column) -> Column:
         ),
         lambda acc: acc["s"],
     )
-    q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - series))
+    fraction = F.aggregate(
+        F.sequence(F.lit(_FRACTION_TERMS), F.lit(1), F.lit(-1)), F.lit(0.0),
+        lambda acc, n: -n * (n - a) / (x + 2 * n + 1 - a + acc))
+    upper = F.exp(log_pref + F.ln(a) - F.ln(x + 1 - a + fraction))
     return (F.when((dof <= 0) | (stat <= 0), F.lit(1.0))
-             .when(x - a > _TAIL_CUTOFF, F.lit(0.0))
-             .otherwise(q))
-
-
-def chi2_sf_sql(stat: str, dof: str) -> str:
-    """DuckDB twin of ``chi2_sf`` (uses lgamma directly)."""
-    a = f"(({dof}) / 2.0)"
-    x = f"(({stat}) / 2.0)"
-    n = f"greatest(60, CAST(trunc({x} + sqrt({x}) * 12 + 60) AS BIGINT))"
-    p = (f"(SELECT sum(exp({a} * ln({x}) - {x} + k * ln({x}) - lgamma({a} + k + 1))) "
-         f"FROM range(0, {n} + 1) t(k))")
-    return (f"CASE WHEN ({dof}) <= 0 OR ({stat}) <= 0 THEN 1.0 "
-            f"WHEN {x} - {a} > {_TAIL_CUTOFF} THEN 0.0 "
-            f"ELSE greatest(0.0, least(1.0, 1 - {p})) END")
+             .when(x > a + 1, upper)
+             .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - series))))
+
+

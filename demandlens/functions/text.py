@@ -20,7 +20,7 @@ NON_WORD = r"[^\p{L}\p{N}_]"
 # Experience level codes and their labels, and the sort order
 # of the cleaned level names.
 LEVEL_CODES = {"EN": "Entry-Level", "MI": "Mid-Level", "SE": "Senior", "EX": "Executive"}
-LEVEL_ORDER = {"entry": 1, "mid": 2, "senior": 3}
+LEVEL_ORDER = {"entry": 1, "entry-level": 1, "mid": 2, "mid-level": 2, "senior": 3}
 
 NOT_SPECIFIED = "Not Specified"
 
@@ -63,7 +63,7 @@ def level_label(c: Column | str, mapping: Mapping[str, str] = LEVEL_CODES) -> Co
 
 
 def level_sort_key(c: Column | str, order: Mapping[str, int] = LEVEL_ORDER) -> Column:
-    """Sort key of a cleaned level name: entry 1, mid 2, senior 3, other 99."""
+    """Sort key of a level's name or label: entry 1, mid 2, senior 3, other 99."""
     expr = None
     low = F.lower(_col(c))
     for name, rank in order.items():

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandlens.session import checkpointed
 
 # Support, lift and confidence thresholds with their fallbacks,
 # and the top-n item limits.
@@ -34,12 +35,12 @@ FALLBACK_TOP_N = 15
 _KEY_SEP = "\u0001"  # joins sorted items into a lookup key
 
 
-def item_counts(df: DataFrame, item: str = "skill", key: str = "job_id") -> DataFrame:
+def item_counts(df: DataFrame, item: str = "skill", key: str = "job_id", weight: str | None = None) -> DataFrame:
     """(job_id, item, k): mentions of each item per job, a partial aggregate
     (a hot job is reduced per task before the shuffle)."""
     return (df.filter(F.col(item).isNotNull())
               .groupBy(F.col(key).alias("job_id"), F.col(item).alias("item"))
-              .agg(F.count(F.lit(1)).alias("k")))
+              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("k")))
 
 
 def baskets_from_counts(per_item: DataFrame, min_len: int = 2) -> DataFrame:
@@ -67,13 +68,13 @@ def basket_stats(df: DataFrame, item: str = "skill", key: str = "job_id", min_le
 
 
 def mining_baskets(df: DataFrame, top_n: int = DEFAULT_TOP_N, item: str = "skill",
-                   key: str = "job_id", min_len: int = 2) -> DataFrame:
+                   key: str = "job_id", min_len: int = 2, weight: str | None = None) -> DataFrame:
     """M1: keep only the top-n items by raw count, then the baskets whose
     filtered list still has >= min_len entries (repeats counted).
 
     The top-n list and the baskets both come from one (job, item, k)
-    aggregate, so the input is scanned and joined once."""
-    per_item = item_counts(df, item, key)
+    aggregate, which is written once, so the input is scanned and joined once."""
+    per_item = checkpointed(item_counts(df, item, key, weight))
     top = (per_item.groupBy("item").agg(F.sum("k").alias("mentions"))
                    .orderBy(F.desc("mentions"), F.asc("item")).limit(top_n).select("item"))
     return baskets_from_counts(per_item.join(F.broadcast(top), "item", "left_semi"), min_len)  # top: <= n rows
@@ -102,12 +103,11 @@ def frequent_itemsets(bask: DataFrame, min_support: float = DEFAULT_MIN_SUPPORT,
     """
     from pyspark.ml.fpm import FPGrowth
 
-    from demandlens.session import checkpointed
-
-    n = bask.agg(F.count(F.lit(1))).scalar()
+    bask = checkpointed(bask.select("items"))  # read by the count and by each run of FP-growth
+    n = F.lit(bask.count())
 
     def mine(support: float) -> DataFrame:
-        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(bask.select("items"))
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(bask)
         found = (model.freqItemsets
                  .select(F.sort_array("items").alias("items"), F.col("freq").cast("bigint").alias("freq"))
                  .withColumn("support", F.col("freq") / n)
@@ -125,6 +125,17 @@ def frequent_itemsets(bask: DataFrame, min_support: float = DEFAULT_MIN_SUPPORT,
     return found
 
 
+def mined_itemsets(df: DataFrame, top_n: int = DEFAULT_TOP_N, retry_top_n: int = FALLBACK_TOP_N,
+                   item: str = "skill", key: str = "job_id", weight: str | None = None) -> DataFrame:
+    """M1/M4: itemsets of the top-n items; without any, of the top 15; without
+    any there too, an error."""
+    for n in (top_n, retry_top_n):
+        found = frequent_itemsets(mining_baskets(df, n, item, key, weight=weight))
+        if found.limit(1).count():
+            return found
+    raise RuntimeError(f"no itemset reaches a support of {FALLBACK_MIN_SUPPORT}, not with {retry_top_n} items either")
+
+
 def association_rules(itemsets: DataFrame) -> DataFrame:
     """M5/M7: every rule A -> B from every itemset of size >= 2, with the
     mlxtend metric set (representativity is 1 for complete data).
@@ -135,9 +146,15 @@ def association_rules(itemsets: DataFrame) -> DataFrame:
     certainty, kulczynski.
     """
     sup = itemsets.select(F.array_join("items", _KEY_SEP).alias("k"), F.col("support").alias("s"))
+    # the subsets of an itemset are numbered by a distributed range for each
+    # size that occurs (at most the item limit), joined on the size
+    spark = itemsets.sparkSession
     big = itemsets.filter(F.col("n_items") >= 2)
-    split = (big.select("items", F.col("support").alias("support"),
-                        F.explode(F.expr("sequence(1, shiftleft(1, n_items) - 2)")).alias("mask"))
+    sizes = [r["n_items"] for r in big.select("n_items").distinct().collect()]
+    masks = spark.createDataFrame([], "mask long, n_items int")
+    for k in sizes:
+        masks = masks.unionByName(spark.range(1, (1 << k) - 1).select(F.col("id").alias("mask"), F.lit(k).alias("n_items")))
+    split = (big.join(masks, "n_items")
                 .select("support",
                         F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("ante"),
                         F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 0)").alias("cons")))

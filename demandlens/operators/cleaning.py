@@ -13,7 +13,9 @@ from demandlens.functions.text import (
     digit_year,
     normalize_text,
 )
+from demandlens.session import checkpointed
 
+# Column names of the inputs.
 ANALYSIS_TEXT_COLS = ("skill", "skill_category", "skill_level", "experience_level", "source")
 PRIMARY_JOB_TEXT_COLS = (
     "job_title", "company_type", "industry", "country", "city", "remote_type",
@@ -82,11 +84,12 @@ def repair_job_ids(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal",
     s = skills.withColumn("job_id", F.regexp_replace(F.col("job_id").cast("string"), r"^\s+|\s+$", ""))
     j = jobs.select(F.regexp_replace(F.col("job_id").cast("string"), r"^\s+|\s+$", "").alias("job_id"),
                     F.col(ordinal).alias("_ord")).filter(F.col("job_id").isNotNull())
-    exact = j.select(F.col("job_id").alias("_key"), F.lit(True).alias("_exact"),
-                     F.lit(None).cast("string").alias("_job"), F.lit(None).cast(j.schema["_ord"].dataType).alias("_ord"))
-    prefix = j.select(F.concat(F.lit(marker), F.substring("job_id", 1, prefix_len)).alias("_key"),
-                      F.lit(False).alias("_exact"), F.col("job_id").alias("_job"), "_ord")
-    lookup = (exact.unionByName(prefix).groupBy("_key")
+    # both keys of a job from one read of the jobs table
+    keys = F.explode(F.array(
+        F.struct(F.col("job_id").alias("_key"), F.lit(True).alias("_exact")),
+        F.struct(F.concat(F.lit(marker), F.substring("job_id", 1, prefix_len)).alias("_key"), F.lit(False).alias("_exact"))))
+    lookup = (j.select(keys.alias("_k"), F.col("job_id").alias("_job"), "_ord").select("_k._key", "_k._exact", "_job", "_ord")
+              .groupBy("_key")
               .agg(F.max("_exact").alias("_exact_hit"),
                    F.max_by(F.col("_job"), F.when(~F.col("_exact"), F.col("_ord"))).alias("_prefix_job")))
     out = s.join(lookup, s["job_id"] == lookup["_key"], "left")
@@ -107,7 +110,7 @@ def clean_primary(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal",
     ``skills``: job_id, skill, skill_category, skill_level (+ optional extras).
     ``jobs``: job_id, ``ordinal`` and job metadata columns.
     Output: one row per de-duplicated skill row; ``posted_year`` as int
-    (null when unmatched) plus ``posted_year_label`` text for export.
+    (null when unmatched or beyond an int) plus ``posted_year_label`` text for export.
     """
     repaired = repair_job_ids(skills, jobs, ordinal)
     jobs_clean = first_by_key(
@@ -121,7 +124,7 @@ def clean_primary(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal",
     merged = (merged.withColumn("source", F.lit(source))
                     .withColumn("job_id", F.col("job_id_normalized")).drop("job_id_normalized"))
     merged = fill_not_specified(merged, ["experience_level", "country"])
-    return (merged.withColumn("posted_year", F.col("posted_year").cast("int"))
+    return (merged.withColumn("posted_year", F.col("posted_year").try_cast("int"))
                   .withColumn("posted_year_label",
                               F.coalesce(F.col("posted_year").cast("string"), F.lit(NOT_SPECIFIED))))
 
@@ -144,10 +147,15 @@ def year_filter(df: DataFrame, years: Sequence[int] | None = None,
                 categories: Sequence[str] | None = None,
                 year_range: tuple[int, int] | None = None,
                 year: str = "posted_year", category: str = "skill_category") -> DataFrame:
-    """Dashboard filters; an empty or missing selection filters nothing."""
-    out = df.filter(F.col(year).isNotNull())
+    """Dashboard filters; an empty or missing selection filters nothing.
+
+    Years are chosen by their label, so rows without a year stay unless a
+    selection leaves out 'Not Specified'. ``year_range`` (the slicer) is for
+    numeric years only."""
+    out = df
     if years:
-        out = out.filter(F.col(year).cast("string").isin([str(y) for y in years]))
+        label = F.coalesce(F.col(year).cast("string"), F.lit(NOT_SPECIFIED))
+        out = out.filter(label.isin([str(y) for y in years]))
     if categories:
         out = out.filter(F.col(category).isin(list(categories)))
     if year_range:
@@ -155,14 +163,41 @@ def year_filter(df: DataFrame, years: Sequence[int] | None = None,
     return out
 
 
+def verified_years(df: DataFrame, year: str = "posted_year") -> DataFrame:
+    """The rows with a year."""
+    return df.filter(F.col(year).isNotNull())
+
+
+def slicer_panel(df: DataFrame, year_range: tuple[int, int], skills: Sequence[str],
+                 year: str = "posted_year") -> DataFrame:
+    """The trend panel (year, skill, mentions) within the slicer's range and
+    the chosen skills, beside the cards (all mentions and years, which the
+    slicer leaves alone). One (year, skill) aggregate feeds both."""
+    counts = checkpointed(df.groupBy(F.col(year).alias("posted_year"), "skill").agg(F.count(F.lit(1)).alias("mentions")))
+    panel = year_filter(counts, year_range=year_range).filter(F.col("skill").isin(list(skills)))
+    return panel.select("posted_year", "skill", "mentions",
+                        counts.agg(F.sum("mentions")).scalar().alias("card_mentions"),
+                        counts.agg(F.countDistinct("posted_year")).scalar().alias("card_years"))
+
+
+def load_clean(df: DataFrame, columns: Sequence[str], year: str = "posted_year") -> DataFrame:
+    """An uploaded or stored fact table made ready for analysis:
+    the columns of ``columns`` that exist, text normalised, mixed years as the
+    int of an all-digit text (else null)."""
+    out = normalize_columns(keep_columns(df, columns))
+    return out.withColumn(year, year_of_text(year)) if year in out.columns else out
+
+
 def filter_values(df: DataFrame, year: str = "posted_year_label", category: str = "skill_category") -> DataFrame:
     """Available filter values: numeric years ascending, then text years,
     and the sorted categories. Returns (kind, value, sort_group)."""
-    years = df.select(F.col(year).cast("string").alias("value")).distinct()
-    is_text = F.when(F.col("value").rlike(r"^[0-9]+$"), 0).otherwise(1)
-    cats = df.select(F.col(category).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return (years.select(F.lit("year").alias("kind"), "value", is_text.alias("sort_group"))
-            .unionByName(cats.select(F.lit("category").alias("kind"), "value", F.lit(0).alias("sort_group"))))
+    # both lists from one pass over (year, category)
+    kinds = F.explode(F.array(F.struct(F.lit("year").alias("kind"), F.col(year).cast("string").alias("value")),
+                              F.struct(F.lit("category").alias("kind"), F.col(category).cast("string").alias("value"))))
+    values = df.select(year, category).distinct().select(kinds.alias("v")).select("v.*").distinct()
+    text_year = (F.col("kind") == "year") & ~F.coalesce(F.col("value").rlike(r"^[0-9]+$"), F.lit(False))
+    return (values.filter((F.col("kind") == "year") | F.col("value").isNotNull())
+            .select("kind", "value", F.when(text_year, 1).otherwise(0).alias("sort_group")))
 
 
 def parse_timestamp(c: Column | str) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.functions.text import level_label, level_sort_key
-from demandlens.operators.frequency import top_skill_list
+from demandlens.operators.frequency import top_of_counts
+from demandlens.session import checkpointed
 
 
 def experience_crosstab(df: DataFrame, top_n: int = 11, level: str = "experience_level",
@@ -19,12 +20,11 @@ def experience_crosstab(df: DataFrame, top_n: int = 11, level: str = "experience
     (experience_level, skill, n, share, pct, level_order); pct per level sums
     to 100.
     """
-    top = top_skill_list(df, top_n)  # at most top_n rows
     lvl = level_label(F.col(level)) if map_codes else F.col(level)
-    counts = (df.filter(F.col(level).isNotNull())
-                .join(F.broadcast(top), "skill", "left_semi")
-                .groupBy(lvl.alias("experience_level"), "skill")
-                .agg(F.count(F.lit(1)).alias("n")))
+    # one (level, skill) aggregate, the null level kept for the top list
+    cells = checkpointed(df.groupBy(lvl.alias("experience_level"), "skill").agg(F.count(F.lit(1)).alias("n")))
+    top = top_of_counts(cells, top_n, "n")  # at most top_n rows
+    counts = cells.filter(F.col("experience_level").isNotNull()).join(F.broadcast(top), "skill", "left_semi")
     if zero_fill:
         # every level row gets every top skill: explode the bounded list
         top_arr = top.agg(F.collect_list("skill")).scalar()
@@ -59,10 +59,11 @@ def crosstab_row_check(crosstab: DataFrame, tol: float = 0.1) -> DataFrame:
 
 def ordered_crosstab(crosstab: DataFrame) -> DataFrame:
     """The chart feed -- only the entry / mid / senior levels that
-    exist (other levels, 'not specified' included, are dropped), skills
-    ordered by their total share over those levels (ties by name)."""
+    exist, by name or by the label of their code (other levels, 'not specified'
+    included, are dropped); skills ordered by their total share over all
+    levels, the dropped ones included (ties by name)."""
     kept = crosstab.filter(F.col("level_order") < 99)
-    totals = (kept.groupBy("skill").agg(F.sum("share").alias("_total"))  # <= top_n rows
+    totals = (crosstab.groupBy("skill").agg(F.sum("share").alias("_total"))  # <= top_n rows
                   .withColumn("skill_order", F.row_number().over(Window.orderBy(F.desc("_total"), F.asc("skill"))))
                   .drop("_total"))
     return kept.join(F.broadcast(totals), "skill").select(

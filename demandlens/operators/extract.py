@@ -3,7 +3,7 @@
 Each taxonomy entry is one case-insensitive, whole-phrase regular expression
 evaluated by the JVM (``rlike``) on the whole text; the hits are collected
 into an array per row, so extraction is a map-only pass with no Python
-worker. The taxonomy is a fixed, small table (broadcast when joined).
+worker. Joins with the taxonomy are plain ones; AQE broadcasts it where it is small.
 """
 
 from __future__ import annotations
@@ -111,6 +111,6 @@ def flatten_nested(col: Column) -> Column:
 
 
 def attach_category(df: DataFrame, taxonomy: DataFrame, skill: str = "skill") -> DataFrame:
-    """Skill -> category through the (fixed-size) taxonomy; 'Unknown' if absent."""
-    return (df.join(F.broadcast(taxonomy.select(F.col("skill").alias(skill), "category")), skill, "left")
+    """Skill -> category through the taxonomy; 'Unknown' if absent."""
+    return (df.join(taxonomy.select(F.col("skill").alias(skill), "category"), skill, "left")
               .withColumn("category", F.coalesce(F.col("category"), F.lit(UNKNOWN_CATEGORY))))

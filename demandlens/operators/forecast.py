@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.operators.frequency import top_skill_list
+from demandlens.operators.frequency import top_of_counts, year_skill_counts
+from demandlens.session import checkpointed
 
 # Minimum points, horizon, interval width rule, direction
 # thresholds and labels.
@@ -28,14 +29,14 @@ DIRECTION_THRESHOLD_PCT = 10
 RISING, DECLINING, STABLE = "Rising ^", "Declining v", "Stable ->"
 
 # Student t quantiles t(0.90, df) for df = 1..30 (two-sided 80 %
-# interval); beyond 30 the normal quantile 1.281552 is used.
+# interval), and the normal quantile that they tend to.
 T90 = [
     3.077684, 1.885618, 1.637744, 1.533206, 1.475884, 1.439756, 1.414924, 1.396815,
     1.383029, 1.372184, 1.363430, 1.356217, 1.350171, 1.345030, 1.340606, 1.336757,
     1.333379, 1.330391, 1.327728, 1.325341, 1.323188, 1.321237, 1.319460, 1.317836,
     1.316345, 1.314972, 1.313703, 1.312527, 1.311434, 1.310415,
 ]
-Z90 = 1.281552
+Z90 = 1.2815515655446004
 
 
 def yearly_series(df: DataFrame, skills: DataFrame | None = None, year: str = "posted_year",
@@ -47,7 +48,7 @@ def yearly_series(df: DataFrame, skills: DataFrame | None = None, year: str = "p
     base = df.filter(F.col(year).isNotNull())
     rows = base.filter(F.col("skill").isNotNull())
     if skills is not None:
-        rows = rows.join(F.broadcast(skills), "skill", "left_semi")
+        rows = rows.join(skills, "skill", "left_semi")
     counts = (rows.groupBy("skill", F.col(year).cast("bigint").alias("year"))
                   .agg(F.count(F.lit(1)).alias("y")))
     if measure == "count":
@@ -56,7 +57,7 @@ def yearly_series(df: DataFrame, skills: DataFrame | None = None, year: str = "p
         raise ValueError(f"unknown measure {measure!r}")
     # year totals over all rows of the year (one row per year, broadcast back)
     totals = base.groupBy(F.col(year).cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("_total"))
-    return (counts.join(F.broadcast(totals), "year")
+    return (counts.join(totals, "year")
                   .select("skill", "year", (F.col("y") / F.col("_total")).alias("y")))
 
 
@@ -101,11 +102,17 @@ def linear_forecast(series: DataFrame, min_points: int = MIN_DATAPOINTS_REQUIRED
 
 
 def t_quantile_90(dof: Column) -> Column:
-    """t(0.90, dof) from the fixed table; the normal quantile beyond it."""
+    """t(0.90, dof) from the fixed table; beyond it the expansion of the
+    quantile around the normal one in powers of 1 / dof."""
     table = F.array(*[F.lit(v) for v in T90])
+    z = Z90
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    far = F.lit(z)
+    for k, c in enumerate(terms, 1):
+        far = far + F.lit(c) / F.pow(dof.cast("double"), k)
     return (F.when(dof <= 0, F.lit(None).cast("double"))
              .when(dof <= len(T90), F.element_at(table, dof.cast("int")))
-             .otherwise(F.lit(Z90)))
+             .otherwise(far))
 
 
 def interval_forecast(series: DataFrame, min_points: int = MIN_DATAPOINTS_REQUIRED) -> DataFrame:
@@ -141,11 +148,26 @@ def top_skill_forecasts(df: DataFrame, k: int = 10, year: str = "posted_year",
                         measure: str = "count") -> DataFrame:
     """Forecasts for the k most mentioned skills, counted over all rows
     (default) or only over rows with a numeric year (``top_from_verified``)."""
-    pool = df.filter(F.col(year).isNotNull()) if top_from_verified else df
-    series = yearly_series(df, top_skill_list(pool, k), year, measure)
+    series = top_skill_series(df, k, year, top_from_verified, measure)
     return interval_forecast(series) if with_interval else linear_forecast(series)
 
 
+def top_skill_series(df: DataFrame, k: int = 10, year: str = "posted_year", top_from_verified: bool = False,
+                     measure: str = "count") -> DataFrame:
+    """P7's series: the top list and the counts from one (year, skill) aggregate."""
+    counts = checkpointed(year_skill_counts(df, year))
+    known = counts.filter(F.col("posted_year").isNotNull())
+    top = top_of_counts(known if top_from_verified else counts, k)
+    series = (known.join(F.broadcast(top), "skill", "left_semi")  # <= k rows
+                   .select("skill", F.col("posted_year").cast("bigint").alias("year"), F.col("mentions").alias("y")))
+    if measure == "count":
+        return checkpointed(series)  # k skills x years, read by the chart and the forecast
+    if measure != "share":
+        raise ValueError(f"unknown measure {measure!r}")
+    totals = known.groupBy(F.col("posted_year").cast("bigint").alias("year")).agg(F.sum("mentions").alias("_total"))
+    return checkpointed(series.join(totals, "year").select("skill", "year", (F.col("y") / F.col("_total")).alias("y")))
+
+
 def chart_feed(series: DataFrame, forecasts: DataFrame) -> DataFrame:
     """History and forecast rows in one table, tagged by ``kind``."""
     hist = series.join(forecasts.select("skill"), "skill", "left_semi").select(

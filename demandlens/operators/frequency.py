@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.session import checkpointed
+
 
 def skill_counts(df: DataFrame, skill: str = "skill") -> DataFrame:
     """(skill, mentions) for every non-null skill."""
@@ -26,7 +28,7 @@ def top_skills(df: DataFrame, n: int | None = 20, skill: str = "skill") -> DataF
 
     ``n=None`` keeps every skill (the word-weight feed, A25).
     """
-    counts = skill_counts(df, skill)
+    counts = checkpointed(skill_counts(df, skill))  # vocabulary-sized; read by the total and the list
     total = counts.agg(F.sum("mentions")).scalar()
     ranked = counts.orderBy(F.desc("mentions"), F.asc("skill"))
     if n is not None:
@@ -43,6 +45,21 @@ def top_skill_list(df: DataFrame, n: int, skill: str = "skill") -> DataFrame:
             .limit(n).select("skill"))
 
 
+def year_skill_counts(df: DataFrame, year: str = "posted_year", skill: str = "skill",
+                      weight: str | None = None) -> DataFrame:
+    """(posted_year, skill, mentions), null years and skills as groups of their
+    own: the one aggregate that top lists, totals and series are read from.
+    ``weight`` names a column of row counts where ``df`` is counted already."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.groupBy(F.col(year).alias("posted_year"), F.col(skill).alias("skill")).agg(n.alias("mentions"))
+
+
+def top_of_counts(counts: DataFrame, n: int, by: str = "mentions") -> DataFrame:
+    """The n skills with the most mentions in a table of counts, ties by name."""
+    return (counts.filter(F.col("skill").isNotNull()).groupBy("skill").agg(F.sum(by).alias("_n"))
+            .orderBy(F.desc("_n"), F.asc("skill")).limit(n).select("skill"))
+
+
 def category_counts(df: DataFrame, category: str = "skill_category") -> DataFrame:
     """A2: mentions per category; the null category stays a group of its own."""
     return (df.groupBy(F.col(category).alias("skill_category"))
@@ -60,11 +77,10 @@ def skill_category_top(df: DataFrame, n: int = 20) -> DataFrame:
 
 def top_skill_series(df: DataFrame, n: int = 5, year: str = "posted_year") -> DataFrame:
     """The top-n skills by total mentions, then their yearly counts."""
-    top = top_skill_list(df, n)
-    return (df.filter(F.col(year).isNotNull())
-              .join(F.broadcast(top), "skill", "left_semi")  # at most n rows
-              .groupBy(F.col(year).alias("posted_year"), "skill")
-              .agg(F.count(F.lit(1)).alias("mentions")))
+    annual = checkpointed(year_skill_counts(df, year))
+    top = top_of_counts(annual, n)
+    return (annual.filter(F.col("posted_year").isNotNull())
+                  .join(F.broadcast(top), "skill", "left_semi"))  # at most n rows
 
 
 def describe(df: DataFrame, year: str = "posted_year", matched: str | None = "job_id_job") -> DataFrame:
@@ -90,22 +106,24 @@ def kpis(df: DataFrame, year: str = "posted_year") -> DataFrame:
     ``avg_rows_per_job`` (A6) is rows / distinct jobs (0 when no job). The top
     skill and category take the most mentions, ties by name (A8).
     """
-    per_job = (df.filter(F.col("skill").isNotNull())
-                 .groupBy("job_id").agg(F.countDistinct("skill").alias("k")))
+    # every card from one (job, skill, category, year) aggregate
+    cells = checkpointed(df.groupBy("job_id", "skill", "skill_category", F.col(year).alias("year"))
+                           .agg(F.count(F.lit(1)).alias("k")))
+    per_job = cells.filter(F.col("skill").isNotNull()).groupBy("job_id").agg(F.countDistinct("skill").alias("k"))
     avg_distinct = per_job.agg(F.avg("k")).scalar()
 
-    top_skill = (skill_counts(df).orderBy(F.desc("mentions"), F.asc("skill")).limit(1))
-    top_cat = (df.filter(F.col("skill_category").isNotNull())
-                 .groupBy("skill_category").agg(F.count(F.lit(1)).alias("mentions"))
-                 .orderBy(F.desc("mentions"), F.asc("skill_category")).limit(1))
+    def leader(name: str) -> DataFrame:
+        return (cells.filter(F.col(name).isNotNull()).groupBy(name).agg(F.sum("k").alias("mentions"))
+                     .orderBy(F.desc("mentions"), F.asc(name)).limit(1))
 
-    base = df.agg(
-        F.count(F.lit(1)).alias("total_mentions"),
+    top_skill, top_cat = leader("skill"), leader("skill_category")
+    base = cells.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("total_mentions"),
         F.countDistinct("skill").alias("distinct_skills"),
         F.countDistinct("job_id").alias("distinct_jobs"),
-        F.min(year).alias("min_year"),
-        F.max(year).alias("max_year"),
-        F.countDistinct(year).alias("years_covered"),
+        F.min("year").alias("min_year"),
+        F.max("year").alias("max_year"),
+        F.countDistinct("year").alias("years_covered"),
     )
     return base.select(
         "total_mentions", "distinct_skills", "distinct_jobs", "min_year", "max_year",

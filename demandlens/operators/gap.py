@@ -93,15 +93,13 @@ def canonical_skill(token: Column) -> Column:
     return F.coalesce(alias, F.when(_in_list(low, LOWER_CASE_SKILLS), low), cleaned)
 
 
-def parse_profiles(profiles: DataFrame, text: str = "skills_text", max_chars: int | None = None) -> DataFrame:
-    """Validate each profile's comma-separated text.
+def parse_profiles(profiles: DataFrame, text: str = "skills_text") -> DataFrame:
+    """Validate each profile's comma-separated text, whatever its length.
 
     Adds ``valid`` (bool), ``message`` (null when valid) and ``user_skills``
     (canonical skills, first occurrence order, duplicates removed).
-    ``max_chars`` optionally caps the input length (the contract's 500).
     """
-    raw_in = F.col(text) if max_chars is None else F.substring(F.col(text), 1, max_chars)
-    raw = _strip(raw_in)
+    raw = _strip(F.col(text))
     tokens = F.filter(F.transform(F.split(raw, ","), lambda x: _strip(x)), lambda x: x != "")
     kept = F.filter(tokens, lambda x: valid_phrase(x))
     cleaned = F.array_distinct(F.transform(kept, lambda x: canonical_skill(x)))
@@ -114,10 +112,10 @@ def parse_profiles(profiles: DataFrame, text: str = "skills_text", max_chars: in
                     .withColumn("user_skills", F.when(F.col("valid"), cleaned)))
 
 
-def trending_list(df: DataFrame, top_n: int = TREND_TOP_N) -> Column:
+def trending_list(df: DataFrame, top_n: int = TREND_TOP_N, weight: str | None = None) -> Column:
     """The top-n trending skills (A16) as one array, in rank order; a scalar
     subquery over at most top_n rows."""
-    ranked = trending_score(df, top_n)
+    ranked = trending_score(df, top_n, weight=weight)
     # canonical names (lower-case, as trending names are) computed once, inside
     # the subquery, so the per-profile expressions only read the finished list;
     # an empty input gives the fixed fallback list
@@ -149,11 +147,14 @@ def skill_gap(parsed: DataFrame, trending: Column) -> DataFrame:
     df = parsed.withColumn("_trending", trending)
     matched = F.filter(F.col("user_skills"), lambda u: F.exists(F.col("_trending"), lambda t: _match(u, t)))
     df = df.withColumn("matched_skills", matched)
-    missing = F.array_except(F.col("_trending"), F.transform(F.col("matched_skills"), lambda m: F.lower(m)))
+    # a filter, not array_except: a name that the list holds twice stays twice
+    df = df.withColumn("_lower", F.transform(F.col("matched_skills"), lambda m: F.lower(m)))
+    missing = F.when(F.col("_lower").isNotNull(),  # an invalid profile has no lists
+                     F.filter(F.col("_trending"), lambda t: ~F.array_contains(F.col("_lower"), F.lower(t))))
     return (df.withColumn("missing_skills", missing)
               .withColumn("priority_skills", F.slice(F.col("missing_skills"), 1, PRIORITY_N))
               .withColumn("trending_skills", F.when(F.col("valid"), F.col("_trending")))
-              .drop("_trending"))
+              .drop("_trending", "_lower"))
 
 
 def _join(c: Column) -> Column:
@@ -199,7 +200,8 @@ def best_rule_per_antecedent(rules: DataFrame) -> DataFrame:
 def rule_insight(gap: DataFrame, rules: DataFrame, key: str = "user_id") -> DataFrame:
     """For each profile, the highest-lift rule whose antecedent equals
     one of the user's skills (lower-cased), as the insight sentence with the
-    confidence in whole percent. Profiles without such a rule get null."""
+    confidence in whole percent, halves to the even one. Profiles without such
+    a rule get null."""
     best = best_rule_per_antecedent(rules)
     skills = gap.select(key, F.explode(F.col("user_skills")).alias("u")).select(
         key, F.lower(_strip(F.col("u"))).alias("ante_key"))
@@ -211,7 +213,7 @@ def rule_insight(gap: DataFrame, rules: DataFrame, key: str = "user_id") -> Data
     mid1, rest = rest.split("{cons}")
     mid2, tail = rest.split("{pct}")
     text = F.concat(F.lit(pre), F.col("r.antecedents"), F.lit(mid1), F.col("r.consequents"), F.lit(mid2),
-                    F.format_string("%.0f", F.col("r.confidence") * 100), F.lit(tail))
+                    F.bround(F.col("r.confidence") * 100, 0).cast("bigint").cast("string"), F.lit(tail))
     return gap.join(hits.select(key, text.alias("insight")), key, "left")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Validation thresholds of the data contracts.
@@ -40,11 +40,40 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def column_overlap(left: DataFrame, right: DataFrame) -> list[tuple[str, bool, bool]]:
-    """Q3: (column, in_left, in_right) over the union of both schemas (a
-    schema-only comparison, computed on the driver from metadata)."""
-    cols = sorted(set(left.columns) | set(right.columns))
-    return [(c, c in left.columns, c in right.columns) for c in cols]
+def column_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Q3: per column of either table: in_left, in_right, and its nulls there."""
+    x = profile(left).select("column", F.col("nulls").alias("left_nulls"))
+    y = profile(right).select("column", F.col("nulls").alias("right_nulls"))
+    return x.join(y, "column", "full").select(
+        "column", F.col("left_nulls").isNotNull().alias("in_left"), F.col("right_nulls").isNotNull().alias("in_right"),
+        "left_nulls", "right_nulls")
+
+
+def value_counts(df: DataFrame, cols: Sequence[str], k: int = 10) -> DataFrame:
+    """Q2: per column its k most frequent values (null included) with their
+    counts, ties by value; all columns in one pass. The ranking window sees one
+    row per distinct value, after the partial aggregate."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    counts = df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_first("value")))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def long_format_report(before: DataFrame, after: DataFrame, list_col: str, skill: str = "skill",
+                       derived: Sequence[str] = (), sep: str = ",") -> DataFrame:
+    """Q7/Q8: what exploding a list column did: rows before and after (it must
+    not shrink what has a list), rows without a single hit, values that still
+    hold a separator, and derived columns that are missing."""
+    b = before.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col(list_col).isNull() | (F.col(list_col) == ""), 1)).alias("none"))
+    a = after.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col(skill).contains(sep), 1)).alias("lists"))
+    missing = [c for c in derived if c not in after.columns]
+    rows, none = b.select("rows").scalar(), b.select("none").scalar()
+    listed = rows - none
+    return a.select(F.explode(F.array(
+        _row("exploded_rows", F.col("rows"), 0, F.col("rows") >= listed),
+        _row("zero_extraction_rows", none, 0, none == 0),
+        _row("unsplit_values", F.col("lists"), 0, F.col("lists") == 0),
+        _row("derived_columns_missing", F.lit(len(missing)), 0, F.lit(not missing)))).alias("c")).select("c.*")
 
 
 def _row(name: str, observed: Column, threshold: float, passed: Column) -> Column:

@@ -1,21 +1,19 @@
 """Keyword flags, contingency tables and tests.
 
 Tables are built from grouped counts, so the raw rows are scanned once and
-the test itself runs on a handful of cells. The column categories of a
-contingency table (e.g. flag false/true) are a small bounded list; the
-zero-filled grid is made by exploding that list per row category.
+the tests run on the counts and their margins; no zero-filled grid is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.functions.stats import chi2_sf
-from demandlens.session import checkpointed
 from demandlens.functions.text import keyword_flag
+from demandlens.session import checkpointed
 
 # The generative-AI keyword list and the test thresholds.
 GENAI_TERMS = ["llm", "rag", "genai", "prompt engineering"]
@@ -52,46 +50,39 @@ def contingency(df: DataFrame, row: str, col: str, null_row: str = "unknown") ->
 def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
     """T4: chi-square test of independence on (row, col, n) cells.
 
-    Expected counts come from the margins of the zero-filled table. With one
-    degree of freedom the Yates continuity correction is applied (SciPy's
-    default). Returns one row: statistic, dof, p_value, n, n_rows, n_cols,
-    min_expected, valid (no zero expected cell).
+    Expected counts come from the margins. Cells that were never seen are not
+    built: an unseen cell adds its expected count e to the statistic, and all
+    expected counts sum to the total, so the unseen ones add what the seen ones
+    leave. With one degree of freedom the Yates continuity correction is
+    applied (the usual default); all four cells of a 2x2 table are the same
+    |o - e| away from their expected counts, and the sum of 1 / e follows from
+    the margins. Returns one row: statistic, dof, p_value, n, n_rows, n_cols,
+    min_expected, valid (no zero expected cell), nothing rounded. The cells are
+    written once (this runs a job), as they are read several times.
     """
-    # The cells are a small aggregate read by several scalar subqueries;
-    # checkpointing them once (shared checkpoint folder) keeps each subquery
-    # from carrying -- and possibly re-running -- the whole input pipeline.
     cells = checkpointed(cells)
-    col_values = cells.agg(F.sort_array(F.collect_set("col"))).scalar()  # small, bounded
-    grid = (cells.select("row").distinct()
-                 .select("row", F.explode(col_values).alias("col"))
-                 .join(cells, ["row", "col"], "left")
-                 .select("row", "col", F.coalesce("n", F.lit(0)).cast("double").alias("o")))
-    total = cells.agg(F.sum("n")).scalar()
-    n_rows = cells.agg(F.countDistinct("row")).scalar()
-    n_cols = F.size(col_values)
-    dof = (n_rows - 1) * (n_cols - 1)
-    with_margins = (grid.withColumn("r", F.sum("o").over(Window.partitionBy("row")))
-                        .withColumn("c", F.sum("o").over(Window.partitionBy("col"))))
+    r = cells.groupBy("row").agg(F.sum("n").cast("double").alias("r"))
+    c = cells.groupBy("col").agg(F.sum("n").cast("double").alias("c"))
+    rows = r.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("r").alias("total"), F.min("r").alias("r_min"),
+                 F.sum(1 / F.col("r")).alias("r_inv"))
+    cols = c.agg(F.count(F.lit(1)).alias("n_cols"), F.min("c").alias("c_min"), F.sum(1 / F.col("c")).alias("c_inv"))
+    total = rows.select("total").scalar()
     e = F.col("r") * F.col("c") / total
-    d = F.abs(F.col("o") - e)
-    corr = F.least(F.lit(0.5), d) if yates else F.lit(0.0)
-    term = F.pow(d - F.when(dof == 1, corr).otherwise(F.lit(0.0)), 2) / e
-    summary = (with_margins.agg(F.sum(term).alias("statistic"), F.min(e).alias("min_expected"))
-               .select("statistic", "min_expected", dof.cast("bigint").alias("dof"),
-                       total.cast("bigint").alias("n"), n_rows.cast("bigint").alias("n_rows"),
-                       n_cols.cast("bigint").alias("n_cols")))
-    # statistics and p-values are reported to 6 decimals: the series and the
-    # cell sums are floating-point sums whose last bits depend on the order.
-    # the p-value's series is a lambda, which may not hold a subquery: it reads
-    # the materialised columns of the one-row summary instead
-    return summary.select(
-        F.round("statistic", 6).alias("statistic"),
-        "dof",
-        F.round(chi2_sf(F.col("statistic"), F.col("dof")), 6).alias("p_value"),
-        "n", "n_rows", "n_cols",
-        F.round("min_expected", 9).alias("min_expected"),
-        (F.col("min_expected") > 0).alias("valid"),
-    )
+    d = F.col("n").cast("double") - e
+    seen = (cells.join(r, "row").join(c, "col")
+            .agg(F.sum(d * d / e).alias("s"), F.sum(e).alias("e"), F.max(F.abs(d)).alias("d"), F.count(F.lit(1)).alias("k")))
+    s = seen.select(
+        "s", "e", "d", "k", *[rows.select(x).scalar().alias(x) for x in ("n_rows", "total", "r_min", "r_inv")],
+        *[cols.select(x).scalar().alias(x) for x in ("n_cols", "c_min", "c_inv")])
+    dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
+    unseen = F.when(F.col("k") < F.col("n_rows") * F.col("n_cols"), F.col("total") - F.col("e")).otherwise(F.lit(0.0))
+    corrected = F.pow(F.col("d") - F.least(F.lit(0.5), F.col("d")), 2) * F.col("total") * F.col("r_inv") * F.col("c_inv")
+    plain = F.col("s") + unseen
+    statistic = F.when(dof == 1, corrected).otherwise(plain) if yates else plain
+    summary = s.select(statistic.alias("statistic"), dof.cast("bigint").alias("dof"), F.col("total").cast("bigint").alias("n"),
+                       "n_rows", "n_cols", (F.col("r_min") * F.col("c_min") / F.col("total")).alias("min_expected"))
+    return summary.select("statistic", "dof", chi2_sf(F.col("statistic"), F.col("dof")).alias("p_value"), "n", "n_rows", "n_cols",
+                          "min_expected", (F.col("min_expected") > 0).alias("valid"))
 
 
 def two_year_test(df: DataFrame, year_a: int, year_b: int, group: Sequence[str],
@@ -104,30 +95,29 @@ def two_year_test(df: DataFrame, year_a: int, year_b: int, group: Sequence[str],
     """
     sub = (df.filter(F.col(year).isin(year_a, year_b))
              .select(F.col(year).alias("y"), F.coalesce(F.col(skill).isin(list(group)), F.lit(False)).alias("g")))
-    cells = checkpointed(contingency(sub, "y", "g"))  # at most 4 rows
+    cells = contingency(sub, "y", "g")  # at most 4 rows
     counts = cells.agg(
         F.sum(F.when(F.col("row") == str(year_a), F.col("n")).otherwise(0)).alias("n_a"),
         F.sum(F.when(F.col("row") == str(year_b), F.col("n")).otherwise(0)).alias("n_b"),
         F.sum(F.when((F.col("row") == str(year_a)) & (F.col("col") == "true"), F.col("n")).otherwise(0)).alias("k_a"),
         F.sum(F.when((F.col("row") == str(year_b)) & (F.col("col") == "true"), F.col("n")).otherwise(0)).alias("k_b"),
     )
-    chi = chi_square(cells)
+    # a 2x2 table: the corrected statistic follows from the four counts
     n_a, n_b, k_a, k_b = (F.col(c) for c in ("n_a", "n_b", "k_a", "k_b"))
-    p1, p2 = k_a / n_a, k_b / n_b
-    pooled = (k_a + k_b) / (n_a + n_b)
+    n, k = n_a + n_b, k_a + k_b
+    d = F.abs(k_a - n_a * k / n)
+    chi = F.pow(d - F.least(F.lit(0.5), d), 2) * n * (1 / n_a + 1 / n_b) * (1 / k + 1 / (n - k))
+    p1, p2, pooled = k_a / n_a, k_b / n_b, k / n
     z = (p1 - p2) / F.sqrt(pooled * (1 - pooled) * (1 / n_a + 1 / n_b))
     min_cell = F.least(k_a, k_b, n_a - k_a, n_b - k_b)
-    p_value = chi.select("p_value").scalar()
-    return counts.select(
-        F.lit(year_a).alias("year_a"), F.lit(year_b).alias("year_b"),
-        "n_a", "n_b", "k_a", "k_b",
-        p1.alias("share_a"), p2.alias("share_b"),
-        chi.select("statistic").scalar().alias("chi2"),
-        chi.select("dof").scalar().alias("dof"),
-        p_value.alias("p_value"),
-        F.round(z, 6).alias("z"),
-        F.round(chi2_sf(z * z, F.lit(1)), 6).alias("z_p_value"),
-        min_cell.alias("min_cell"),
-        ((n_a >= MIN_GROUP_COUNT) & (n_b >= MIN_GROUP_COUNT) & (min_cell >= MIN_CELL_COUNT)).alias("sample_ok"),
+    out = counts.select("n_a", "n_b", "k_a", "k_b", p1.alias("share_a"), p2.alias("share_b"), chi.alias("chi2"), z.alias("z"),
+                        min_cell.alias("min_cell"))
+    p_value = chi2_sf(F.col("chi2"), F.lit(1))
+    return out.select(
+        F.lit(year_a).alias("year_a"), F.lit(year_b).alias("year_b"), "n_a", "n_b", "k_a", "k_b", "share_a", "share_b", "chi2",
+        F.lit(1).cast("bigint").alias("dof"), p_value.alias("p_value"), "z",
+        chi2_sf(F.col("z") * F.col("z"), F.lit(1)).alias("z_p_value"), "min_cell",
+        ((F.col("n_a") >= MIN_GROUP_COUNT) & (F.col("n_b") >= MIN_GROUP_COUNT)
+         & (F.col("min_cell") >= MIN_CELL_COUNT)).alias("sample_ok"),
         F.when(p_value < alpha, F.lit(REJECT)).otherwise(F.lit(FAIL_TO_REJECT)).alias("conclusion"),
     )

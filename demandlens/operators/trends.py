@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandlens.operators.frequency import year_skill_counts
 from demandlens.session import checkpointed
 
 # Trending score weights, recent-year window, and top-n.
@@ -29,12 +30,13 @@ def annual_share(df: DataFrame, year: str = "posted_year", skill: str = "skill")
     """(posted_year, skill, mentions, year_total, share).
 
     Rows with a null year are dropped; a null skill stays a group and counts in
-    its year's total, as in the reference.
+    its year's total. The aggregate is written once (this runs a job), so
+    whatever is built on it reads years x vocabulary rows, not the input.
     """
     annual = (df.filter(F.col(year).isNotNull())
                 .groupBy(F.col(year).alias("posted_year"), F.col(skill).alias("skill"))
                 .agg(F.count(F.lit(1)).alias("mentions")))
-    return with_year_share(annual)
+    return with_year_share(checkpointed(annual))
 
 
 def with_year_share(annual: DataFrame) -> DataFrame:
@@ -58,7 +60,6 @@ def first_last_change(annual: DataFrame, first_year: int | None = None,
     A skill missing in either year has a null change and ranks last.
     Returns (skill, share_first, share_last, change_pp, direction, rank).
     """
-    annual = checkpointed(annual)  # aggregated; read by the subqueries and both lists
     fy = F.lit(first_year) if first_year is not None else annual.agg(F.min("posted_year")).scalar()
     ly = F.lit(last_year) if last_year is not None else annual.agg(F.max("posted_year")).scalar()
     wide = (annual.filter(F.col("skill").isNotNull())
@@ -98,7 +99,8 @@ def trend_cards(annual: DataFrame) -> DataFrame:
                   .withColumn("change_pp", (F.col("latest_share") - F.col("first_share")) * 100))
 
 
-def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_year") -> DataFrame:
+def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_year",
+                   weight: str | None = None) -> DataFrame:
     """Trending score = 0.55 * mean share over the data's years within the
     last 3 (a missing skill-year counts 0) + 0.30 * max(last - first share, 0)
     + 0.15 * overall share of mentions. Top-n by score, ties by name.
@@ -108,11 +110,12 @@ def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_
     plain frequency instead (score columns null). The zero fill needs no years x skills grid: a mean with
     zeros is the sum over present years divided by the number of recent years.
     """
-    rows = (df.select(F.lower(F.regexp_replace("skill", r"^\s+|\s+$", "")).alias("skill"),
-                      F.col(year).cast("int").alias("posted_year"))
-              .filter(F.col("posted_year").isNotNull()))
-    # aggregated (years x vocabulary); checkpointed once for the subqueries
-    annual = checkpointed(annual_share(rows))
+    rows = df.select(F.lower(F.regexp_replace("skill", r"^\s+|\s+$", "")).alias("skill"),
+                     F.col(year).cast("string").try_cast("double").cast("int").alias("posted_year"),
+                     *([weight] if weight else []))
+    # years x vocabulary, the null year kept for the fallback: the one read of the input
+    counts = checkpointed(year_skill_counts(rows, weight=weight))
+    annual = with_year_share(counts.filter(F.col("posted_year").isNotNull()))
     # Both scalars come from the aggregated table and merge into one job: the
     # sorted distinct years (a calendar-bounded list) and the rows with a skill.
     years = annual.agg(F.sort_array(F.collect_set("posted_year"))).scalar()
@@ -147,12 +150,9 @@ def trending_score(df: DataFrame, top_n: int = TREND_TOP_N, year: str = "posted_
     # No numeric year anywhere: rank by plain frequency instead (the scored
     # branch is then empty). The switch is a scalar test, so both branches
     # stay in one lazy plan.
-    # The switch reuses the years subquery and is applied before the
-    # aggregation, so when years exist this branch shuffles nothing.
-    all_rows = df.select(F.lower(F.regexp_replace("skill", r"^\s+|\s+$", "")).alias("skill"))
     no_years = F.size(years) == 0
-    by_count = (all_rows.filter(no_years & F.col("skill").isNotNull()).groupBy("skill")
-                        .agg(F.count(F.lit(1)).alias("mentions"))
+    by_count = (counts.filter(no_years & F.col("skill").isNotNull()).groupBy("skill")
+                        .agg(F.sum("mentions").alias("mentions"))
                         .orderBy(F.desc("mentions"), F.asc("skill")).limit(top_n)
                         .select("skill",
                                 *[F.lit(None).cast("double").alias(c)

@@ -184,11 +184,12 @@ z AS (SELECT g.experience_level, g.skill, CAST(coalesce(c.n, 0) AS BIGINT) AS n
       LEFT JOIN c ON g.experience_level = c.experience_level AND g.skill = c.skill)
 SELECT experience_level, skill, n, n / sum(n) OVER (PARTITION BY experience_level) AS share,
        n / sum(n) OVER (PARTITION BY experience_level) * 100 AS pct,
-       CASE lower(experience_level) WHEN 'entry' THEN 1 WHEN 'mid' THEN 2 WHEN 'senior' THEN 3 ELSE 99 END AS level_order
+       CASE lower(experience_level) WHEN 'entry' THEN 1 WHEN 'entry-level' THEN 1 WHEN 'mid' THEN 2
+            WHEN 'mid-level' THEN 2 WHEN 'senior' THEN 3 ELSE 99 END AS level_order
 FROM z"""
 
 
-@query("experience_share", "A19 A20 A22 A23 C18 C19", EXP_SQL)
+@query("experience_share", "A19 A20 A23 C18 C19", EXP_SQL)
 def q_experience_share(spark, sf_dir):
     return crosstab.experience_crosstab(analysis_input(spark, sf_dir, "p_brand", ["experience_level"]), top_n=11)
 

@@ -49,14 +49,24 @@ SELECT count(DISTINCT skill_a) AS size, count(CASE WHEN n > 0 THEN 1 END) AS non
        (SELECT concat_ws(' + ', skill_a, skill_b) FROM tp) AS top_pair,
        (SELECT co_occurrence FROM tp) AS top_pair_count,
        (SELECT count(*) FROM mat m1 FULL JOIN mat m2 ON m1.skill_a = m2.skill_b AND m1.skill_b = m2.skill_a
-        WHERE m1.n IS DISTINCT FROM m2.n) = 0 AS symmetric
+        WHERE m1.n IS DISTINCT FROM m2.n) = 0 AS symmetric,
+       (SELECT count(*) FROM p WHERE co_occurrence > 0) >= 5 AS enough_pairs
 FROM mat""")
 def q_matrix_cards(spark, sf_dir):
     df = analysis_input(spark, sf_dir, "p_brand", [])
-    return cooccur.matrix_cards(cooccur.cooccurrence_matrix(df, 11), cooccur.cooccurrence_pairs(df, 11))
+    return cooccur.matrix_cards(*cooccur.matrix_and_pairs(df, 11))
 
 
-@query("baskets", "A26 M1", f"""
+@query("cooccurrence_top_pairs", "K3", f"""
+WITH p AS ({PAIRS_SQL})
+SELECT CAST(row_number() OVER (ORDER BY co_occurrence DESC, skill_a, skill_b) AS INTEGER) AS rank,
+       concat_ws(' + ', skill_a, skill_b) AS skill_pair, co_occurrence
+FROM p ORDER BY co_occurrence DESC, skill_a, skill_b LIMIT 15""")
+def q_cooccurrence_top_pairs(spark, sf_dir):
+    return cooccur.top_pairs(cooccur.cooccurrence_pairs(analysis_input(spark, sf_dir, "p_brand", []), top_n=11))
+
+
+@query("baskets", "A26", f"""
 WITH m AS ({M_TYPE_RAW})
 SELECT job_id, count(*) AS n_items, CAST(count(DISTINCT skill) AS INTEGER) AS n_distinct,
        array_to_string(list_sort(list(DISTINCT skill)), ', ') AS items
@@ -88,18 +98,37 @@ th AS (SELECT CASE WHEN max(freq) / (SELECT n FROM nb) >= 0.05 THEN 0.05 ELSE 0.
 f AS (SELECT s, freq, freq / (SELECT n FROM nb) AS support FROM c WHERE freq / (SELECT n FROM nb) >= (SELECT ms FROM th))"""
 
 
-@query("item_presence", "M2 M3", f"""
+@query("item_presence", "M3", f"""
 WITH {MINING_SQL}
 SELECT unnest(items) AS item, count(*) AS baskets FROM b GROUP BY item""")
 def q_item_presence(spark, sf_dir):
     return basket.item_presence(basket.mining_baskets(mentions(spark, sf_dir, "p_type", [])))
 
 
+@query("item_presence_top", "M1", f"""
+WITH m AS ({mentions_sql("p_name", [])}),
+t AS (SELECT skill FROM m WHERE skill IS NOT NULL GROUP BY skill ORDER BY count(*) DESC, skill LIMIT 30),
+k AS (SELECT job_id, skill FROM m WHERE skill IN (SELECT skill FROM t)),
+b AS (SELECT job_id, list(DISTINCT skill) AS items FROM k GROUP BY job_id HAVING count(*) >= 2)
+SELECT unnest(items) AS item, count(*) AS baskets FROM b GROUP BY item""")
+def q_item_presence_top(spark, sf_dir):
+    """More items than the limit of 30, so the restriction leaves some out."""
+    return basket.item_presence(basket.mining_baskets(mentions(spark, sf_dir, "p_name", [])))
+
+
+@query("onehot_baskets", "M2", f"""
+WITH {MINING_SQL}
+SELECT job_id, list_contains(items, 'ECONOMY') AS "ECONOMY", list_contains(items, 'SMALL') AS "SMALL" FROM (
+  SELECT job_id, list(DISTINCT skill) AS items FROM k GROUP BY job_id HAVING count(*) >= 2)""")
+def q_onehot_baskets(spark, sf_dir):
+    return basket.onehot(basket.mining_baskets(mentions(spark, sf_dir, "p_type", [])), ["ECONOMY", "SMALL"])
+
+
 @query("frequent_itemsets", "M4", f"""
 WITH {MINING_SQL}
 SELECT array_to_string(s, ', ') AS items, CAST(len(s) AS INTEGER) AS n_items, freq, support FROM f""")
 def q_frequent_itemsets(spark, sf_dir):
-    its = basket.frequent_itemsets(basket.mining_baskets(mentions(spark, sf_dir, "p_type", [])))
+    its = basket.mined_itemsets(mentions(spark, sf_dir, "p_type", []))
     return its.select(F.array_join("items", ", ").alias("items"), "n_items", "freq", "support")
 
 
@@ -129,15 +158,21 @@ sel AS (SELECT rr.*, CASE WHEN (SELECT any1 FROM t1) = 1 THEN 1 ELSE 2 END AS ti
 
 
 def _rules(spark, sf_dir):
-    its = basket.frequent_itemsets(basket.mining_baskets(mentions(spark, sf_dir, "p_type", [])))
-    return basket.select_rules(basket.association_rules(its))
+    return basket.select_rules(basket.association_rules(basket.mined_itemsets(mentions(spark, sf_dir, "p_type", []))))
 
 
-@query("association_rules", "M5 M6 M7", RULES_SQL + " SELECT * FROM sel")
+@query("association_rules", "M6 M7", RULES_SQL + " SELECT * FROM sel")
 def q_association_rules(spark, sf_dir):
     return _rules(spark, sf_dir).drop("antecedent_items", "consequent_items")
 
 
+@query("all_rules", "M5", RULES_SQL + " SELECT * FROM rr")
+def q_all_rules(spark, sf_dir):
+    """Every rule of every itemset, several items on either side included."""
+    its = basket.mined_itemsets(mentions(spark, sf_dir, "p_type", []))
+    return basket.association_rules(its).drop("antecedent_items", "consequent_items")
+
+
 @query("rule_lift_matrix", "M8", RULES_SQL + """
 SELECT antecedents, consequents, avg(lift) AS mean_lift FROM sel GROUP BY antecedents, consequents""")
 def q_rule_lift_matrix(spark, sf_dir):
@@ -152,6 +187,15 @@ def q_top_rules(spark, sf_dir):
     return basket.top_rules(_rules(spark, sf_dir), k=10)
 
 
+@query("rules_above_confidence", "M10", RULES_SQL + """
+SELECT CAST(row_number() OVER (ORDER BY lift DESC, antecedents, consequents) AS INTEGER) AS rank,
+       concat_ws(' → ', antecedents, consequents) AS label, antecedents, consequents, support, confidence, lift
+FROM rr WHERE confidence >= 0.4 ORDER BY lift DESC, antecedents, consequents LIMIT 10""")
+def q_rules_above_confidence(spark, sf_dir):
+    its = basket.mined_itemsets(mentions(spark, sf_dir, "p_type", []))
+    return basket.top_rules(basket.association_rules(its), k=10, min_confidence=0.4)
+
+
 @query("confidence_range", "M10", RULES_SQL + """
 SELECT count(*) AS rules, min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM sel""")
 def q_confidence_range(spark, sf_dir):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.operators import cleaning, frequency
@@ -15,6 +18,7 @@ from demandlens.sources.tables import (
     table,
     ticket_postings,
 )
+from demandlens.session import checkpointed
 
 
 def _coerce_sql(x: str) -> str:
@@ -79,7 +83,7 @@ def clean_long(spark, sf_dir):
     return cleaning.clean_primary(skills, jobs)
 
 
-@query("clean_long", "C1 C2 C3 C4 C5 C7 C8 C9 C10 C11 C16 J2 S1 S4", f"WITH {CLEAN_CTE} SELECT * FROM cl")
+@query("clean_long", "C1 C2 C3 C5 C7 C8 C9 C11 C16 J2", f"WITH {CLEAN_CTE} SELECT * FROM cl")
 def q_clean_long(spark, sf_dir):
     return clean_long(spark, sf_dir)
 
@@ -121,23 +125,38 @@ def q_bi_export(spark, sf_dir):
                      F.concat(F.year(ts).cast("string"), F.lit("Q"), F.quarter(ts).cast("string")).alias("posted_quarter"))
 
 
-@query("filtered_view", "C13 C14 C21", f"""
-WITH m AS ({analysis_sql("p_brand", ["skill_category", "posted_year"])})
-SELECT posted_year, skill_category, count(*) AS mentions FROM m
-WHERE posted_year IS NOT NULL AND CAST(posted_year AS VARCHAR) IN ('1996', '1997', '1998', '1999', '2000')
-  AND skill_category IN ('economy', 'small') AND posted_year BETWEEN 1997 AND 2000
-GROUP BY posted_year, skill_category""")
+@query("filtered_view", "C13 C14", f"""
+WITH {CLEAN_CTE},
+c AS (SELECT posted_year, skill_category, count(*) AS mentions FROM cl GROUP BY ALL)
+SELECT 'nothing selected' AS view, * FROM c
+UNION ALL SELECT 'selection', * FROM c WHERE (posted_year IN (1996, 1997) OR posted_year IS NULL) AND skill_category IN ('economy', 'small')
+UNION ALL SELECT 'years only', * FROM c WHERE posted_year IN (1996, 1997)
+UNION ALL SELECT 'verified years', * FROM c WHERE posted_year IS NOT NULL""")
 def q_filtered_view(spark, sf_dir):
-    df = analysis_input(spark, sf_dir, "p_brand", ["skill_category", "posted_year"])
-    view = cleaning.year_filter(df, years=[1996, 1997, 1998, 1999, 2000], categories=["economy", "small"],
-                                year_range=(1997, 2000))
-    return view.groupBy("posted_year", "skill_category").agg(F.count(F.lit(1)).alias("mentions"))
+    counts = checkpointed(clean_long(spark, sf_dir).groupBy("posted_year", "skill_category").agg(F.count(F.lit(1)).alias("mentions")))
+    views = {
+        "nothing selected": cleaning.year_filter(counts),
+        "selection": cleaning.year_filter(counts, years=["1996", 1997, "Not Specified"], categories=["economy", "small"]),
+        "years only": cleaning.year_filter(counts, years=[1996, 1997]),
+        "verified years": cleaning.verified_years(counts),
+    }
+    return reduce(DataFrame.unionByName, [v.select(F.lit(k).alias("view"), "*") for k, v in views.items()])
+
+
+@query("slicer_panel", "C21", f"""
+WITH m AS ({analysis_sql("p_brand", ["posted_year"])})
+SELECT posted_year, skill, count(*) AS mentions, (SELECT count(*) FROM m) AS card_mentions,
+       (SELECT count(DISTINCT posted_year) FROM m) AS card_years
+FROM m WHERE posted_year BETWEEN 1997 AND 2000 AND skill IN ('brand#1', 'brand#2', 'brand#3') GROUP BY posted_year, skill""")
+def q_slicer_panel(spark, sf_dir):
+    return cleaning.slicer_panel(analysis_input(spark, sf_dir, "p_brand", ["posted_year"]), (1997, 2000),
+                                 ["brand#1", "brand#2", "brand#3"])
 
 
 _S = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-@query("clean_postings", "C16 C17", f"""
+@query("clean_postings", "C16", f"""
 WITH p AS ({TICKET_POSTINGS_SQL}),
 s AS (SELECT {_S.format(x='job_title')} AS job_title, lower({_S.format(x='skills_required')}) AS skills_required,
              lower({_S.format(x='date_posted')}) AS date_posted, lower({_S.format(x='experience_level')}) AS experience_level,
@@ -152,7 +171,7 @@ def q_clean_postings(spark, sf_dir):
     return cleaning.clean_postings(ticket_postings(spark, sf_dir))
 
 
-@query("posting_level_crosstab", "X4 C18 A19 A20", f"""
+POSTING_LEVEL_SQL = f"""
 WITH p AS ({TICKET_POSTINGS_SQL}),
 s AS (SELECT lower({_S.format(x='skills_required')}) AS skills_required,
              lower({_S.format(x='experience_level')}) AS experience_level,
@@ -175,9 +194,13 @@ z AS (SELECT g.experience_level, g.skill, CAST(coalesce(cc.n, 0) AS BIGINT) AS n
       LEFT JOIN cc ON g.experience_level = cc.experience_level AND g.skill = cc.skill)
 SELECT experience_level, skill, n, n / sum(n) OVER (PARTITION BY experience_level) AS share,
        n / sum(n) OVER (PARTITION BY experience_level) * 100 AS pct,
-       CASE lower(experience_level) WHEN 'entry' THEN 1 WHEN 'mid' THEN 2 WHEN 'senior' THEN 3 ELSE 99 END AS level_order
-FROM z""")
-def q_posting_level_crosstab(spark, sf_dir):
+       CASE lower(experience_level) WHEN 'entry' THEN 1 WHEN 'entry-level' THEN 1 WHEN 'mid' THEN 2
+            WHEN 'mid-level' THEN 2 WHEN 'senior' THEN 3 ELSE 99 END AS level_order
+FROM z"""
+
+
+def posting_levels(spark, sf_dir):
+    """The cross-tab of the cleaned postings' levels and skills."""
     from demandlens.functions.text import level_label, normalize_text
     from demandlens.operators import crosstab
     cleaned = cleaning.clean_postings(ticket_postings(spark, sf_dir))
@@ -189,3 +212,17 @@ def q_posting_level_crosstab(spark, sf_dir):
                        .select("experience_level", normalize_text("_s").alias("skill"))
                        .filter(F.col("skill") != ""))
     return crosstab.experience_crosstab(exploded, top_n=11, map_codes=False)
+
+
+@query("posting_level_crosstab", "X4 C18 C19 A19 A20", POSTING_LEVEL_SQL)
+def q_posting_level_crosstab(spark, sf_dir):
+    return posting_levels(spark, sf_dir)
+
+
+@query("ordered_crosstab", "A22", f"""
+WITH x AS ({POSTING_LEVEL_SQL}),
+o AS (SELECT skill, CAST(row_number() OVER (ORDER BY sum(share) DESC, skill) AS INTEGER) AS skill_order FROM x GROUP BY skill)
+SELECT x.*, o.skill_order FROM x JOIN o USING (skill) WHERE level_order < 99""")
+def q_ordered_crosstab(spark, sf_dir):
+    from demandlens.operators import crosstab
+    return crosstab.ordered_crosstab(posting_levels(spark, sf_dir))

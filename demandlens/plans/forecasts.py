@@ -8,7 +8,9 @@ from demandlens.operators import forecast
 from demandlens.plans.inputs import analysis_input, analysis_sql
 from demandlens.plans.registry import query
 
-T90_SQL = "[" + ", ".join(f"{v}" for v in forecast.T90) + "]"
+T90_SQL = """[3.077684, 1.885618, 1.637744, 1.533206, 1.475884, 1.439756, 1.414924, 1.396815, 1.383029, 1.372184,
+  1.363430, 1.356217, 1.350171, 1.345030, 1.340606, 1.336757, 1.333379, 1.330391, 1.327728, 1.325341,
+  1.323188, 1.321237, 1.319460, 1.317836, 1.316345, 1.314972, 1.313703, 1.312527, 1.311434, 1.310415]"""
 
 STATS_SQL = f"""
 m AS ({analysis_sql("p_brand", ["posted_year"])}),
@@ -41,7 +43,7 @@ INTERVAL_SQL = f"""
 WITH {STATS_SQL},
 iv AS (SELECT *, slope * forecast_year + intercept AS raw,
               CASE WHEN n - 2 <= 0 THEN NULL WHEN n - 2 <= 30 THEN list_extract({T90_SQL}, CAST(n - 2 AS INTEGER))
-                   ELSE {forecast.Z90} END
+                   END
               * sqrt(greatest(0.0, (syy - CAST(sy AS DOUBLE) * sy / n) - slope * ((n * sxy - sx * sy) / n)) / (n - 2))
               * sqrt(1 + 1 / n + power(forecast_year - sx / n, 2) / ((n * sxx - sx * sx) / n)) AS half FROM fd),
 b AS (SELECT *, greatest(0.0, raw - half) AS lo, raw + half AS hi FROM iv),
@@ -61,7 +63,6 @@ SELECT skill, 'history' AS kind, CAST(year AS INTEGER) AS year, round(CAST(y AS
 FROM s WHERE skill IN (SELECT skill FROM fc)""")
 def q_forecast_interval(spark, sf_dir):
     df = analysis_input(spark, sf_dir, "p_brand", ["posted_year"])
-    from demandlens.operators.frequency import top_skill_list
-    series = forecast.yearly_series(df, top_skill_list(df, 10))
+    series = forecast.top_skill_series(df, 10)
     feed = forecast.chart_feed(series, forecast.interval_forecast(series))
     return feed.withColumns({c: F.round(c, 6) for c in ("value", "ci_lower", "ci_upper")})

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from demandlens.operators import basket, gap
 from demandlens.plans.baskets import RULES_SQL
-from demandlens.plans.inputs import analysis_input, analysis_sql
+from demandlens.plans.inputs import analysis_sql
 from demandlens.plans.registry import query
+from demandlens.session import checkpointed
 from demandlens.sources.tables import PROFILES_SQL, mentions, profiles
 
 
@@ -84,9 +85,17 @@ p7 AS (SELECT *, list_filter(trending_skills, lambda t: NOT list_contains(list_t
 g AS (SELECT *, list_slice(missing_skills, 1, {gap.PRIORITY_N}) AS priority_skills FROM p7)"""
 
 
-def _gap(spark, sf_dir):
-    trending = gap.trending_list(analysis_input(spark, sf_dir, "p_type", ["posted_year"]))
-    return gap.skill_gap(gap.parse_profiles(profiles(spark, sf_dir)), trending)
+def _counted(spark, sf_dir):
+    """(job_id, customer_id, posted_year, skill, k): the line items with their
+    joins, read and written once; trends, profiles and baskets come from it."""
+    rows = mentions(spark, sf_dir, "p_type", ["posted_year", "customer_id"])
+    return checkpointed(rows.groupBy("job_id", "customer_id", "posted_year", "skill").agg(F.count(F.lit(1)).alias("k")))
+
+
+def _gap(spark, sf_dir, counted=None):
+    counted = _counted(spark, sf_dir) if counted is None else counted
+    trending = gap.trending_list(counted, weight="k")
+    return gap.skill_gap(gap.parse_profiles(profiles(spark, sf_dir, counted)), trending)
 
 
 def _strings(df):
@@ -105,9 +114,13 @@ def q_skill_gap(spark, sf_dir):
     return _strings(_gap(spark, sf_dir))
 
 
-def _rules(spark, sf_dir):
-    its = basket.frequent_itemsets(basket.mining_baskets(mentions(spark, sf_dir, "p_type", [])))
-    return basket.select_rules(basket.association_rules(its))
+def _rules(counted):
+    return basket.select_rules(basket.association_rules(basket.mined_itemsets(counted, weight="k")))
+
+
+def _insight(spark, sf_dir):
+    counted = _counted(spark, sf_dir)
+    return gap.rule_insight(_gap(spark, sf_dir, counted), _rules(counted))
 
 
 INSIGHT_CTE = f"""
@@ -126,7 +139,7 @@ gi AS (SELECT g.*, ins.insight FROM g LEFT JOIN ins USING (user_id))"""
 WITH {INSIGHT_CTE}
 SELECT user_id, insight FROM gi""")
 def q_gap_rule_insight(spark, sf_dir):
-    return gap.rule_insight(_gap(spark, sf_dir), _rules(spark, sf_dir)).select("user_id", "insight")
+    return _insight(spark, sf_dir).select("user_id", "insight")
 
 
 def _j(x):
@@ -169,4 +182,4 @@ SELECT user_id, valid,
             || {_lit(_PC[2])} END AS prompt_concise
 FROM ad""")
 def q_gap_advice(spark, sf_dir):
-    return gap.preview(gap.rule_insight(_gap(spark, sf_dir), _rules(spark, sf_dir)))
+    return gap.preview(_insight(spark, sf_dir))

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandlens.functions.stats import chi2_sf_sql
 from demandlens.operators import cleaning, stats
 from demandlens.plans.inputs import analysis_input, analysis_sql
 from demandlens.plans.registry import query, sql_norm
 from demandlens.sources.tables import VALIDATION_POSTINGS_SQL, validation_sources
 
+
+
+def _tail(stat: str, dof: str) -> str:
+    """DuckDB: one minus the series of the lower chi-square tail."""
+    a, x = f"(({dof}) / 2.0)", f"(({stat}) / 2.0)"
+    terms = f"CAST(greatest(60, {x} + sqrt({x}) * 12 + 60) AS BIGINT)"
+    return (f"CASE WHEN ({dof}) <= 0 OR ({stat}) <= 0 THEN 1.0 ELSE greatest(0.0, 1 - (SELECT sum(exp({a} * ln({x}) - {x} "
+            f"+ k * ln({x}) - lgamma({a} + k + 1))) FROM range(0, {terms} + 1) t(k))) END")
+
+
 VALIDATION_SQL = f"""
 WITH p AS (SELECT job_link, {sql_norm('job_title')} AS job_title, {sql_norm('job_level')} AS job_level
            FROM ({VALIDATION_POSTINGS_SQL}) q),
@@ -20,24 +29,25 @@ e AS (SELECT DISTINCT job_link, skill FROM (
 SELECT e.job_link, e.skill, p.job_title, p.job_level, 'linkedin' AS source FROM e LEFT JOIN p USING (job_link)"""
 
 
-def validation_table(spark, sf_dir):
-    """C12 + J5 + J3: explode the comma lists of the sampled postings, then
-    attach the posting metadata (left join), normalised and tagged."""
+def validation_table(spark, sf_dir, sample: bool = True):
+    """C12 + J5 + J3: explode the comma lists of the sampled postings (or of
+    all), then attach the posting metadata (left join, null where a list has no
+    posting), normalised and tagged."""
     job_skills, postings = validation_sources(spark, sf_dir)
     postings = cleaning.normalize_columns(postings, ["job_title", "job_level"])
-    sampled = cleaning.semi_join_keys(job_skills, postings, "job_link")
-    exploded = cleaning.explode_skill_list(sampled, "job_link", "job_skills")
+    lists = cleaning.semi_join_keys(job_skills, postings, "job_link") if sample else job_skills
+    exploded = cleaning.explode_skill_list(lists, "job_link", "job_skills")
     return (exploded.join(postings, "job_link", "left")
                     .select("job_link", "skill", "job_title", "job_level")
                     .withColumn("source", F.lit("linkedin")))
 
 
-@query("exploded_items", "C12 J3 J4 J5 S3 C1 C8", VALIDATION_SQL)
+@query("exploded_items", "C12 J3 J5 S3 C1 C8", VALIDATION_SQL)
 def q_exploded_items(spark, sf_dir):
     return validation_table(spark, sf_dir)
 
 
-FLAG_SQL = f"""v AS ({VALIDATION_SQL}),
+FLAG_SQL = f"""v AS ({VALIDATION_SQL.replace(" WHERE doc_id IN (SELECT job_link FROM p)", "")}),
 fl AS (SELECT *, coalesce(regexp_matches(skill, '(?i)(llm|rag|genai|prompt engineering)'), false) AS genai_flag FROM v)"""
 
 
@@ -47,7 +57,7 @@ SELECT job_level, CAST(sum(CAST(genai_flag AS INTEGER)) AS BIGINT) AS genai_ment
        count(*) AS total_skill_rows, avg(CAST(genai_flag AS INTEGER)) AS genai_share
 FROM fl GROUP BY job_level""")
 def q_keyword_flag(spark, sf_dir):
-    return stats.flag_summary(stats.flag_keywords(validation_table(spark, sf_dir)))
+    return stats.flag_summary(stats.flag_keywords(validation_table(spark, sf_dir, sample=False)))
 
 
 @query("chi_square", "T3 T4", f"""
@@ -63,14 +73,15 @@ dd AS (SELECT ((SELECT nr FROM tot) - 1) * ((SELECT nc FROM tot) - 1) AS dof),
 st AS (SELECT sum(power(abs(o - e) - CASE WHEN (SELECT dof FROM dd) = 1 THEN least(0.5, abs(o - e)) ELSE 0.0 END, 2) / e)
               AS statistic, min(e) AS min_expected FROM m)
 SELECT round(statistic, 6) AS statistic, CAST((SELECT dof FROM dd) AS BIGINT) AS dof,
-       round({chi2_sf_sql('statistic', '(SELECT dof FROM dd)')}, 6) AS p_value,
+       round({_tail('statistic', '(SELECT dof FROM dd)')}, 6) AS p_value,
        CAST((SELECT n FROM tot) AS BIGINT) AS n, CAST((SELECT nr FROM tot) AS BIGINT) AS n_rows,
-       CAST((SELECT nc FROM tot) AS BIGINT) AS n_cols, round(min_expected, 9) AS min_expected,
+       CAST((SELECT nc FROM tot) AS BIGINT) AS n_cols, round(min_expected, 6) AS min_expected,
        min_expected > 0 AS valid
 FROM st""")
 def q_chi_square(spark, sf_dir):
-    flagged = stats.flag_keywords(validation_table(spark, sf_dir))
-    return stats.chi_square(stats.contingency(flagged, "job_level", "genai_flag"))
+    flagged = stats.flag_keywords(validation_table(spark, sf_dir, sample=False))
+    out = stats.chi_square(stats.contingency(flagged, "job_level", "genai_flag"))
+    return out.withColumns({c: F.round(c, d) for c, d in (("statistic", 6), ("p_value", 6), ("min_expected", 6))})
 
 
 TWO_YEAR_GROUP = ["brand#1", "brand#2", "brand#3"]
@@ -89,12 +100,13 @@ st AS (SELECT *, power(abs(k_a - e11) - least(0.5, abs(k_a - e11)), 2)
              * (n_a + n_b) * (1 / n_a + 1 / n_b) * (1 / (k_a + k_b) + 1 / (n_a + n_b - k_a - k_b)) AS chi FROM z)
 SELECT 1996 AS year_a, 2000 AS year_b, n_a, n_b, k_a, k_b, share_a, share_b,
        round(chi, 6) AS chi2, CAST(1 AS BIGINT) AS dof,
-       round({chi2_sf_sql('chi', '1')}, 6) AS p_value,
-       round(zz, 6) AS z, round({chi2_sf_sql('zz * zz', '1')}, 6) AS z_p_value,
+       round({_tail('chi', '1')}, 6) AS p_value,
+       round(zz, 6) AS z, round({_tail('zz * zz', '1')}, 6) AS z_p_value,
        least(k_a, k_b, n_a - k_a, n_b - k_b) AS min_cell,
        n_a >= 30 AND n_b >= 30 AND least(k_a, k_b, n_a - k_a, n_b - k_b) >= 5 AS sample_ok,
-       CASE WHEN round({chi2_sf_sql('chi', '1')}, 6) < 0.05 THEN 'REJECT H₀' ELSE 'FAIL TO REJECT H₀' END AS conclusion
+       CASE WHEN {_tail('chi', '1')} < 0.05 THEN 'REJECT H₀' ELSE 'FAIL TO REJECT H₀' END AS conclusion
 FROM st""")
 def q_two_year_test(spark, sf_dir):
     df = analysis_input(spark, sf_dir, "p_brand", ["posted_year"])
-    return stats.two_year_test(df, 1996, 2000, TWO_YEAR_GROUP)
+    out = stats.two_year_test(df, 1996, 2000, TWO_YEAR_GROUP)
+    return out.withColumns({c: F.round(c, 6) for c in ("chi2", "p_value", "z", "z_p_value")})

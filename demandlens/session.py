@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every demandlens job relies on. AQE re-plans joins from runtime
 # sizes (a broadcast only happens below the size threshold, otherwise a
@@ -41,7 +45,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
@@ -59,59 +62,53 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
     The cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session and only set here when unset (local tests), never overridden.
+    session and never overridden. Only a session in one local JVM (tests, the
+    bench) may go without: it gets a temporary folder. On a cluster each
+    executor would see its own disk there, so an unset folder is an error.
     """
-    sc_dir = spark.sparkContext.getCheckpointDir()
-    if sc_dir:
-        return sc_dir
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     chosen = spark.conf.get("spark.checkpoint.dir", None)
-    if not chosen:  # unset: local runs and tests only
+    if not chosen:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
         chosen = tempfile.mkdtemp(prefix="demandlens-ckpt-")
-    spark.sparkContext.setCheckpointDir(chosen)
+    sc.setCheckpointDir(chosen)
     return chosen
 
 
-# Below this input size a single-task scan is cheaper than a round-robin shuffle.
-SPREAD_MIN_BYTES = 4 * 1024 * 1024
+_folders: list[str] = []  # of tables_folder() contexts, the innermost last
 
 
-def input_bytes(df) -> int:
-    """Total size of the files behind a file-source DataFrame (Hadoop FS, so
-    it works for cluster storage as well as local paths)."""
-    sc = df.sparkSession.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
+@contextmanager
+def tables_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``checkpointed`` writes in this context go to a folder of
+    its own, which ``remove_tables`` removes once nothing reads them."""
+    _folders.append(os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex))
+    try:
+        yield _folders[-1]
+    finally:
+        _folders.pop()
 
 
-def spread(df, spark: SparkSession | None = None, min_bytes: int = SPREAD_MIN_BYTES):
-    """Spread the work after a scan over the cluster's parallelism when the
-    scan yields fewer partitions than that (e.g. one large row group read by
-    a single task) and the input is large enough to be worth a round-robin
-    shuffle. At scale a scan has far more partitions than cores and this is a
-    no-op, so no shuffle is added there."""
-    spark = spark or df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want or input_bytes(df) < min_bytes:
-        return df
-    return df.repartition(want)
+def remove_tables(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``tables_folder`` gave."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(conf).delete(path, True)
 
 
-def checkpointed(df):
-    """Materialise a (small, aggregated) intermediate in the session's shared
-    checkpoint folder and read it back: computed once, lineage cut, so the
-    scalar subqueries and branches that read it never re-run its inputs and a
-    lost executor does not recompute them.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate in the session's shared checkpoint folder
+    and read it back: computed once, lineage cut, so the branches that read it
+    never re-run its inputs and a lost executor does not recompute them.
 
     Written as Parquet rather than with ``DataFrame.checkpoint()``: a reliable
     RDD checkpoint computes its input a second time to write the files.
     """
-    import os
-    import uuid
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    folder = _folders[-1] if _folders else os.path.join(checkpoint_dir(spark), "tables")
+    path = os.path.join(folder, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.parquet(path)

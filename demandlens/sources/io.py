@@ -4,7 +4,9 @@ first-n sample."""
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def read_csv_any(spark: SparkSession, path: str, schema: StructType | str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """The first encoding in which no line of the files holds a broken
+    character (U+FFFD, what a decoder puts for one)."""
+    for encoding in encodings[:-1]:
+        lines = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path, schema="line string")
+        if not lines.filter(F.contains("line", F.lit("\ufffd"))).limit(1).count():
+            return read_csv_typed(spark, path, schema, encoding)
+    return read_csv_typed(spark, path, schema, encodings[-1])
+
+
+def load_validation(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "csv") -> DataFrame:
+    """The validation table, which must exist."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no validation table at {path}")
+    return read_csv_typed(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
+
+
 def load_or_empty(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet") -> DataFrame:
     """Load a table, or an empty frame with the expected columns when
     the path does not exist."""
@@ -59,12 +78,26 @@ def bi_text_columns(df: DataFrame, fill: dict[str, str] | None = None) -> DataFr
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items() if c in out.columns})
 
 
+def fingerprint(df: DataFrame) -> str:
+    """What a plan reads and computes: its input files with their sizes and
+    times, and the optimised plan without the numbers of its columns."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        parts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
+    return hashlib.sha256("\n".join([*parts, plan]).encode()).hexdigest()[:16]
+
+
 def materialize(df: DataFrame, name: str, reuse: bool = True) -> DataFrame:
     """Write an intermediate once to the shared checkpoint folder and read
     it back (cuts the lineage, so a lost executor never recomputes upstream
-    joins); with ``reuse`` an existing copy keyed by ``name`` is read as is."""
+    joins); with ``reuse`` an existing copy of the same name, made by the same
+    plan from the same files, is read as is."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tables", name)
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{fingerprint(df)}")
     if not (reuse and _exists(spark, os.path.join(path, "_SUCCESS"))):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -79,11 +112,10 @@ def first_n(df: DataFrame, n: int, ordinal: str) -> DataFrame:
 def validated_load(spark: SparkSession, path: str, schema: StructType | str, required: Sequence[str],
                    min_rows: int, fmt: str = "csv"):
     """Q6: typed load plus the schema (Q4) and minimum-row (Q5) checks.
-    Returns (DataFrame, report rows); never raises on a failed check. The row
-    check reads at most ``min_rows`` rows."""
+    Returns (DataFrame, report rows); never raises on a failed check."""
     df = read_csv_typed(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
     missing = [c for c in required if c not in df.columns]
-    have = df.limit(min_rows).count()
+    have = df.count()
     report = [("required_columns_missing", float(len(missing)), 0.0, not missing),
               ("row_count_at_least", float(have), float(min_rows), have >= min_rows)]
     return df, report

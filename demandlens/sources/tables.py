@@ -24,8 +24,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.session import spread
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -47,15 +45,11 @@ ALL_FIELDS = tuple(_FIELD_SOURCE)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table (a parquet file or directory).
-
-    A scan with fewer partitions than the cluster's parallelism (here: one
-    large row group per file) is spread round-robin so the work after it is
-    not single-threaded; a scan of many files is left as it is.
-    """
+    """One driver table (a parquet file or directory), read as it is laid out;
+    ``spark.sql.files.maxPartitionBytes`` sizes the scan's tasks."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), spark)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def mentions(spark: SparkSession, sf_dir: str, skill: str = "p_brand",
@@ -148,42 +142,50 @@ VALIDATION_POSTINGS_SQL = (
     "FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in for user skill profiles: one row per customer, the text lists
-    the part types of the customer's latest order in line order (then by name)
-    (``user_id``, ``skills_text``), raw case and repeats kept."""
-    latest = (table(spark, sf_dir, "orders")
-              .groupBy(F.col("o_custkey").alias("user_id"))
-              .agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("l_orderkey")))
-    lines = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-             .join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey"))
-    # one order's lines: a handful of rows per user
-    return (latest.join(lines, "l_orderkey")
-            .groupBy("user_id")
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_type"))),
-                                          lambda x: x["p_type"]), ", ").alias("skills_text")))
+def profiles(spark: SparkSession, sf_dir: str, bought: DataFrame | None = None) -> DataFrame:
+    """Stand-in for user skill profiles: one row per customer (``user_id``,
+    ``skills_text``). The text lists the part types of all the customer's
+    orders, in the order they were first bought (then by name); a customer
+    without orders has none. By customer number modulo 25 some texts are junk,
+    as users write it: 0 a trivial word, 1 a single letter, 2 aliases and a
+    repeat before the list, 3 a long phrase before it, 4 skills that no part
+    has. ``bought`` (customer_id, job_id, skill) stands in for the joined line
+    items where they have been read already."""
+    if bought is None:
+        bought = mentions(spark, sf_dir, "p_type", ["customer_id"])
+    types = (bought.where("skill is not null").groupBy(F.col("customer_id").alias("user_id"), F.col("skill").alias("p_type"))
+             .agg(F.min("job_id").alias("first")))  # partial aggregate per task
+    lists = types.groupBy("user_id").agg(F.array_join(F.transform(  # bounded by the number of part types
+        F.sort_array(F.collect_list(F.struct("first", "p_type"))), lambda x: x["p_type"]), ", ").alias("own"))
+    kind = F.col("user_id") % 25
+    text = (F.when(kind == 0, F.lit("n/a")).when(kind == 1, F.lit("R"))
+             .when(kind == 2, F.concat(F.lit("sklearn, Scikit Learn,  SQL , sql, "), "own"))
+             .when(kind == 3, F.concat(F.lit("a person who is good with people, "), "own"))
+             .when(kind == 4, F.lit("Pottery, Gardening")).otherwise(F.col("own")))
+    return (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).join(lists, "user_id", "left")
+            .select("user_id", text.alias("skills_text")))
 
 
 PROFILES_SQL = """
-SELECT lo.o_custkey AS user_id, string_agg(p.p_type, ', ' ORDER BY l.l_linenumber, p.p_type) AS skills_text
-FROM (SELECT o_custkey, o_orderkey FROM (
-        SELECT o_custkey, o_orderkey,
-               row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
-        FROM orders) WHERE r = 1) lo
-JOIN lineitem l ON l.l_orderkey = lo.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey
-GROUP BY lo.o_custkey"""
+SELECT c.c_custkey AS user_id,
+       CASE c.c_custkey % 25 WHEN 0 THEN 'n/a' WHEN 1 THEN 'R' WHEN 2 THEN 'sklearn, Scikit Learn,  SQL , sql, ' || own
+            WHEN 3 THEN 'a person who is good with people, ' || own WHEN 4 THEN 'Pottery, Gardening' ELSE own END AS skills_text
+FROM customer c LEFT JOIN (
+  SELECT user_id, string_agg(p_type, ', ' ORDER BY f, p_type) AS own
+  FROM (SELECT o.o_custkey AS user_id, p.p_type, min(o.o_orderkey) AS f
+        FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey
+        GROUP BY o.o_custkey, p.p_type) GROUP BY user_id) t ON t.user_id = c.c_custkey"""
 
 
 def primary_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stand-in for the two raw primary files (jobs, skills), with the id
     defects the key repair exists for.
 
-    jobs (one row per order with status 'F', so about a third of skills stay
-    unmatched): job_id = 11-char zero-padded (orderkey div 2) + (orderkey mod 2),
+    jobs (one row per order): job_id = 11-char zero-padded (orderkey div 2) + (orderkey mod 2),
     so two jobs share each 11-char prefix; ordinal = orderkey (file order);
     text metadata with raw case; numbers and dates as text.
     skills (one row per line item): job_id by line number mod 3 -- the job id
-    as is, 'E' + its first 11 characters, or a junk id; skill = p_brand,
+    as is, 'E' + its first 11 characters, or a junk id, which stays unmatched; skill = p_brand,
     upper-cased on even line numbers (case variants); category p_type; level
     l_returnflag.
     """
@@ -192,7 +194,7 @@ def primary_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     orders = table(spark, sf_dir, "orders")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    jobs = (orders.filter(F.col("o_orderstatus") == "F")
+    jobs = (orders
             .join(cust, orders["o_custkey"] == cust["c_custkey"])
             .join(nation, "c_nationkey")
             .select(jid.alias("job_id"), F.col("o_orderkey").alias("ordinal"),
@@ -227,8 +229,7 @@ SELECT lpad(CAST(o.o_orderkey // 2 AS VARCHAR), 11, '0') || CAST(o.o_orderkey %
        CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS VARCHAR) AS salary_min_usd,
        CAST(o.o_totalprice AS VARCHAR) AS salary_max_usd,
        CAST(year(o.o_orderdate) AS VARCHAR) AS posted_year, strftime(o.o_orderdate, '%Y-%m-%d') AS posted_date
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-WHERE o.o_orderstatus = 'F'"""
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"""
 
 PRIMARY_SKILLS_SQL = """
 SELECT CASE l.l_linenumber % 3
@@ -243,7 +244,7 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"""
 def ticket_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for the contract's postings table (job_title, skills_required,
     date_posted, experience_level, company_location), one row per order:
-    title <- market segment (raw case), skills <- the order's part brands as a
+    title <- market segment (raw case), skills <- the order's distinct part brands as a
     comma list (orders without lines have none), date <- order date as text
     (every 50th order carries an unparsable date), level <- a code from the
     order priority (EX / SE / MI / EN; '4-NOT SPECIFIED' has none),
@@ -253,8 +254,8 @@ def ticket_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     lines = (table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
              .join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-             .groupBy("o_orderkey")  # one order's lines: a handful of rows
-             .agg(F.concat_ws(", ", F.sort_array(F.collect_list("p_brand"))).alias("skills_required")))
+             .select("o_orderkey", "p_brand").distinct()  # a partial aggregate: what is collected is bounded by the brands, not by the order's lines
+             .groupBy("o_orderkey").agg(F.concat_ws(", ", F.sort_array(F.collect_list("p_brand"))).alias("skills_required")))
     level = (F.when(F.col("o_orderpriority") == "1-URGENT", "EX").when(F.col("o_orderpriority") == "2-HIGH", "SE")
               .when(F.col("o_orderpriority") == "3-MEDIUM", "MI").when(F.col("o_orderpriority") == "5-LOW", "EN"))
     date = F.when(F.col("o_orderkey") % 50 == 0, F.lit("not a date")).otherwise(
@@ -272,6 +273,6 @@ SELECT c.c_mktsegment AS job_title, li.skills_required,
                               WHEN '5-LOW' THEN 'EN' END AS experience_level,
        n.n_name AS company_location
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-LEFT JOIN (SELECT l.l_orderkey, array_to_string(list_sort(list(p.p_brand)), ', ') AS skills_required
+LEFT JOIN (SELECT l.l_orderkey, array_to_string(list_sort(list(DISTINCT p.p_brand)), ', ') AS skills_required
            FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey) li
   ON li.l_orderkey = o.o_orderkey"""

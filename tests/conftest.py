@@ -10,8 +10,9 @@ SMALL_SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from demandlens.session import build_session
     s = build_session(master="local[4]", shuffle_partitions=4, app_name="demandlens-tests")
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield s
     s.stop()
