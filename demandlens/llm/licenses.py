@@ -4,8 +4,8 @@ Paragraphs are the lines of a text. Each becomes a sparse vector of hashed
 word 1- and 2-grams; a multinomial logistic regression gives a probability for
 each licence family and for ``unknown``. It is trained on variants of licence
 templates (words left out, cut to windows, set among words of ordinary text)
-and, for ``unknown``, on at most ``UNKNOWN_ROWS`` paragraphs of the corpus,
-those of lowest hash that share few word pairs with any template. A second
+and, for ``unknown``, on at most ``UNKNOWN_ROWS`` paragraphs of as many texts of
+the corpus, those of lowest hash that share few word pairs with any template. A second
 logistic regression on rows held out from the first (margin of the best family
 over unknown -> is it that family) calibrates the probability. A prediction of
 ``ACCEPT`` or more is confirmed by template comparison: the paragraph's word
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .sampling import lowest_hash
 
 FEATURES = 1 << 14
 UNKNOWN_ROWS = 3_000
@@ -172,7 +173,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
     half = F.greatest(F.ceil(n * 0.6).cast("int"), F.lit(3))
     windows = [F.slice("words", F.lit(1), half), F.slice("words", F.greatest(n - half + 1, F.lit(1)), half)]
     known = source.select("family", "words", F.posexplode(F.array(F.col("words"), *drops, *windows)).alias("variant", "cut"))
-    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    some = lowest_hash(docs.where("text is not null").select("text"), UNKNOWN_ROWS, "text")
+    lines = some.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     lowest = lines.withColumn("h", F.xxhash64("line")).orderBy("h", "line").limit(UNKNOWN_ROWS)
     # paragraphs that share a template's pairs are no sure examples of unknown
     best = reduce(lambda a, b: F.greatest(a, b), [cover(F.col("words"), F.lit(f)) for f in TEMPLATES])

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import lowest_hash
+
 #: The contract's rules (fixed values): action, host, path.
 RULES = [
     ("block", "net", "/"),
@@ -99,8 +101,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
             .withColumn("sort", F.concat("key", F.lit("\u0001"), "path", F.lit("\u0001"),
                                          F.lpad(F.hex(F.coalesce("page_id", F.lit(0))), 16, "0"))))
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lowest = urls.select("sort").orderBy(F.xxhash64("sort"), "sort").limit(CUT_SAMPLE)
-    sample = sorted(r["sort"] for r in lowest.collect())
+    sample = sorted(r["sort"] for r in lowest_hash(urls.select("sort"), CUT_SAMPLE, "sort").collect())
     cuts = sorted({sample[i * len(sample) // wanted] for i in range(1, wanted)}) if sample else []
 
     def parted(batches):
