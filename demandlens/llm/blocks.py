@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+#: Small enough for a block's arrays to stay in the processor's cache.
+BLOCK_BYTES = 128 << 10
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
