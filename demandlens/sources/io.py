@@ -17,13 +17,14 @@ from demandlens.session import checkpoint_dir
 
 # The encodings tried for text input, in order.
 ENCODINGS = ("utf-8", "latin-1")
+SPARK_NAMES = {"latin-1": "ISO-8859-1"}
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType | str,
                    encoding: str = ENCODINGS[0]) -> DataFrame:
     """CSV with a header and an explicit schema (ids stay strings;
     no inference pass over the data). The caller picks the encoding."""
-    return (spark.read.option("header", True).option("encoding", encoding)
+    return (spark.read.option("header", True).option("encoding", SPARK_NAMES.get(encoding, encoding))
             .option("mode", "PERMISSIVE").schema(schema).csv(path))
 
 
@@ -38,7 +39,7 @@ def read_csv_any(spark: SparkSession, path: str, schema: StructType | str, encod
     """The first encoding in which no line of the files holds a broken
     character (U+FFFD, what a decoder puts for one)."""
     for encoding in encodings[:-1]:
-        lines = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path, schema="line string")
+        lines = spark.read.option("encoding", SPARK_NAMES.get(encoding, encoding)).option("sep", "\u0001").option("quote", "").csv(path, schema="line string")
         if not lines.filter(F.contains("line", F.lit("\ufffd"))).limit(1).count():
             return read_csv_typed(spark, path, schema, encoding)
     return read_csv_typed(spark, path, schema, encodings[-1])

@@ -45,13 +45,15 @@ def running_counts(stream: DataFrame) -> DataFrame:
 
 def start_running_counts(spark: SparkSession, folder: str, output: str, name: str = "running_counts",
                          available_now: bool = True) -> StreamingQuery:
-    """Run ``running_counts`` and keep ``output`` (a parquet folder) equal to the
-    full current table: each micro-batch rewrites it from the updated state
-    (the table has years x vocabulary rows, independent of the input size)."""
+    """Run ``running_counts``; each micro-batch writes the full current table
+    (years x vocabulary rows, independent of the input size) to a folder of its
+    own under ``output``, which counts once it is complete: ``read_published``
+    reads the newest complete one, so no reader meets a half-written table and
+    a failed batch leaves the one before it in place."""
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(output)
+        batch.write.mode("overwrite").parquet(os.path.join(output, f"batch={batch_id:012d}"))
 
     writer = (running_counts(read_mentions(spark, folder))
               .writeStream.outputMode("complete")
@@ -61,6 +63,15 @@ def start_running_counts(spark: SparkSession, folder: str, output: str, name: st
     return writer.start()
 
 
+def read_published(spark: SparkSession, output: str) -> DataFrame:
+    """The newest complete table that ``start_running_counts`` has published."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(output)
+    fs = top.getFileSystem(conf)
+    done = [s.getPath() for s in fs.listStatus(top) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(max(p.toString() for p in done))
+
+
 def annual_share_of(counts: DataFrame) -> DataFrame:
     """Batch view of the running counts as annual shares (same columns as the
     batch ``annual_share`` operator)."""

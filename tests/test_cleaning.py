@@ -100,11 +100,22 @@ def test_comma_list_explode(spark):
 
 def test_year_filter_empty_selection_is_no_filter(spark):
     df = spark.createDataFrame([(2020, "ml"), (2021, "cloud"), (None, "ml")], "posted_year int, skill_category string")
-    assert cleaning.year_filter(df).count() == 2
+    assert cleaning.year_filter(df).count() == 3  # rows without a year stay
+    assert cleaning.year_filter(df, years=["Not Specified", 2021]).count() == 2
+    assert cleaning.verified_years(df).count() == 2
     assert cleaning.year_filter(df, years=[2020]).count() == 1
     assert cleaning.year_filter(df, categories=["cloud"]).count() == 1
 
 
+def test_year_beyond_an_int_is_null(spark):
+    jobs = spark.createDataFrame([("J00000000001", 1, "20200101000")], "job_id string, ordinal long, posted_year string")
+    skills = spark.createDataFrame([("J00000000001", "SQL", "P", "B")],
+                                   "job_id string, skill string, skill_category string, skill_level string")
+    jobs = jobs.withColumns({c: F.lit(None).cast("string") for c in ("experience_level", "country")})
+    row = cleaning.clean_primary(skills, jobs).first()
+    assert row.posted_year is None and row.posted_year_label == "Not Specified"
+
+
 def test_filter_values_numeric_years_first(spark):
     df = spark.createDataFrame([("2021", "ml"), ("Not Specified", "cloud"), ("2020", "ml")],
                                "posted_year_label string, skill_category string")

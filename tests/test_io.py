@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from demandlens.sources import io
 
 
@@ -22,8 +24,26 @@ def test_load_or_empty(spark):
 def test_materialize_reuses(spark):
     name = os.path.basename(tempfile.mkdtemp(prefix="mat-"))
     a = io.materialize(spark.range(5), name)
-    b = io.materialize(spark.range(7), name)  # reused, not rewritten
-    assert a.count() == 5 and b.count() == 5
+    again = io.materialize(spark.range(5), name)  # the same plan: reused, not rewritten
+    assert again.inputFiles() == a.inputFiles() and again.count() == 5
+    assert io.materialize(spark.range(7), name).count() == 7  # another input: made anew
+
+
+def test_materialize_follows_its_files(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(3).write.parquet(path)
+    assert io.materialize(spark.read.parquet(path), "follows").count() == 3
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert io.materialize(spark.read.parquet(path), "follows").count() == 4
+
+
+def test_encoding_falls_back(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes("id,name\n1,caf\u00e9\n".encode("latin-1"))
+    (tmp_path / "utf.csv").write_bytes("id,name\n1,caf\u00e9\n".encode())
+    for name in ("latin", "utf"):
+        assert io.read_csv_any(spark, str(tmp_path / f"{name}.csv"), "id long, name string").first().name == "caf\u00e9"
+    with pytest.raises(FileNotFoundError):
+        io.load_validation(spark, str(tmp_path / "none.csv"), "id long")
 
 
 def test_first_n_ordered(spark):
@@ -45,7 +65,8 @@ def test_column_overlap_and_nonempty(spark):
     from demandlens.operators import quality
     a = spark.createDataFrame([(1, "x")], "job_id long, skill string")
     b = spark.createDataFrame([(1, 2)], "job_id long, year int")
-    assert quality.column_overlap(a, b) == [("job_id", True, True), ("skill", True, False), ("year", False, True)]
+    got = {r["column"]: (r.in_left, r.in_right) for r in quality.column_overlap(a, b).collect()}
+    assert got == {"job_id": (True, True), "skill": (True, False), "year": (False, True)}
     assert quality.nonempty(a) and not quality.nonempty(a.filter("job_id < 0"))
 
 

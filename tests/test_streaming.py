@@ -4,7 +4,7 @@ import os
 import tempfile
 
 from demandlens.operators import trends
-from demandlens.streaming import annual_share_of, start_running_counts
+from demandlens.streaming import annual_share_of, read_published, start_running_counts
 
 
 def test_stream_matches_batch(spark):
@@ -15,13 +15,13 @@ def test_stream_matches_batch(spark):
     spark.createDataFrame(rows[:3], schema).write.parquet(os.path.join(src, "part1"))
     q = start_running_counts(spark, os.path.join(src, "*"), out, name=os.path.basename(base))
     q.awaitTermination(120)
-    first = {(r.posted_year, r.skill): r.mentions for r in spark.read.parquet(out).collect()}
+    first = {(r.posted_year, r.skill): r.mentions for r in read_published(spark, out).collect()}
     assert first == {(2020, "sql"): 1, (2020, "python"): 1, (2021, "sql"): 1}
 
     spark.createDataFrame(rows[3:], schema).write.parquet(os.path.join(src, "part2"))
     q = start_running_counts(spark, os.path.join(src, "*"), out, name=os.path.basename(base))  # resumes from its checkpoint
     q.awaitTermination(120)
-    streamed = {(r.posted_year, r.skill, r.share) for r in annual_share_of(spark.read.parquet(out)).collect()}
+    streamed = {(r.posted_year, r.skill, r.share) for r in annual_share_of(read_published(spark, out)).collect()}
     batch_in = spark.createDataFrame([(j, s.strip().lower(), y) for j, s, y in rows], schema)
     batch = {(r.posted_year, r.skill, r.share) for r in trends.annual_share(batch_in).collect()}
     assert streamed == batch
