@@ -31,6 +31,7 @@ from . import blocks as B
 BLOCK_BYTES = 8 << 20
 #: Distinct bytes replayed at once at most (a longer word is replayed by itself).
 REPLAY_BYTES = 8 << 20
+SPLIT_CHARS = 1 << 19
 
 
 class Vocabulary:
@@ -61,7 +62,7 @@ class Vocabulary:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token made of a and b; ``size`` where there is none."""
-        key = a * self.size + b
+        key = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where((self.key[at] == key) & (a >= 0) & (b >= 0), self.result[at], self.size)
 
@@ -88,11 +89,11 @@ def replay(voc: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     # one position per byte, and one that never merges (-1) after each word
     ends = np.cumsum(lengths + 1) - 1
     total = int(ends[-1]) + 1 if len(words) else 0
-    tok = np.full(total, -1, np.int64)
+    tok = np.full(total, -1, np.int32)
     inside = np.ones(total, bool)
     inside[ends] = False
     tok[inside] = voc.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-    after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+    after, before = np.arange(1, total + 1, dtype=np.int32), np.arange(-1, total - 1, dtype=np.int32)
     after[-1:] = total - 1
     before[:1] = 0
     alive = inside.copy()
@@ -117,7 +118,9 @@ def replay(voc: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
                 index[rank] = [part]
                 heapq.heappush(heap, rank)
 
-    add(np.flatnonzero(inside))
+    start = np.flatnonzero(inside)
+    for k in range(0, len(start), 1 << 18):
+        add(start[k:k + (1 << 18)].astype(np.int32))
     while heap:
         rank = heapq.heappop(heap)
         parts = index.pop(rank)
@@ -150,12 +153,20 @@ def replay(voc: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
 def encode_block(voc: Vocabulary, pattern: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the texts of a block."""
     find = splitter(pattern).findall
-    found = [find(t) for t in texts]
-    counts = [len(f) for f in found]
-    number = dict.fromkeys(chain.from_iterable(found))
-    number = dict(zip(number, range(len(number)), strict=True))
-    refs = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int32, sum(counts))
+    number: dict[str, int] = {}
+    refs, counts, begin, size = [], [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= SPLIT_CHARS or k + 1 == len(texts):  # the pieces of so many texts at once
+            found = [find(t) for t in texts[begin:k + 1]]
+            counts += map(len, found)
+            for x in dict.fromkeys(chain.from_iterable(found)):
+                number.setdefault(x, len(number))
+            refs.append(np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int32, sum(map(len, found))))
+            begin, size = k + 1, 0
+    refs = np.concatenate(refs) if refs else np.zeros(0, np.int32)
     words = [x.encode() for x in number]
+    del number
     ids, lens, group, size = [], [], [], 0
 
     def flush() -> None:

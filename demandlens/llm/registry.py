@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, jaccard, licenses, linededup, pii, quality, suffixdedup, toxicity, urlrules
 
+BATCH_BYTES = "8m"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def importable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it (for
-    sessions not started with it on their PYTHONPATH or among their --py-files)."""
+    sessions not started with it on their PYTHONPATH or among their --py-files),
+    and hand them batches of bounded bytes, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
