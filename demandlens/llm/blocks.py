@@ -103,6 +103,18 @@ class Words:
             h = (total[self.end] - total[self.start]) * _inverses[self.start]
             return mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
+    def beginnings(self, sizes, lower: bool = False):
+        """For each size, (words of more bytes, hash of their first so many)."""
+        _grow(len(self.data))
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(self.data) + 1, U64)
+            table = _BYTE[LOWER] if lower else _BYTE
+            np.cumsum(table[self.data] * _powers[:len(self.data)], out=total[1:])
+            for k in sizes:
+                word = np.flatnonzero(self.end - self.start > k)
+                start = self.start[word]
+                yield k, (word, mix((total[start + k] - total[start]) * _inverses[start]))
+
     def grams(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words, for every first word; False in the
         mask where fewer than k words of the document follow."""

@@ -1,15 +1,17 @@
 """Toxicity (1): counterfactual-regularised classifier.
 
-A logistic regression over the words and word pairs of a whole text (present
-or not). Training texts that name a group get counterfactual copies, in which
+A logistic regression over a whole text's words, pairs of neighbouring words and
+beginnings of words (4 to 8 bytes, so that inflected and compound forms count
+together), each as present, present twice or more, and four times or more.
+Training texts that name a group get counterfactual copies, in which
 every identity term is swapped for another of its kind; the loss adds a
 penalty on the squared change of the logit between a text and its copies, so
 that naming a group neutrally doesn't move the score.
 
 Fitting takes at most ``TRAIN_ROWS`` labelled rows, those whose doc_id hashes
 lowest among the rows allowed for training. The features are the
-``FEATURES`` words and pairs of strongest association with the label in that
-sample (counted in Spark). Scoring reads all rows; labels, lang, source and
+``FEATURES`` ones of strongest association with the label in that sample
+(counted in Spark). Identity terms give no beginnings. Scoring reads all rows; labels, lang, source and
 doc_id are no input of a score.
 
 Null and empty texts have no features and get the score of the intercept.
@@ -65,46 +67,79 @@ def swap_table(identity: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return terms, other[:, first]
 
 
-def _features(w: B.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, feature hash) of words and pairs of neighbours."""
-    pairs, ok = w.grams(h, 2)
-    doc = np.concatenate([w.doc, w.doc[ok]])
-    x = np.concatenate([h, pairs[ok]])
-    order = np.lexsort((x, doc))
-    doc, x = doc[order], x[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (x[1:] != x[:-1])
-    return doc[new], x[new]
+LEVELS = (1, 2, 4)
+BEGINNINGS = (4, 5, 6, 7, 8)
+
+
+class Terms:
+    """The identity terms and their swaps, as word hashes."""
+
+    def __init__(self, identity: list[str]):
+        self.terms, self.other = swap_table(identity)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is an identity term, its number) of word hashes."""
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        return self.terms[at] == h, at
+
+    def occurrences(self, w: B.Words, swap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(document, key) of every word, pair and beginning of a block;
+        ``swap`` puts identity terms' others in their place."""
+        h = w.hashes(lower=True)
+        named, at = self.find(h)
+        if swap is not None:
+            h = np.where(named, self.other[swap][at], h)
+        pairs, ok = w.grams(h, 2)
+        docs, keys = [w.doc, w.doc[ok]], [h, pairs[ok]]
+        for k, x in w.beginnings(BEGINNINGS, lower=True):
+            some = x[0][~named[x[0]]], x[1][~named[x[0]]]
+            docs.append(w.doc[some[0]])
+            keys.append(B.mix(some[1] ^ np.uint64(k)))
+        return np.concatenate(docs), np.concatenate(keys)
+
+
+def counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, key) with their number of occurrences."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], key[at], np.diff(np.append(at, len(key)))
 
 
 @dataclass
 class Model:
-    keys: np.ndarray  # sorted feature hashes
+    keys: np.ndarray  # sorted keys
+    number: np.ndarray  # [level, key] -> number of the feature, -1 where it is none
     weights: np.ndarray
     bias: float
+    terms: Terms
     rows: int = 0
     info: dict = field(default_factory=dict)
 
-    def score(self, w: B.Words, h: np.ndarray) -> np.ndarray:
-        doc, at = self.find(w, h)
-        logit = self.bias + np.bincount(doc, self.weights[at], minlength=len(w.n))
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-
-    def find(self, w: B.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (document, number of the feature) pairs of a block."""
+    def find(self, w: B.Words, swap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(document, number) of the features of a block's texts."""
+        none = np.zeros(0, np.int64)
         if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs, ok = w.grams(h, 2)
-        hits = []
-        for x, d in ((h, w.doc), (pairs[ok], w.doc[ok])):
-            at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-            good = self.keys[at] == x
-            hits.append(d[good] * len(self.keys) + at[good])
-        both = np.unique(np.concatenate(hits))
-        return both // len(self.keys), both % len(self.keys)
+            return none, none
+        doc, key = self.terms.occurrences(w, swap)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        good = self.keys[at] == key
+        doc, at, n = counted(doc[good], at[good])
+        found = [(doc[n >= t], self.number[level][at[n >= t]]) for level, t in enumerate(LEVELS)]
+        doc, no = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((no, doc))
+        order = order[no[order] >= 0]
+        return doc[order], no[order]
+
+    def score(self, w: B.Words) -> np.ndarray:
+        doc, no = self.find(w)
+        logit = self.bias + np.bincount(doc, self.weights[no], minlength=len(w.n))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train_logistic(rows, cols, y, swaps, n_features, l2=0.02, fair=1.0, steps=400, rate=0.1):
+def train_logistic(rows, cols, y, swaps, n_features, l2=0.02, fair=1.0, steps=300, rate=0.1):
     """Adam on mean log loss + l2 |w|^2 + fair * mean squared logit change.
     ``rows, cols``: present features; ``swaps``: (pair no, feature, +1 / -1)."""
     w, b, n = np.zeros(n_features), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))), len(y)
@@ -128,35 +163,40 @@ def train_logistic(rows, cols, y, swaps, n_features, l2=0.02, fair=1.0, steps=40
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows: int = TRAIN_ROWS,
         identity: list[str] = IDENTITY, n_features: int = FEATURES, fair: float = 1.0) -> Model:
     sample = labelled_sample(docs, labels, "toxic", rows, where)
-    terms, other = swap_table(identity)
+    terms = Terms(identity)
 
     def count(batches):
         """Partial counts of a feature's documents and toxic documents."""
         for batch in batches:
             y = np.asarray(batch.column("target"), np.int64)
             for i, j, data, offs in B.blocks(batch.column("text")):
-                w = B.Words(data, offs, B.ALNUM)
-                doc, x = _features(w, w.hashes(lower=True))
-                keys, at = np.unique(x, return_inverse=True)
-                n = np.bincount(at, minlength=len(keys))
-                pos = np.bincount(at, y[i:j][doc], minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(pos)], ["key", "n", "pos"])
+                doc, key, times = counted(*terms.occurrences(B.Words(data, offs, B.ALNUM)))
+                for level, t in enumerate(LEVELS):
+                    keys, at = np.unique(key[times >= t], return_inverse=True)
+                    n = np.bincount(at, minlength=len(keys))
+                    pos = np.bincount(at, y[i:j][doc[times >= t]], minlength=len(keys)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), level)),
+                                                      pa.array(n), pa.array(pos)], ["key", "level", "n", "pos"])
 
     total = sample.agg(F.count("*"), F.sum("target")).first()
     n, toxic = int(total[0]), int(total[1] or 0)
+    none = np.zeros(0, np.uint64)
+    share = min(max(toxic / n if n else 0.0, 1e-9), 1 - 1e-9)
+    base = Model(none, np.zeros((len(LEVELS), 0), np.int64), np.zeros(0), float(np.log(share / (1 - share))), terms, n)
     if n < 50 or toxic in (0, n):
-        p = min(max(toxic / n if n else 0.0, 1e-9), 1 - 1e-9)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))), n)
-    share = toxic / n
+        return base
     # z-score of the label's share among a feature's documents
     z = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    best = (sample.mapInArrow(count, "key long, n long, pos long").groupBy("key")
+    best = (sample.mapInArrow(count, "key long, level long, n long, pos long").groupBy("key", "level")
             .agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= MIN_DOCS)
-            .where(F.abs(z) >= 3).orderBy(F.abs(z).desc(), "key").limit(n_features).select("key"))
-    keys = np.sort(np.array([r["key"] for r in best.collect()], np.int64).view(np.uint64))
-    if not len(keys):
-        return Model(keys, np.zeros(0), float(np.log(share / (1 - share))), n)
-    finder = Model(keys, np.zeros(len(keys)), 0.0)
+            .where(F.abs(z) >= 3).orderBy(F.abs(z).desc(), "key", "level").limit(n_features).select("key", "level").toArrow())
+    if not best.num_rows:
+        return base
+    keys = np.asarray(best.column("key"), np.int64).view(np.uint64)
+    table = np.unique(keys)
+    number = np.full((len(LEVELS), len(table)), -1)
+    number[np.asarray(best.column("level")), np.searchsorted(table, keys)] = np.arange(len(keys))
+    model = Model(table, number, np.zeros(len(keys)), base.bias, terms, n)
 
     def rows_of(batches):
         for batch in batches:
@@ -164,38 +204,40 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows: i
             for i, j, data, offs in B.blocks(batch.column("text")):
                 w = B.Words(data, offs, B.ALNUM)
                 h = w.hashes(lower=True)
-                found = [finder.find(w, h)]
-                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-                named = terms[at] == h
-                if named.any():
-                    found += [finder.find(w, np.where(named, other[k][at], h)) for k in range(len(SWAPS))]
-                named = np.unique(w.doc[named])
+                named = np.unique(w.doc[terms.find(h)[0]])
+                found = [model.find(w), *(model.find(w, k) for k in range(len(SWAPS) if len(named) else 0))]
                 cuts = [np.searchsorted(f[0], np.arange(j - i + 1)) for f in found]
-                lists = [[f[1][c[d]:c[d + 1]].tolist() for d in range(j - i)] for f, c in zip(found, cuts, strict=True)]
                 swapped = [[] for _ in range(j - i)]
                 for d in named.tolist():
-                    swapped[d] = [x[d] for x in lists[1:]]
+                    swapped[d] = [f[1][c[d]:c[d + 1]].tolist() for f, c in zip(found[1:], cuts[1:], strict=True)]
+                with np.errstate(over="ignore"):  # a key of the text, to put the rows in one order
+                    key = np.zeros(j - i, np.uint64)
+                    np.add.at(key, w.doc, B.mix(h + np.arange(len(h)).astype(np.uint64) - w.of_doc[w.doc].astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(y[i:j]), pa.array(lists[0], pa.list_(pa.int64())),
-                     pa.array(swapped, pa.list_(pa.list_(pa.int64())))], ["y", "x", "swapped"])
-
-    table = sample.mapInArrow(rows_of, "y long, x array<long>, swapped array<array<long>>").toArrow().to_pylist()
-    table.sort(key=lambda r: (r["y"], r["x"], r["swapped"]))  # the same model in whatever order rows come
-    y = np.array([r["y"] for r in table], float)
-    row = np.repeat(np.arange(len(table)), [len(r["x"]) for r in table])
-    col = np.array([f for r in table for f in r["x"]], np.int64)
+                    [pa.array(key.view(np.int64)), pa.array(y[i:j]),
+                     pa.ListArray.from_arrays(pa.array(cuts[0].astype(np.int32)), pa.array(found[0][1])),
+                     pa.array(swapped, pa.list_(pa.list_(pa.int64())))], ["key", "y", "x", "swapped"])
+
+    got = sample.mapInArrow(rows_of, "key long, y long, x array<long>, swapped array<array<long>>").toArrow().sort_by(
+        [("key", "ascending"), ("y", "ascending")]).combine_chunks()
+    y = np.asarray(got.column("y"), float)
+    x = got.column("x").combine_chunks()
+    row, col = np.repeat(np.arange(len(y)), np.diff(np.asarray(x.offsets))), np.asarray(x.flatten(), np.int64)
     pair, feature, sign, n_pairs = [], [], [], 0
-    for r in table:
-        for copy in r["swapped"]:
-            for f, s in [(f, 1.0) for f in set(r["x"]) - set(copy)] + [(f, -1.0) for f in set(copy) - set(r["x"])]:
+    has = np.flatnonzero(np.diff(np.asarray(got.column("swapped").combine_chunks().offsets)))
+    for k in has.tolist():
+        own = set(x[k].as_py())
+        for copy in got.column("swapped")[k].as_py():
+            for f, v in [(f, 1.0) for f in own - set(copy)] + [(f, -1.0) for f in set(copy) - own]:
                 pair.append(n_pairs)
                 feature.append(f)
-                sign.append(s)
+                sign.append(v)
             n_pairs += 1
     # pairs that change no feature change no score and add nothing to the penalty
     seen, pair = np.unique(np.array(pair, np.int64), return_inverse=True)
-    weights, bias = train_logistic(row, col, y, (pair, np.array(feature, np.int64), np.array(sign)), len(keys), fair=fair)
-    return Model(keys, weights, bias, len(table), {"counterfactuals": n_pairs, "that change a feature": len(seen)})
+    model.weights, model.bias = train_logistic(row, col, y, (pair, np.array(feature, np.int64), np.array(sign)), len(keys), fair=fair)
+    model.info = {"counterfactuals": n_pairs, "that change a feature": len(seen)}
+    return model
 
 
 def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
@@ -208,7 +250,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
             for i, j, data, offs in B.blocks(batch.column("text")):
                 w = B.Words(data, offs, B.ALNUM)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(i, j - i) for c in columns] + [pa.array(model.score(w, w.hashes(lower=True)))],
+                    [batch.column(c).slice(i, j - i) for c in columns] + [pa.array(model.score(w))],
                     names=[*columns, "score"])
 
     needed = columns if "text" in columns else [*columns, "text"]

@@ -56,13 +56,29 @@ def test_identity_terms_move_scores_less(tables):
         data = " ".join(text).encode()
         offs = np.array([0, len(text[0]) + 1, len(data)])
         w = B.Words(np.frombuffer(data, np.uint8), offs, B.ALNUM)
-        return model, model.score(w, w.hashes(lower=True))
+        return model, model.score(w)
     plain, before = scores(0.0)
     model, after = scores(20.0)
     assert model.info["counterfactuals"] > 0 and model.info["that change a feature"] > 0
     assert abs(after[0] - after[1]) < 0.5 * abs(before[0] - before[1])
 
 
+def test_beginnings_and_repeats_are_features(llm, docs_of):
+    """Toxic texts hold several words of one stem, each form but once in the corpus; others hold one."""
+    rnd = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    rows, labels = [], []
+    for k in range(500):
+        toxic = int(rnd.random() < 0.3)
+        text = [rnd.choice(words) for _ in range(40)] + [f"réeux{rnd.random()}"[:12] for _ in range(4 if toxic else 1)]
+        rnd.shuffle(text)
+        rows.append((k, " ".join(text)))
+        labels.append((k, 1, toxic))
+    got = {r.doc_id: r for r in toxicity.report(docs_of(rows), llm.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [(got[k].predicted, t) for k, _, t in labels if got[k].held_out]
+    assert np.mean([p == t for p, t in held]) > 0.97
+
+
 def test_few_or_no_labels(tables):
     _, _, docs, labels = tables
     assert max(r.score for r in toxicity.report(docs, labels.limit(0)).collect()) < 1e-6
