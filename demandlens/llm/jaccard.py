@@ -302,3 +302,26 @@ def linked(docs: DataFrame, measure: Measure = Measure(), columns: list[str] | N
 def join_report(docs: DataFrame) -> DataFrame:
     """The contract's columns: word 3-grams, similarity of 0.9 or more."""
     return linked(docs)
+
+
+#: The contract's result, for DuckDB.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), k AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 2), ' ') AS g FROM k
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM met JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)
+), sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a AS doc_id, b AS other FROM sides
+  UNION SELECT reach.doc_id, sides.b FROM reach JOIN sides ON reach.other = sides.a
+), part AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN part USING (doc_id)
+"""

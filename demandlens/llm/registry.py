@@ -94,4 +94,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": urlrules.ORACLE_SQL}
+    return {"op4_ngram_jaccard_join": jaccard.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL,
+            "op9_url_filters": urlrules.ORACLE_SQL, "op10_suffix_array_dedup": suffixdedup.ORACLE_SQL}
