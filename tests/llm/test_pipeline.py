@@ -9,11 +9,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from pyspark.sql import functions as F
-from test_linededup import _lines_brute
+from test_linededup import _lines_brute, simhashes
 
 import corpus_pipeline
-from demandlens.llm import linededup, quality
+from demandlens.llm import quality
 
 COLUMNS = corpus_pipeline.COLUMNS
 
@@ -84,8 +83,7 @@ def test_stages_and_run(llm, corpus, tmp_path):
             assert not any("###" in r.text for r in after) and len(after) > 100
         elif name == "line_dedup":
             df = llm.createDataFrame(before)
-            hashes = {r.line: r.h for r in linededup._lines(df, "text").select(
-                F.array_join("words", " ").alias("line"), linededup._simhash_long(F.col("words")).alias("h")).collect()}
+            hashes = {line: h for (_, line), h in simhashes(df).items()}
             gone = _lines_brute([(r.doc_id, r.text) for r in before], hashes)
             expected = []
             for r in before:
