@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from demandlens.operators import crosstab, frequency, trends
 from demandlens.plans.inputs import analysis_input, analysis_sql
 from demandlens.plans.registry import query, rounded
