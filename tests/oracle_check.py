@@ -1,6 +1,6 @@
 """Compare a registered query with its DuckDB oracle SQL (local verification).
 
-Usage: python -m demandlens.plans.check [sf_dir] [name ...]
+Usage: python tests/oracle_check.py [sf_dir] [name ...]
 """
 
 from __future__ import annotations
@@ -8,10 +8,13 @@ from __future__ import annotations
 import datetime as _dt
 import hashlib
 import math
+import os
 import sys
 import time
 
-from demandlens.sources.tables import TABLES
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from demandlens.sources.tables import TABLES  # noqa: E402
 
 _TYPE_MAP = {
     "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE",

@@ -4,10 +4,11 @@ import os
 
 import pytest
 
-from conftest import SMALL_SF
+from oracle_check import compare, duck_connect
+
 from demandlens import plans
-from demandlens.plans.check import compare, duck_connect
 
+SMALL_SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL_SF), reason="driver data not present")
 
 
