@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, licenses, linededup, pii, quality, suffixdedup, toxicity, urlrules
+from . import bpe, decontaminate, infill, jaccard, licenses, linededup, pii, quality, suffixdedup, tokencount, toxicity, urlrules, whitening
 
 BATCH_BYTES = "8m"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rank_file() -> tuple[bytes, str]:
-    """Content of the rank file and the split pattern of the public tokenizer."""
+def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
+    """Content of a public tokenizer's file and its split pattern."""
     import public_tokenizers
-    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+    with open(public_tokenizers.path(name), "rb") as f:
         return f.read(), public_tokenizers.PATTERN
 
 
@@ -78,8 +78,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), *rank_file("byte_bpe_50k.json"))
+
+
 _QUERIES: list[Query] = [op1_toxicity, op2_license_scan, op3_byte_bpe, op4_ngram_jaccard_join, op5_quality_rules, op6_decontamination, op7_line_dedup, op8_pii, op9_url_filters,
-                         op10_suffix_array_dedup]
+                         op10_suffix_array_dedup, op11_fill_in_middle, op12_embedding_whitening, op13_token_counts]
 
 
 def _prepared(f: Query) -> Query:
@@ -95,4 +107,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_ngram_jaccard_join": jaccard.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL,
-            "op9_url_filters": urlrules.ORACLE_SQL, "op10_suffix_array_dedup": suffixdedup.ORACLE_SQL}
+            "op9_url_filters": urlrules.ORACLE_SQL, "op10_suffix_array_dedup": suffixdedup.ORACLE_SQL,
+            "op11_fill_in_middle": infill.ORACLE_SQL}
