@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,6 +212,36 @@ def year_of_text(c: Column | str) -> Column:
 
 
 POSTING_TEXT_COLS = ("job_title", "skills_required", "date_posted", "experience_level", "company_location")
+Step = Callable[[DataFrame], DataFrame]
+
+
+def _stripped(c: str) -> Column:
+    return F.regexp_replace(F.col(c), r"^\s+|\s+$", "")
+
+
+def posting_steps(skills: str = "skills_required", date: str = "date_posted", title: str = "job_title",
+                  level: str = "experience_level") -> list[tuple[str, Step]]:
+    """The ten steps of the postings' cleaning, in the contract's order. A frame
+    has no row index and counting is the log's work, so 9 and 10 change nothing."""
+    def text(df: DataFrame) -> list[str]:
+        return [c for c in POSTING_TEXT_COLS if c in df.columns]
+
+    def derive(df: DataFrame) -> DataFrame:
+        quarter = F.concat(F.year("posted_date").cast("string"), F.lit("Q"), F.quarter("posted_date").cast("string"))
+        return df.withColumn("year", F.year("posted_date")).withColumn("month", F.date_format("posted_date", "yyyy-MM")).withColumn("quarter", quarter)
+
+    return [
+        ("drop rows without skills", lambda df: df.filter(F.col(skills).isNotNull() & (_stripped(skills) != ""))),
+        ("strip text", lambda df: df.withColumns({c: _stripped(c) for c in text(df)})),
+        ("lower-case text", lambda df: df.withColumns({c: F.lower(F.col(c)) for c in text(df) if c != title})),
+        ("parse dates", lambda df: df.withColumn("posted_date", F.try_to_timestamp(F.col(date)).cast("date"))),
+        ("drop unparsed dates", lambda df: df.filter(F.col("posted_date").isNotNull())),
+        ("derive periods", derive),
+        ("fill levels", lambda df: df.withColumn(level, F.coalesce(F.col(level), F.lit(NOT_SPECIFIED)))),
+        ("drop duplicates", lambda df: df.dropDuplicates()),
+        ("reset index", lambda df: df),
+        ("final count", lambda df: df),
+    ]
 
 
 def clean_postings(df: DataFrame, skills: str = "skills_required", date: str = "date_posted",
@@ -220,19 +250,10 @@ def clean_postings(df: DataFrame, skills: str = "skills_required", date: str = "
     lower-case all text but the title -> parse the date -> drop unparsed
     dates -> year, 'yyyy-MM' month and 'yyyyQn' quarter -> fill a missing
     level with 'Not Specified' -> drop exact duplicates. One projection chain
-    and one de-duplication shuffle; step counts via ``quality.StepLog``."""
-    text = [c for c in POSTING_TEXT_COLS if c in df.columns]
-    out = df.filter(F.col(skills).isNotNull() & (F.regexp_replace(F.col(skills), r"^\s+|\s+$", "") != ""))
-    out = out.withColumns({c: F.regexp_replace(F.col(c), r"^\s+|\s+$", "") for c in text})
-    out = out.withColumns({c: F.lower(F.col(c)) for c in text if c != title})
-    ts = F.try_to_timestamp(F.col(date))
-    out = (out.withColumn("posted_date", ts.cast("date")).filter(F.col("posted_date").isNotNull())
-              .withColumn("year", F.year("posted_date"))
-              .withColumn("month", F.date_format("posted_date", "yyyy-MM"))
-              .withColumn("quarter", F.concat(F.year("posted_date").cast("string"), F.lit("Q"),
-                                              F.quarter("posted_date").cast("string")))
-              .withColumn(level, F.coalesce(F.col(level), F.lit(NOT_SPECIFIED))))
-    return out.dropDuplicates()
+    and one de-duplication shuffle; step counts by ``steplog.clean_logged``."""
+    for _, step in posting_steps(skills, date, title, level):
+        df = step(df)
+    return df
 
 
 def unparsed_date_share(df: DataFrame, date: str = "date_posted", skills: str = "skills_required",
