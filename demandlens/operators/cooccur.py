@@ -46,10 +46,11 @@ def _sets(per: DataFrame, top: DataFrame, key: str) -> DataFrame:
 def cooccurrence_pairs(df: DataFrame, top_n: int = 11, key: str = "job_id") -> DataFrame:
     """K1: (skill_a, skill_b, co_occurrence) with skill_a < skill_b, counted
     over jobs, for the top-n skills."""
-    return _pairs(job_skill_sets(df, top_n, key))
+    return pair_counts(job_skill_sets(df, top_n, key))
 
 
-def _pairs(sets: DataFrame) -> DataFrame:
+def pair_counts(sets: DataFrame) -> DataFrame:
+    """K1 of jobs' sorted skill sets ``s``, of two skills or more each."""
     pairs = sets.select(F.explode(F.expr(_PAIRS)).alias("p"))
     return (pairs.groupBy(F.col("p.a").alias("skill_a"), F.col("p.b").alias("skill_b"))
                  .agg(F.count(F.lit(1)).alias("co_occurrence")))
@@ -65,7 +66,7 @@ def matrix_and_pairs(df: DataFrame, top_n: int = 11, key: str = "job_id") -> tup
     """K2 and K1 from one read of the input."""
     per = job_skill_counts(df, key)
     top = checkpointed(top_of_counts(per, top_n, "k"))  # <= n rows
-    pairs = checkpointed(_pairs(_sets(per, top, key)))  # <= n (n - 1) / 2 rows
+    pairs = checkpointed(pair_counts(_sets(per, top, key)))  # <= n (n - 1) / 2 rows
     both = pairs.select("skill_a", "skill_b", "co_occurrence").unionByName(
         pairs.select(F.col("skill_b").alias("skill_a"), F.col("skill_a").alias("skill_b"), "co_occurrence"))
     names = top.agg(F.collect_list("skill")).scalar()  # <= n names

@@ -1,7 +1,7 @@
 """Registered queries (one per operator family of the survey) and their
 DuckDB oracle SQL. Importing this package fills the registry."""
 
-from demandlens.plans import analysis, baskets, cleaning, extraction, forecasts, gap, ingest, quality, validation  # noqa: F401  (registers queries)
+from demandlens.plans import analysis, baskets, cleaning, extraction, forecasts, gap, ingest, outputs, quality, validation, wide  # noqa: F401  (registers queries)
 from demandlens.plans.registry import REGISTRY, Query
 
 

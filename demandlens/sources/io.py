@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from demandlens.session import checkpoint_dir
+from demandlens.session import checkpoint_dir, remove_tables
 
 # The encodings tried for text input, in order.
 ENCODINGS = ("utf-8", "latin-1")
@@ -135,3 +135,32 @@ def write_bucketed(df: DataFrame, name: str, key: str | Sequence[str], buckets:
     (df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
        .option("path", path).saveAsTable(name))
     return spark.table(name)
+
+
+def materialize_bucketed(df: DataFrame, name: str, key: str | Sequence[str], buckets: int | None = None) -> DataFrame:
+    """S10 with co-partitioning: a fact table written once, one file a bucket, and
+    found again by its fingerprint, in this session's catalog or, after a restart,
+    in the shared folder. Aggregates and joins by ``key`` then need no shuffle.
+    ``buckets`` defaults to the session's shuffle partitions."""
+    spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{fingerprint(df)}_{buckets}"
+    path = os.path.join(checkpoint_dir(spark), "bucketed", table)
+    if spark.catalog.tableExists(table) and _exists(spark, os.path.join(path, "_SUCCESS")):
+        return spark.table(table)
+    spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+    if _exists(spark, os.path.join(path, "_SUCCESS")):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        by = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE `{table}` ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return spark.table(table)
+    return write_bucketed(df.repartition(buckets, *keys), table, keys, buckets, path)
+
+
+def drop_bucketed(spark: SparkSession, df: DataFrame, name: str, buckets: int | None = None) -> None:
+    """Remove what ``materialize_bucketed`` wrote for this frame, where it is there."""
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{fingerprint(df)}_{buckets}"
+    spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+    remove_tables(spark, os.path.join(checkpoint_dir(spark), "bucketed", table))
