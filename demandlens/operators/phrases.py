@@ -1,18 +1,19 @@
 """Extraction with a large taxonomy (X1, X2): an index of phrases instead of one
 regular expression for each.
 
-A text is cut into words once. Its word n-grams, of the lengths that occur in the
-taxonomy, are joined by equality with the phrases, so the work follows the texts
-and their hits, not the number of phrases. A gram is the exact stretch of text
-from its first word to its last, separators included, so an equal gram is a
-verified hit; what a phrase has before its first or after its last word ("C++",
-".NET") is compared with the separators beside the gram. The rows are those of
-``extract.phrase_pattern`` run for every phrase: case-insensitive, whole phrase.
-
-The phrases are written to the shared folder first, so Spark knows their size
-and broadcasts them where they are small; a larger list is joined by sort-merge,
-whose hot grams AQE splits. Long texts are cut into overlapping chunks, so no
-array grows with a text.
+A text is cut into words once. A phrase is filed under one of its words, the longest
+one as it is rare; where that word stands in a text, the stretch that the phrase
+would take is joined by equality with the phrases. So the work follows the texts and
+their hits, not the number of phrases. The stretch goes from the phrase's first word
+to its last, separators included, so an equal one is a verified hit; what a phrase
+has before its first or after its last word ("C++", ".NET") is compared with the
+separators beside the stretch. The rows are those of ``extract.phrase_pattern`` run
+for every phrase: case-insensitive, whole phrase.
+
+The filing words are broadcast while they are few enough (``FILED``, counted first);
+beyond that, all stretches of the phrases' lengths are joined with the phrases by
+sort-merge, whose hot keys AQE splits. Long texts are cut into overlapping chunks,
+so no array grows with a text.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.functions.text import WORD_CHAR
+from demandlens.functions.text import NON_WORD, WORD_CHAR
 from demandlens.operators.extract import extract_skills
 from demandlens.session import checkpointed
 
-#: Characters of a text that are cut into words at once.
-CHUNK = 1 << 17
+#: Characters of a text that are cut off at once, and of these into words at once.
+CHUNK, PIECE = 1 << 17, 1 << 12
+#: Filing words that are broadcast at most, and their bytes.
+FILED, FILED_BYTES = 500_000, 8 << 20
 
 # Letters that case-insensitive matching takes for another one although their
 # lower case differs, and that other one: dotless i, long s and final forms.
@@ -45,34 +48,62 @@ def _cut(text: Column) -> tuple[Column, Column]:
 
 
 def phrase_index(phrases: DataFrame, phrase: str = "skill") -> DataFrame:
-    """(core, n, before, after, skill) of the distinct phrases that hold a word;
-    n counts the words of the core."""
+    """(core, n, before, after, filed, place, skill) of the distinct phrases that
+    hold a word: n counts the words of the core, the one at ``place`` files it."""
     folded = phrases.where(F.col(phrase).isNotNull()).select(F.col(phrase).alias("skill")).distinct()
     words, seps = _cut(F.col("_f"))
-    cut = folded.withColumn("_f", fold(F.col("skill"))).select("skill", words.alias("w"), seps.alias("s"))
+    cut = folded.withColumn("_f", fold(F.col("skill"))).select("skill", words.alias("w"), seps.alias("s")).where(F.size("w") > 0)
     pieces = F.transform(F.arrays_zip("w", F.slice("s", F.lit(2), F.size("w")).alias("s")), lambda x: F.concat(x["w"], x["s"]))
-    inner = F.array_join(pieces, "")
-    after = F.element_at("s", -1)
-    return (cut.where(F.size("w") > 0)
-            .select(F.substring(inner, F.lit(1), F.length(inner) - F.length(after)).alias("core"), F.size("w").alias("n"),
-                    F.element_at("s", 1).alias("before"), after.alias("after"), "skill"))
+    inner, after = F.array_join(pieces, ""), F.element_at("s", -1)
+    longest = F.array_max(F.transform("w", lambda w, i: F.struct(F.length(w).alias("k"), (-i).alias("i"), w.alias("w"))))
+    return cut.select(F.substring(inner, F.lit(1), F.length(inner) - F.length(after)).alias("core"), F.size("w").alias("n"),
+                      F.element_at("s", 1).alias("before"), after.alias("after"), longest["w"].alias("filed"),
+                      (-longest["i"]).alias("place"), "skill")
 
 
-def _chunks(df: DataFrame, key: list[str], text: str, reach: int) -> DataFrame:
-    """(key, part, first, last): the folded text in stretches of CHUNK characters. A
+def _stretches(df: DataFrame, size: int, reach: int) -> DataFrame:
+    """Rows (..., part, first, last) cut on into stretches of ``size`` characters. A
     stretch begins a character early and ends ``reach`` characters late, so that
     every phrase that begins in it stands in it whole, with its neighbours."""
-    folded = df.where(F.col(text).isNotNull()).select(*key, fold(F.col(text)).alias("_t"))
-    rows = folded.select(*key, "_t", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("_t") - 1) / CHUNK).cast("int")))).alias("_k"))
-    begin = F.col("_k") * CHUNK
-    part = F.when(F.length("_t") <= CHUNK, F.col("_t")).otherwise(F.substring("_t", F.greatest(F.lit(1), begin), F.lit(CHUNK + reach + 2)))
-    return rows.select(*key, part.alias("part"), (F.col("_k") == 0).alias("first"),
-                       (begin + CHUNK + reach + 1 >= F.length("_t")).alias("last"))
-
-
-def _grams(lengths: list[int], decorated: bool) -> Column:
-    """The n-grams of words ``w`` with separators ``s`` as (core, before, after):
-    all of the text's own, none that touches the cut of a chunk."""
+    others = [c for c in df.columns if c not in ("part", "first", "last")]
+    n = F.length("part")
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / size).cast("int")))).alias("_k"))
+    begin = F.col("_k") * size
+    part = F.when(n <= size, F.col("part")).otherwise(F.substring("part", F.greatest(F.lit(1), begin), F.lit(size + reach + 2)))
+    return rows.select(*others, part.alias("part"), ((F.col("_k") == 0) & F.col("first")).alias("first"),
+                       ((begin + size + reach + 1 >= n) & F.col("last")).alias("last"))
+
+
+def _pieces(df: DataFrame, keys: list[str], text: str, reach: int) -> DataFrame:
+    """(key, part, first, last): the folded texts in pieces of bounded size."""
+    folded = df.where(F.col(text).isNotNull()).select(*keys, fold(F.col(text)).alias("part"), F.lit(True).alias("first"), F.lit(True).alias("last"))
+    return _stretches(_stretches(folded, CHUNK, reach), PIECE, reach)
+
+
+def _filed_grams(pieces: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, core, before, after) of the stretches around the filing words."""
+    # tokens: words and separators by turns; a generator of one row keeps them as a
+    # column, as an expression would run again for each use
+    tokens = pieces.select(*keys, "first", "last", F.explode(F.array(F.regexp_extract_all("part", F.lit(f"({_WORD}|{NON_WORD}+)")))).alias("u"))
+    files = index.groupBy("filed").agg(F.collect_set(F.struct("place", "n")).alias("shapes"))  # bounded by the phrases' lengths
+    at = tokens.select("*", F.posexplode("u").alias("i", "token")).join(F.broadcast(files), F.col("token") == F.col("filed"))
+    found = at.select(*keys, "first", "last", "u", "i", F.explode("shapes").alias("x"))
+    start = F.col("i") - 2 * F.col("x.place")
+    end = start + 2 * F.col("x.n") - 2
+    found = found.select(*keys, "first", "last", "u", start.alias("b"), end.alias("e"))
+    # a word that the cut of a piece touches may be part of one
+    whole = ((F.col("b") > 0) | ((F.col("b") == 0) & F.col("first"))) & ((F.col("e") < F.size("u") - 1) | ((F.col("e") == F.size("u") - 1) & F.col("last")))
+    # the text's edge counts as a character that is none of a word
+    before = F.concat(F.when(F.col("first") & (F.col("b") <= 1), "\n").otherwise(""), F.when(F.col("b") > 0, F.get("u", F.col("b") - 1)).otherwise(""))
+    after = F.concat(F.coalesce(F.get("u", F.col("e") + 1), F.lit("")), F.when(F.col("last") & (F.col("e") + 2 >= F.size("u")), "\n").otherwise(""))
+    return found.where(whole).select(*keys, F.concat_ws("", F.slice("u", F.col("b") + 1, F.col("e") - F.col("b") + 1)).alias("core"),
+                                     before.alias("_b"), after.alias("_a"))
+
+
+def _all_grams(pieces: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
+    """(key, core, before, after) of all stretches of the given numbers of words."""
+    words, seps = _cut(F.col("part"))
+    rows = pieces.select(*keys, "first", "last", F.inline(F.array(F.struct(words.alias("w"), seps.alias("s")))))
     w, s = F.col("w"), F.col("s")
 
     def edge(c: Column, there: Column) -> Column:
@@ -83,11 +114,7 @@ def _grams(lengths: list[int], decorated: bool) -> Column:
             pieces = [F.get(w, i)]
             for j in range(1, n):
                 pieces += [F.get(s, i + j), F.get(w, i + j)]
-            core = F.concat(*pieces)
-            if not decorated:
-                return core
-            # the text's edge counts as a character that is none of a word
-            return F.struct(core.alias("core"), F.concat(edge(F.lit("\n"), (i == 0) & F.col("first")), F.get(s, i)).alias("before"),
+            return F.struct(F.concat(*pieces).alias("core"), F.concat(edge(F.lit("\n"), (i == 0) & F.col("first")), F.get(s, i)).alias("before"),
                             F.concat(F.get(s, i + n), edge(F.lit("\n"), (i + n == F.size(w)) & F.col("last"))).alias("after"))
 
         low = F.when(F.col("first") | (F.get(s, F.lit(0)) != ""), 0).otherwise(1)
@@ -96,8 +123,8 @@ def _grams(lengths: list[int], decorated: bool) -> Column:
         return F.transform(at, gram)
 
     kinds = [kind(n) for n in lengths]
-    grams = F.concat(*kinds) if len(kinds) > 1 else kinds[0]
-    return grams if decorated else F.array_distinct(grams)
+    grams = rows.select(*keys, F.explode(F.concat(*kinds) if len(kinds) > 1 else kinds[0]).alias("g"))
+    return grams.select(*keys, F.col("g.core").alias("core"), F.col("g.before").alias("_b"), F.col("g.after").alias("_a"))
 
 
 def match_phrases(df: DataFrame, text: str, phrases: DataFrame, key: str | list[str], phrase: str = "skill") -> DataFrame:
@@ -107,21 +134,17 @@ def match_phrases(df: DataFrame, text: str, phrases: DataFrame, key: str | list[
     index = checkpointed(phrase_index(phrases, phrase))
     # a few numbers about the list, in one small job
     shape = index.agg(F.sort_array(F.collect_set("n")).alias("lengths"), F.max(F.length("skill")).alias("longest"),
-                      F.max((F.col("before") != "") | (F.col("after") != "")).alias("decorated")).first()
+                      F.count_distinct("filed").alias("filed"), F.sum(F.octet_length("filed") + 40).alias("bytes")).first()
     bare = [r.skill for r in phrases.where(~F.col(phrase).rlike(WORD_CHAR) & (F.col(phrase) != "")).select(F.col(phrase).alias("skill")).distinct().collect()]
     found = []
     if shape.lengths:
-        words, seps = _cut(F.col("part"))
-        cut = _chunks(df, keys, text, shape.longest).select(*keys, "first", "last", words.alias("w"), seps.alias("s"))
-        grams = cut.select(*keys, F.explode(_grams(shape.lengths, shape.decorated)).alias("g"))
-        if shape.decorated:
-            grams = grams.select(*keys, F.col("g.core").alias("core"), F.col("g.before").alias("_b"), F.col("g.after").alias("_a"))
-            # beside the decoration there is the text's edge or one more character, none of a word
-            clear = (((F.col("before") == "") | (F.endswith("_b", F.col("before")) & (F.length("_b") > F.length("before"))))
-                     & ((F.col("after") == "") | (F.startswith("_a", F.col("after")) & (F.length("_a") > F.length("after")))))
-            hits = grams.join(index, "core").where(clear)
-        else:
-            hits = grams.withColumnRenamed("g", "core").join(index, "core")
+        pieces = _pieces(df, keys, text, shape.longest)
+        few = shape.filed <= FILED and shape.bytes <= FILED_BYTES
+        grams = _filed_grams(pieces, index, keys) if few else _all_grams(pieces, shape.lengths, keys)
+        # beside a decoration there is the text's edge or one more character, none of a word
+        clear = (((F.col("before") == "") | (F.endswith("_b", F.col("before")) & (F.length("_b") > F.length("before"))))
+                 & ((F.col("after") == "") | (F.startswith("_a", F.col("after")) & (F.length("_a") > F.length("after")))))
+        hits = grams.join(index.select("core", "before", "after", "skill"), "core").where(clear)
         found.append(hits.select(*keys, "skill"))
     if bare:  # phrases without a word, such as "++": few by nature
         plain = df.select(*keys, F.explode(extract_skills(F.col(text), bare)).alias("skill"))

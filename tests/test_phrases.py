@@ -30,25 +30,31 @@ def _texts(n, seed):
     return [(k, "".join(rnd.choice(parts) + rnd.choice([" ", "", ", ", "\n", ".", "  ", "-", "_", "/"]) for _ in range(rnd.randrange(0, 14)))) for k in range(n)]
 
 
-def test_equals_the_regular_expressions(spark):
+@pytest.fixture(params=["filed", "all grams"])
+def form(request, monkeypatch):
+    """Both ways: around broadcast filing words, and without a broadcast."""
+    if request.param == "all grams":
+        monkeypatch.setattr(phrases, "FILED", 0)
+
+
+def test_equals_the_regular_expressions(spark, form):
     rows = _texts(400, 1) + [(1000, None), (1001, ""), (1002, "R"), (1003, "C++"), (1004, "C+++"), (1005, "C++ "), (1006, ".NET"), (1007, "..NET"),
                              (1008, "A.NET"), (1009, " \n"), (1010, "(R)"), (1010, "sql")]
     expected = by_regex(spark, rows, TAXONOMY)
     assert len({s for _, s in expected}) > 20
     assert by_index(spark, rows, TAXONOMY) == expected
-    plain = [t for t in TAXONOMY if t[0].isalnum() and t[-1].isalnum()]  # the form without separators
-    assert by_index(spark, rows, plain) == by_regex(spark, rows, plain)
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 5, 16])
-def test_chunks_lose_and_add_nothing(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,piece", [(1, 1), (2, 9), (16, 5), (50, 16)])
+def test_chunks_lose_and_add_nothing(spark, form, monkeypatch, chunk, piece):
     rows = _texts(60, chunk)
     expected = by_index(spark, rows, TAXONOMY)
     monkeypatch.setattr(phrases, "CHUNK", chunk)
+    monkeypatch.setattr(phrases, "PIECE", piece)
     assert by_index(spark, rows, TAXONOMY) == expected
 
 
-def test_long_text_and_hot_phrase(spark):
+def test_long_text_and_hot_phrase(spark, form):
     text = "the quick brown fox " * 40_000 + "C++"
     assert by_index(spark, [(1, text), (2, "quick")], ["quick", "C++", "C", "brown fox", "fox the", "lazy"]) == [
         (1, "C"), (1, "C++"), (1, "brown fox"), (1, "fox the"), (1, "quick"), (2, "quick")]
