@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from demandlens.operators import cleaning, frequency
 from demandlens.plans.inputs import analysis_input, analysis_sql
 from demandlens.plans.registry import query, sql_norm, sql_strip
+from demandlens.sources import io
 from demandlens.sources.tables import (
     PRIMARY_JOBS_SQL,
     PRIMARY_SKILLS_SQL,
@@ -83,6 +84,12 @@ def clean_long(spark, sf_dir):
     return cleaning.clean_primary(skills, jobs)
 
 
+def stored_clean_long(spark, sf_dir):
+    """The cleaned table as the later stages read it: written once, found again
+    while its inputs stay the same."""
+    return io.materialize(clean_long(spark, sf_dir), "primary_skills_long")
+
+
 @query("clean_long", "C1 C2 C3 C5 C7 C8 C9 C11 C16 J2", f"WITH {CLEAN_CTE} SELECT * FROM cl")
 def q_clean_long(spark, sf_dir):
     return clean_long(spark, sf_dir)
@@ -96,7 +103,7 @@ SELECT count(*) AS rows, count(DISTINCT job_id) AS jobs, count(DISTINCT skill) A
          AS years,
        count(job_id_job) AS matched_rows FROM cl""")
 def q_dataset_summary(spark, sf_dir):
-    return frequency.describe(clean_long(spark, sf_dir))
+    return frequency.describe(stored_clean_long(spark, sf_dir))
 
 
 @query("filter_values", "C15", f"""
@@ -107,7 +114,7 @@ UNION ALL
 SELECT 'category' AS kind, value, 0 AS sort_group
 FROM (SELECT DISTINCT CAST(skill_category AS VARCHAR) AS value FROM cl WHERE skill_category IS NOT NULL)""")
 def q_filter_values(spark, sf_dir):
-    return cleaning.filter_values(clean_long(spark, sf_dir))
+    return cleaning.filter_values(stored_clean_long(spark, sf_dir))
 
 
 @query("bi_export", "S11 C5 C9", f"""
@@ -118,7 +125,7 @@ SELECT job_id, skill, skill_category, posted_year_label, experience_level,
          || CAST(quarter(TRY_CAST(posted_date AS TIMESTAMP)) AS VARCHAR) AS posted_quarter
 FROM cl""")
 def q_bi_export(spark, sf_dir):
-    cl = clean_long(spark, sf_dir)
+    cl = stored_clean_long(spark, sf_dir)
     ts = cleaning.parse_timestamp("posted_date")
     return cl.select("job_id", "skill", "skill_category", "posted_year_label", "experience_level",
                      F.date_format(ts, "yyyy-MM").alias("posted_month"),
@@ -133,7 +140,7 @@ UNION ALL SELECT 'selection', * FROM c WHERE (posted_year IN (1996, 1997) OR pos
 UNION ALL SELECT 'years only', * FROM c WHERE posted_year IN (1996, 1997)
 UNION ALL SELECT 'verified years', * FROM c WHERE posted_year IS NOT NULL""")
 def q_filtered_view(spark, sf_dir):
-    counts = checkpointed(clean_long(spark, sf_dir).groupBy("posted_year", "skill_category").agg(F.count(F.lit(1)).alias("mentions")))
+    counts = checkpointed(stored_clean_long(spark, sf_dir).groupBy("posted_year", "skill_category").agg(F.count(F.lit(1)).alias("mentions")))
     views = {
         "nothing selected": cleaning.year_filter(counts),
         "selection": cleaning.year_filter(counts, years=["1996", 1997, "Not Specified"], categories=["economy", "small"]),

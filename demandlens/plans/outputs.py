@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from demandlens.operators import basket, cooccur, forecast, frequency, quality
 from demandlens.plans.baskets import M_TYPE_RAW, RULES_SQL, _rules
-from demandlens.plans.cleaning import CLEAN_CTE, clean_long
+from demandlens.plans.cleaning import CLEAN_CTE, stored_clean_long
 from demandlens.plans.forecasts import STATS_SQL
 from demandlens.plans.inputs import analysis_input, analysis_sql
 from demandlens.plans.registry import query
@@ -71,7 +71,7 @@ SELECT job_id, skill, skill_category, coalesce(posted_year_label, 'Not Specified
 def q_bi_text_export(spark, sf_dir):
     """The CSV for the BI tool: every column as text, blanks filled, read again as text."""
     columns = ["job_id", "skill", "skill_category", "posted_year_label", "experience_level", "min_experience_years", "salary_min_usd"]
-    text = io.bi_text_columns(clean_long(spark, sf_dir).select(*columns))
+    text = io.bi_text_columns(stored_clean_long(spark, sf_dir).select(*columns))
     path = _place(spark, "bi_export")
     publish(text, path, "csv")
     return io.load_or_empty(spark, path, text.schema, "csv")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demandlens.functions.text import year_from_decimal
 from demandlens.operators import cleaning, extract, frequency, quality, trends
-from demandlens.plans.cleaning import CLEAN_CTE, clean_long
+from demandlens.plans.cleaning import CLEAN_CTE, stored_clean_long
 from demandlens.plans.gap import TREND_CTE
 from demandlens.plans.inputs import analysis_input, analysis_sql
 from demandlens.plans.registry import query
@@ -109,7 +109,7 @@ UNION ALL SELECT 'unknown_category_share', coalesce(unknown_cat / rows, 0.0), 0.
 UNION ALL SELECT 'distinct_years', CAST(years AS DOUBLE), 3.0::DOUBLE, years >= 3 FROM a
 UNION ALL SELECT 'unparsed_date_share', coalesce(bad_dates / dates, 0.0), 0.2::DOUBLE, coalesce(bad_dates / dates, 0.0) <= 0.2 FROM a""")
 def q_quality_report(spark, sf_dir):
-    return quality.quality_report(clean_long(spark, sf_dir), REQUIRED)
+    return quality.quality_report(stored_clean_long(spark, sf_dir), REQUIRED)
 
 
 @query("recommendation_check", "Q11", f"""

@@ -11,8 +11,7 @@ year, experience, ...)``. Here it is a lazy view over the TPC-H-like tables:
     experience_level <- c_mktsegment
     priority         <- o_orderpriority
 
-Only the tables a caller needs are joined: a frequency count over
-``(job_id, skill)`` joins lineitem with part and nothing else. Joins are plain
+The join is made once and kept (``mention_fact``). Its joins are plain
 equi-joins; no side is forced to broadcast, so AQE picks broadcast only for a
 side whose runtime size is below the threshold and sort-merge otherwise.
 """
@@ -52,46 +51,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item with its part, order and customer."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("job_id"), "l_partkey",
+        F.col("l_linenumber").alias("line_number"), F.col("l_returnflag").alias("skill_level"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_name")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("customer_id"),
+        F.year("o_orderdate").cast("int").alias("posted_year"), F.col("o_orderdate").alias("order_date"),
+        F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("order_status"))
+    # a line counts where its part is known; what has no order or customer has nulls,
+    # and the marks tell it from one whose fields are null
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("experience_level"), F.lit(True).alias("has_customer"))
+    out = li.join(part, "l_partkey").join(orders.withColumn("has_order", F.lit(True)), "job_id", "left")
+    return out.join(cust, "customer_id", "left")
+
+
+def mention_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined line items, written to the shared folder by the first query that
+    reads them and found again by the others as long as the tables stay the same:
+    what is joined once serves every analysis with one scan of the columns it takes."""
+    from demandlens.sources.io import materialize
+    return materialize(_joined(spark, sf_dir), "mention_fact")
+
+
 def mentions(spark: SparkSession, sf_dir: str, skill: str = "p_brand",
              fields: Iterable[str] = ALL_FIELDS) -> DataFrame:
     """Long mention table: one row per line item, ``job_id`` and ``skill`` always
-    present, other ``fields`` on request (each pulls in at most one join)."""
+    present, other ``fields`` on request (rows without what they come from drop out)."""
     fields = list(fields)
     unknown = set(fields) - set(_FIELD_SOURCE)
     if unknown:
         raise ValueError(f"unknown mention fields {sorted(unknown)}")
     need = {_FIELD_SOURCE[f] for f in fields}
+    out = mention_fact(spark, sf_dir)
+    if need & {"orders", "customer"}:
+        out = out.where("has_order")
     if "customer" in need:
-        need.add("orders")
-
-    li = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("job_id"),
-        "l_partkey",
-        F.col("l_linenumber").alias("line_number"),
-        F.col("l_returnflag").alias("skill_level"),
-    )
-    part_cols = [F.col("p_partkey").alias("l_partkey"), F.col(skill).alias("skill")]
-    if "skill_category" in fields:
-        part_cols.append(F.col("p_type").alias("skill_category"))
-    out = li.join(table(spark, sf_dir, "part").select(*part_cols), "l_partkey")
-
-    if "orders" in need:
-        orders = table(spark, sf_dir, "orders").select(
-            F.col("o_orderkey").alias("job_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.year("o_orderdate").cast("int").alias("posted_year"),
-            F.col("o_orderdate").alias("order_date"),
-            F.col("o_orderpriority").alias("priority"),
-            F.col("o_orderstatus").alias("order_status"),
-        )
-        out = out.join(orders, "job_id")
-    if "customer" in need:
-        cust = table(spark, sf_dir, "customer").select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_mktsegment").alias("experience_level"),
-        )
-        out = out.join(cust, "customer_id")
-    return out.select("job_id", "skill", *fields)
+        out = out.where("has_customer")
+    named = {"skill_category": F.col("p_type").alias("skill_category")}
+    return out.select("job_id", F.col(skill).alias("skill"), *[named.get(f, F.col(f)) for f in fields])
 
 
 def mentions_sql(skill: str = "p_brand", fields: Iterable[str] = ALL_FIELDS) -> str:
