@@ -1,8 +1,7 @@
 """Taxonomy-driven skill extraction from free text.
 
-Each taxonomy entry is one case-insensitive, whole-phrase regular expression
-evaluated by the JVM (``rlike``) on the whole text; the hits are collected
-into an array per row, so extraction is a map-only pass with no Python
+Each taxonomy entry is one case-insensitive, whole-phrase search evaluated by the
+JVM on the whole folded text; the hits are collected into an array per row, so extraction is a map-only pass with no Python
 worker. Joins with the taxonomy are plain ones; AQE broadcasts it where it is small.
 """
 
@@ -13,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.functions.text import NON_WORD, escape_regex
+from demandlens.functions.text import NON_WORD, WORD_CHAR, escape_regex, fold, folded
 
 # The skill taxonomy of the extraction contract.
 DEFAULT_TAXONOMY: dict[str, list[str]] = {
@@ -55,31 +54,35 @@ def phrase_pattern(skill: str, word: bool = True, java: bool = True) -> str:
     return f"{flags}(^|{NON_WORD}){body}({NON_WORD}|$)"
 
 
-# Characters outside ASCII that Unicode case-insensitive matching equates
-# with an ASCII letter (dotless i, long s, Kelvin sign, dotted capital I).
-_FOLD_FROM, _FOLD_TO = "\u0131\u017f\u212a\u0130", "iski"
-
-
-def fold_case(text: Column) -> Column:
-    """Lower-cased text with the four characters above mapped to ASCII."""
-    return F.lower(F.translate(text, _FOLD_FROM, _FOLD_TO))
+def _whole(phrase: str) -> str:
+    """A folded phrase that stands alone, for folded text. The literal comes first,
+    so that the search skips to it; what is before it is looked back at."""
+    body = escape_regex(phrase)
+    return f"{body}(?<!{WORD_CHAR}{body})(?!{WORD_CHAR})"
 
 
 def extract_skills(text: Column, skills: Sequence[str], word: bool = True,
-                   folded: Column | None = None) -> Column:
+                   folded_text: Column | None = None) -> Column:
     """The skills found in ``text`` (each once, taxonomy order); null or
-    blank text gives an empty array.
+    blank text gives an empty array. The rows are those of ``phrase_pattern``.
 
-    Each regex runs only on texts whose case-folded form (``folded``, see
-    ``fold_case``) contains the skill as a plain substring -- a necessary
-    condition for a match, so the result is exact -- which skips the regex
-    for most (text, skill) pairs.
+    Texts and skills are compared in their folded form (``functions.text.fold``;
+    ``folded_text`` where it is a column already). A whole phrase is a substring,
+    so its expression runs only on texts that hold the skill at all.
     """
-    folded = fold_case(text) if folded is None else folded
-    hits = [F.when(folded.contains(s.lower()) & text.rlike(phrase_pattern(s, word)), F.lit(s)) for s in skills]
+    at = fold(text) if folded_text is None else folded_text
+    hits = [F.when(at.contains(f) & at.rlike(_whole(f)) if word else at.contains(f), F.lit(s)) for s, f in ((s, folded(s)) for s in skills)]
     return F.coalesce(F.array_compact(F.array(*hits)), F.array().cast("array<string>"))
 
 
+def extract_forms(skills: Sequence[str], folded_text: Column) -> Column:
+    """X2 and X5 at once: (skill, word) of the skills that stand in a folded text,
+    and whether one does so as a whole phrase."""
+    hits = [F.when(folded_text.contains(f), F.struct(F.lit(s).alias("skill"), folded_text.rlike(_whole(f)).alias("word")))
+            for s, f in ((s, folded(s)) for s in skills)]
+    return F.array_compact(F.array(*hits))
+
+
 def apply_extraction(df: DataFrame, text_col: str,
                      taxonomy: Mapping[str, Sequence[str]] = DEFAULT_TAXONOMY,
                      word: bool = True, out: str = "skills_found") -> DataFrame:
@@ -89,7 +92,7 @@ def apply_extraction(df: DataFrame, text_col: str,
     it is computed once per row instead of once per skill.
     """
     skills = [s for _, s in flatten_taxonomy(taxonomy)]
-    return (df.withColumn("_folded", fold_case(F.col(text_col)))
+    return (df.withColumn("_folded", fold(F.col(text_col)))
               .withColumn(out, extract_skills(F.col(text_col), skills, word, F.col("_folded")))
               .drop("_folded"))
 

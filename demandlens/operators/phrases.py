@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.functions.text import NON_WORD, WORD_CHAR
+from demandlens.functions.text import NON_WORD, WORD_CHAR, fold
 from demandlens.operators.extract import extract_skills
 from demandlens.session import checkpointed
 
@@ -30,18 +30,9 @@ CHUNK, PIECE = 1 << 17, 1 << 12
 #: Filing words that are broadcast at most, and their bytes.
 FILED, FILED_BYTES = 500_000, 8 << 20
 
-# Letters that case-insensitive matching takes for another one although their
-# lower case differs, and that other one: dotless i, long s and final forms.
-_FOLD = {"ı": "i", "ſ": "s", "ς": "σ", "µ": "μ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ẛ": "ṡ"}
 _WORD = f"{WORD_CHAR}+"
 
 
-def fold(text: Column) -> Column:
-    """Text in which two strings are equal where case-insensitive matching takes
-    them for equal. The dotted capital I comes first: lower() gives it a mark."""
-    return F.translate(F.lower(F.translate(text, "İ", "i")), "".join(_FOLD), "".join(_FOLD.values()))
-
-
 def _cut(text: Column) -> tuple[Column, Column]:
     """(words, separators): separator i stands before word i, the last one after all words."""
     return F.regexp_extract_all(text, F.lit(f"({_WORD})")), F.split(text, _WORD, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandlens.functions.text import year_from_decimal
+from demandlens.functions.text import fold, year_from_decimal
 from demandlens.operators import cleaning, extract, frequency, quality, trends
 from demandlens.plans.cleaning import CLEAN_CTE, stored_clean_long
 from demandlens.plans.gap import TREND_CTE
@@ -46,9 +46,10 @@ WITH {_SKILLS}
 SELECT hit.doc_id, hit.skill, coalesce(tax.category, 'Unknown') AS category FROM hit LEFT JOIN tax USING (skill) WHERE word""")
 def q_taxonomy_extract(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = extract.apply_extraction(docs, "text", PROSE, out="listed")
-    docs = docs.withColumn("loose", extract.extract_skills(F.col("text"), PROSE_LOOSE))
-    docs = docs.select("doc_id", extract.flatten_nested(F.array("listed", "loose")).alias("skills_found"))
+    listed = [s for _, s in extract.flatten_taxonomy(PROSE)]
+    docs = docs.select("doc_id", fold(F.col("text")).alias("_folded"))
+    both = [extract.extract_skills(F.col("_folded"), skills, folded_text=F.col("_folded")) for skills in (listed, PROSE_LOOSE)]
+    docs = docs.select("doc_id", extract.flatten_nested(F.array(*both)).alias("skills_found"))
     return extract.attach_category(extract.explode_skills(docs), extract.taxonomy_frame(spark, PROSE))
 
 
@@ -60,14 +61,10 @@ def q_extraction_counts(spark, sf_dir):
     """Per skill, documents matching it as a plain substring (X5) and as a
     whole phrase (X2); skills without a hit count 0."""
     skills = [s for _, s in extract.flatten_taxonomy(PROSE)] + PROSE_LOOSE
-    docs = table(spark, sf_dir, "documents").select("text").withColumn("_folded", extract.fold_case(F.col("text")))
-    both = docs.select(extract.extract_skills(F.col("text"), skills, False, F.col("_folded")).alias("sub"),
-                       extract.extract_skills(F.col("text"), skills, True, F.col("_folded")).alias("wrd"))
-    tagged = F.concat(F.transform("sub", lambda s: F.struct(s.alias("skill"), F.lit(0).alias("word"))),
-                      F.transform("wrd", lambda s: F.struct(s.alias("skill"), F.lit(1).alias("word"))))
-    # one row of each kind for every skill, so that those without a hit are counted
-    found = extract.explode_skills(both.select(tagged.alias("hits")), "hits", "hit").groupBy("hit.skill").agg(
-        F.count(F.when(F.col("hit.word") == 0, 1)).alias("docs_substring"), F.count(F.when(F.col("hit.word") == 1, 1)).alias("docs_word"))
+    docs = table(spark, sf_dir, "documents").select("text").select(fold(F.col("text")).alias("_folded"))
+    hits = docs.select(extract.extract_forms(skills, F.col("_folded")).alias("hits"))
+    found = extract.explode_skills(hits, "hits", "hit").groupBy("hit.skill").agg(
+        F.count(F.lit(1)).alias("docs_substring"), F.count(F.when(F.col("hit.word"), 1)).alias("docs_word"))
     listed = spark.createDataFrame([(s,) for s in skills], "skill string")
     return listed.join(found, "skill", "left").select(
         "skill", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("docs_substring", "docs_word")])

@@ -76,3 +76,12 @@ def test_no_pairs_of_texts_and_phrases(spark):
     tax = spark.createDataFrame([(f"skill {k}",) for k in range(3000)], "skill string")
     plan = phrases.match_phrases(df, "text", tax, "id")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def test_folded_search_equals_the_regular_expressions(spark):
+    rows = _texts(500, 9)
+    df = spark.createDataFrame(rows, "id long, text string")
+    for word in (True, False):
+        hits = [F.when(F.col("text").rlike(extract.phrase_pattern(t, word)), F.lit(t)) for t in TAXONOMY]
+        both = df.select(F.array_compact(F.array(*hits)).alias("a"), extract.extract_skills(F.col("text"), TAXONOMY, word).alias("b"))
+        assert both.where("a != b").collect() == [] and both.where("size(a) > 2").count() > 100
