@@ -31,6 +31,16 @@ def chi2_sf(stat: Column, dof: Column) -> Column:
 
     dof 0 (a degenerate table) or stat 0 give 1.
     """
+    return _upper_tail(stat, dof)[0]
+
+
+def chi2_log10_sf(stat: Column, dof: Column) -> Column:
+    """log10 of the upper tail, also where the tail itself is too small for a
+    double (beyond a statistic of about 1,400)."""
+    return _upper_tail(stat, dof)[1]
+
+
+def _upper_tail(stat: Column, dof: Column) -> tuple[Column, Column]:
     a = dof.cast("double") / 2
     x = stat.cast("double") / 2
     log_pref = a * F.ln(x) - x - ln_gamma_half_int_plus1(a)
@@ -46,9 +56,8 @@ def chi2_sf(stat: Column, dof: Column) -> Column:
     fraction = F.aggregate(
         F.sequence(F.lit(_FRACTION_TERMS), F.lit(1), F.lit(-1)), F.lit(0.0),
         lambda acc, n: -n * (n - a) / (x + 2 * n + 1 - a + acc))
-    upper = F.exp(log_pref + F.ln(a) - F.ln(x + 1 - a + fraction))
-    return (F.when((dof <= 0) | (stat <= 0), F.lit(1.0))
-             .when(x > a + 1, upper)
-             .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - series))))
-
-
+    log_upper = log_pref + F.ln(a) - F.ln(x + 1 - a + fraction)
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - series))
+    certain = (dof <= 0) | (stat <= 0)
+    return (F.when(certain, F.lit(1.0)).when(x > a + 1, F.exp(log_upper)).otherwise(near),
+            F.when(certain, F.lit(0.0)).when(x > a + 1, log_upper / F.ln(F.lit(10.0))).otherwise(F.log10(near)))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.functions.stats import chi2_sf
+from demandlens.functions.stats import chi2_log10_sf, chi2_sf
 from demandlens.functions.text import keyword_flag
 from demandlens.session import checkpointed
 
@@ -56,7 +56,7 @@ def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
     leave. With one degree of freedom the Yates continuity correction is
     applied (the usual default); all four cells of a 2x2 table are the same
     |o - e| away from their expected counts, and the sum of 1 / e follows from
-    the margins. Returns one row: statistic, dof, p_value, n, n_rows, n_cols,
+    the margins. Returns one row: statistic, dof, p_value, log10_p, n, n_rows, n_cols,
     min_expected, valid (no zero expected cell), nothing rounded. The cells are
     written once (this runs a job), as they are read several times.
     """
@@ -81,7 +81,8 @@ def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
     statistic = F.when(dof == 1, corrected).otherwise(plain) if yates else plain
     summary = s.select(statistic.alias("statistic"), dof.cast("bigint").alias("dof"), F.col("total").cast("bigint").alias("n"),
                        "n_rows", "n_cols", (F.col("r_min") * F.col("c_min") / F.col("total")).alias("min_expected"))
-    return summary.select("statistic", "dof", chi2_sf(F.col("statistic"), F.col("dof")).alias("p_value"), "n", "n_rows", "n_cols",
+    return summary.select("statistic", "dof", chi2_sf(F.col("statistic"), F.col("dof")).alias("p_value"),
+                          chi2_log10_sf(F.col("statistic"), F.col("dof")).alias("log10_p"), "n", "n_rows", "n_cols",
                           "min_expected", (F.col("min_expected") > 0).alias("valid"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens.operators import cleaning, steplog
+from demandlens.operators.quality import MIN_ROWS
 from demandlens.plans.registry import query
 from demandlens.session import tables_folder
 from demandlens.sources import ingest, io
@@ -173,3 +174,16 @@ def q_ingest_sample(spark, sf_dir):
     """The first 1000 rows as they stand in the files, the sample of that name."""
     lines = ingest.read_ordered(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", ingest.ORDINAL)
     return ingest.first_rows(lines, 1000).drop(ingest.ORDINAL)
+
+
+@query("validated_upload", "Q4 Q5 Q6 S5", """
+SELECT 'required_columns_missing' AS "check", 1.0::DOUBLE AS observed, 0.0::DOUBLE AS threshold, false AS passed
+UNION ALL SELECT 'row_count_at_least', CAST(count(*) AS DOUBLE), 40000.0::DOUBLE, count(*) >= 40000 FROM orders""")
+def q_validated_upload(spark, sf_dir):
+    """The report on an uploaded CSV that lacks a required column; nothing is raised."""
+    with tables_folder(spark) as folder:
+        path = os.path.join(folder, "jobs")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("job_title"))
+    io.write_table(rows, path, "csv")
+    report = io.validated_load(spark, path, "job_id string, job_title string", ["job_id", "job_title", "posted_year"], MIN_ROWS)[1]
+    return io.validation_report(spark, report)

@@ -74,6 +74,9 @@ st AS (SELECT sum(power(abs(o - e) - CASE WHEN (SELECT dof FROM dd) = 1 THEN lea
               AS statistic, min(e) AS min_expected FROM m)
 SELECT round(statistic, 6) AS statistic, CAST((SELECT dof FROM dd) AS BIGINT) AS dof,
        round({_tail('statistic', '(SELECT dof FROM dd)')}, 6) AS p_value,
+       round(CASE WHEN (SELECT dof FROM dd) % 2 = 0  -- an even number has a finite sum
+                  THEN (ln((SELECT sum(power(statistic / 2, k) / gamma(k + 1)) FROM range(0, CAST((SELECT dof FROM dd) / 2 AS BIGINT)) t(k))) - statistic / 2) / ln(10)
+                  ELSE log10({_tail('statistic', '(SELECT dof FROM dd)')}) END, 6) AS log10_p,
        CAST((SELECT n FROM tot) AS BIGINT) AS n, CAST((SELECT nr FROM tot) AS BIGINT) AS n_rows,
        CAST((SELECT nc FROM tot) AS BIGINT) AS n_cols, round(min_expected, 6) AS min_expected,
        min_expected > 0 AS valid
@@ -81,7 +84,7 @@ FROM st""")
 def q_chi_square(spark, sf_dir):
     flagged = stats.flag_keywords(validation_table(spark, sf_dir, sample=False))
     out = stats.chi_square(stats.contingency(flagged, "job_level", "genai_flag"))
-    return out.withColumns({c: F.round(c, d) for c, d in (("statistic", 6), ("p_value", 6), ("min_expected", 6))})
+    return out.withColumns({c: F.round(c, d) for c, d in (("statistic", 6), ("p_value", 6), ("log10_p", 6), ("min_expected", 6))})
 
 
 TWO_YEAR_GROUP = ["brand#1", "brand#2", "brand#3"]

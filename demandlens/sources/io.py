@@ -122,6 +122,11 @@ def validated_load(spark: SparkSession, path: str, schema: StructType | str, req
     return df, report
 
 
+def validation_report(spark: SparkSession, report: Sequence[tuple]) -> DataFrame:
+    """Q6: the rows of ``validated_load``'s report as a table."""
+    return spark.createDataFrame(list(report), "check string, observed double, threshold double, passed boolean")
+
+
 def write_bucketed(df: DataFrame, name: str, key: str | Sequence[str], buckets: int,
                    path: str | None = None) -> DataFrame:
     """Write a table bucketed (and sorted) by ``key`` and return it from the

@@ -77,3 +77,10 @@ def test_two_year_test_z_squared_is_uncorrected_chi2(spark):
     pearson = stats.chi_square(_cells(spark, [[40, 60], [70, 30]]), yates=False).first().statistic
     assert r.z ** 2 == pytest.approx(pearson, rel=1e-5)
     assert r.sample_ok and r.conclusion == stats.REJECT
+
+
+@pytest.mark.parametrize("x,dof", [(0.5, 4), (9.0, 4), (6539.822364, 4), (40_000.0, 2)])
+def test_log_of_the_tail_beyond_a_double(spark, x, dof):
+    from demandlens.functions.stats import chi2_log10_sf
+    got = spark.range(1).select(chi2_log10_sf(F.lit(x), F.lit(dof)).alias("p")).first().p
+    assert got == pytest.approx((math.log(sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))) - x / 2) / math.log(10), rel=1e-10)
