@@ -53,12 +53,12 @@ def shingles(text, n=3):
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
 
 
-def jaccard(docs):
+def jaccard(docs, n=3, percent=90):
     """doc_id -> (n_shingles, component_id)"""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, n) for d, t in docs}
     ids = sorted(sets)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if sets[a] and sets[b]
-             and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+             and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     parts = components(ids, links)
     return {d: (len(sets[d]), parts[d]) for d in ids}
 

@@ -93,9 +93,13 @@ def test_stages_and_run(llm, corpus, tmp_path):
             assert sorted(map(str, expected)) == sorted(str((r.doc_id, r.text, r.n_chars)) for r in after)
             assert sum("each and every page" in r.text for r in after) == 1
         elif name == "ngram_jaccard_join":
-            parts = brute.jaccard([(r.doc_id, r.text) for r in before if r.doc_id is not None])
+            near = [(r.doc_id, r.text) for r in before if r.doc_id is not None]
+            parts, strict = brute.jaccard(near, 5, 80), brute.jaccard(near)
             assert sorted(after, key=key) == sorted((r for r in before if r.doc_id is None or parts[r.doc_id][1] == r.doc_id), key=key)
             assert len(after) < len(before)
+            # near copies between this measure and the stricter one of the join's own query
+            between = [d for d in parts if parts[d][1] != d and strict[d][1] == d]
+            assert between and not any(r.doc_id in between for r in after)
         elif name == "decontamination":
             hits = brute.decontaminate([(id(r), r.text) for r in before], bench)
             assert sorted(after, key=key) == sorted((r for r in before if not hits[id(r)][4]), key=key)
