@@ -44,6 +44,10 @@ from .components import components
 
 #: One verified candidate costs as much as so many signatures.
 PAIR_COST = 50.0
+#: Longs of parity bits of a set, and of one with more elements than those have bits.
+PARITIES, WIDE = 16, 256
+#: Members of a bucket that are compared pair by pair at most.
+PAIRED = 4096
 U64 = np.uint64
 
 
@@ -169,28 +173,74 @@ def _signature_rows(docs: DataFrame, measure: Measure, edges: np.ndarray, plan:
                     for k in range(0, len(doc), 1 << 17):
                         at = doc[k:k + (1 << 17)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(sig[k:k + (1 << 17)].view(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)),
-                             pa.array(np.full(len(at), low == 0))], names=["sig", "node", "n", "own"])
+                            [pa.array(sig[k:k + (1 << 17)].view(np.int64)), pa.array(ids[at]), pa.array(np.full(len(at), low == 0))],
+                            names=["sig", "node", "own"])
 
-    return (docs.select("doc_id", "text").mapInArrow(run, "sig long, node long, n int, own boolean")
-            .select("sig", "node", "own", F.struct("n").alias("hint")))
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long, own boolean")
+
+
+def parities(d: np.ndarray, x: np.ndarray, docs: int, longs: int = PARITIES) -> np.ndarray:
+    """(longs, documents): bit i tells whether an odd number of a set's
+    elements falls on i. Two sets' bits differ in no more places than the sets in
+    elements, so too many different bits rule a pair out."""
+    size = 64 * longs
+    at = (B.mix(x) % U64(size)).astype(np.int64)
+    odd = np.bincount(d * size + at, minlength=docs * size).reshape(docs, size) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64).reshape(docs, longs).T
 
 
 def _set_rows(docs: DataFrame, measure: Measure) -> DataFrame:
+    names = [f"p{k}" for k in range(PARITIES)]
+
     def run(batches):
         for batch in batches:
             for i, j, data, offs in B.blocks(batch.column("text")):
                 d, x = measure.sets(data, offs)
                 lists = pa.LargeListArray.from_arrays(
                     pa.array(np.searchsorted(d, np.arange(j - i + 1))), pa.array(x.view(np.int64)))
+                bits, n = parities(d, x, j - i), np.bincount(d, minlength=j - i)
+                # large sets fill the short bits; they have long ones too
+                large = np.flatnonzero(n > 64 * PARITIES)
+                kept = n[d] > 64 * PARITIES
+                long = parities(np.searchsorted(large, d[kept]), x[kept], len(large), WIDE).T
+                offs_wide = np.concatenate([[0], np.cumsum(np.where(n > 64 * PARITIES, WIDE, 0))]).astype(np.int32)
+                wide = pa.ListArray.from_arrays(pa.array(offs_wide), pa.array(np.ascontiguousarray(long).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), lists.cast(pa.list_(pa.int64()))], ["doc_id", "grams"])
+                    [batch.column("doc_id").slice(i, j - i), lists.cast(pa.list_(pa.int64())), wide, pa.array(n),
+                     *(pa.array(np.ascontiguousarray(b)) for b in bits)], ["doc_id", "grams", "wide", "n", *names])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>, wide array<long>, n long, " + ", ".join(f"{p} long" for p in names))
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(doc_id, h): each set's size and parities."""
+    return sets.select("doc_id", F.struct("n", *[f"p{k}" for k in range(PARITIES)]).alias("h"))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
+
+def _possible(x: str, y: str, measure: Measure):
+    """Whether the parities of two sets leave a link possible."""
+    apart = sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(PARITIES)), F.lit(0))
+    return apart <= _most(x, y, measure)
+
+
+def _most(x: str, y: str, measure: Measure):
+    """Most elements in which two linked sets differ."""
+    t = measure.threshold
+    return F.floor((F.col(f"{x}.n") + F.col(f"{y}.n")) * (t.denominator - t.numerator) / (t.denominator + t.numerator) + 1e-9)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, on the whole sets."""
+    """The pairs (a, b) whose sets reach the threshold, on the whole sets. Most
+    candidates are ruled out by their parities, so few take whole sets along."""
+    few = _sketches(sets)
+    pairs = (pairs.join(few.toDF("b", "y"), "b").join(few.toDF("a", "x"), "a").where(_possible("x", "y", measure))
+             .select("a", "b", F.least("x.n", "y.n").alias("n"), _most("x", "y", measure).alias("most")).distinct())
+    long = sets.where(F.size("wide") > 0).select("doc_id", "wide")
+    apart = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, k: total + k)
+    both_large = F.col("n") > 64 * PARITIES
+    pairs = checkpointed(pairs)
+    pairs = (pairs.where(both_large).join(long.toDF("b", "y"), "b").join(long.toDF("a", "x"), "a").where(apart <= F.col("most"))
+             .select("a", "b").unionByName(pairs.where(~both_large).select("a", "b")).distinct())
     left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
@@ -199,6 +249,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
             .where(den * both >= num * (F.size("ga") + F.size("gb") - both)).select("a", "b"))
 
 
+def _rest(left: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """Pairs of different components among the members of buckets that have several:
+    in buckets of few members those that the parities leave, and in larger ones those
+    that ``_unruled`` leaves."""
+    large = checkpointed(left.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED).select("sig"))
+    few = (left.join(large, "sig", "left_anti").select("sig", "node", "part", "own")
+           .join(_sketches(sets).toDF("node", "h"), "node"))
+    p, q = few.alias("p"), few.alias("q")
+    pairs = (p.join(q, (F.col("p.sig") == F.col("q.sig")) & F.expr("p.own and p.part != q.part and (not q.own or p.node < q.node)")
+                    & _possible("p.h", "q.h", measure)))
+    return _ends(pairs).unionByName(_unruled(checkpointed(left.join(large, "sig", "left_semi")), sets, measure)).distinct()
+
+
 def _unruled(left: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     """Pairs of different components in a bucket that may be linked.
 
@@ -251,9 +314,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
 
 
-def links(docs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame | None:
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame | None:
     """Links (a, b) between class representatives that connect all that can be
-    connected; None where no two sizes are near enough."""
+    connected; None where no two sizes are near enough. ``rows`` has the doc_ids.
+    What picks documents by id is written first: Spark then knows its size, and
+    where that is small it need not shuffle the texts."""
     sizes = classes.groupBy("n_shingles").agg(F.count("*").alias("docs")).where("n_shingles > 0")
     largest = sizes.agg(F.max("n_shingles")).first()[0] or 0
     edges = measure.bands(largest)
@@ -269,15 +334,19 @@ def links(docs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame |
         return None
     smallest = int(edges[int(np.argmax(plan[:, 0] > 0))])
     reps = classes.where(F.col("n_shingles") >= smallest).select(F.col("rep").alias("doc_id")).distinct()
-    rep_docs = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi")
-    rows = checkpointed(_signature_rows(rep_docs, measure, edges, plan))  # read twice below
-    members = checkpointed(shared(rows))
-    near = docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = checkpointed(_set_rows(near, measure))
+    # copies and short texts are mostly fewer than the others
+    others = checkpointed(rows.where("doc_id is not null").select("doc_id").distinct().join(reps, "doc_id", "left_anti"))
+    rep_docs = docs.select("doc_id", "text").join(others, "doc_id", "left_anti")
+    # made twice in there: keeping them takes more than making them
+    found = shared(_signature_rows(rep_docs, measure, edges, plan))
+    sizes = classes.select(F.col("rep").alias("node"), F.struct(F.col("n_shingles").cast("int").alias("n")).alias("hint")).distinct()
+    members = checkpointed(found.join(sizes, "node"))
+    nodes = checkpointed(members.select(F.col("node").alias("doc_id")).distinct())
+    sets = checkpointed(_set_rows(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), measure))
     num, den = measure.threshold.numerator, measure.threshold.denominator
     return connect(members, lambda pairs: _verified(pairs, sets, measure),
                    lambda x, y: den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"]),
-                   lambda left: _unruled(left, sets, measure))
+                   lambda left: _rest(left, sets, measure))
 
 
 def linked(docs: DataFrame, measure: Measure = Measure(), columns: list[str] | None = None) -> DataFrame:
@@ -287,7 +356,7 @@ def linked(docs: DataFrame, measure: Measure = Measure(), columns: list[str] | N
     rows = checkpointed(_summary(keyed, measure, columns))
     key = ["n_shingles", "s1", "s2"]
     classes = checkpointed(rows.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    found = links(keyed.where("doc_id is not null"), classes, measure)
+    found = links(keyed.where("doc_id is not null"), rows, classes, measure)
     if found is not None:
         parts = components(found)
         classes = (classes.join(parts, classes["rep"] == parts["node"], "left")

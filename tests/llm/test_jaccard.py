@@ -88,3 +88,22 @@ def test_allocation_follows_cost():
     few = jaccard.allocate(measure, edges, {band: (10, 12.0)})
     many = jaccard.allocate(measure, edges, {band: (10**9, 12.0)})
     assert few[band, 1] == 0 and many[band].tolist() != few[band].tolist()
+
+
+def test_parities_rule_out_no_link():
+    rnd = np.random.default_rng(4)
+    for n in (1, 5, 300, 3000):
+        a = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 5], rnd.integers(0, 1 << 63, n // 7).astype(np.uint64)])
+        d = np.concatenate([np.zeros(len(a), int), np.ones(len(b), int)])
+        bits = jaccard.parities(d, np.concatenate([a, b]), 3)
+        apart = sum(int(x[0] ^ x[1]).bit_count() if (x[0] ^ x[1]) >= 0 else int((x[0] ^ x[1]) & ((1 << 64) - 1)).bit_count() for x in bits.tolist())
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist())) and all(x[2] == 0 for x in bits.tolist())
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_five_words_and_four_fifths(docs_of, seed):
+    rows = _corpus(seed)
+    measure = jaccard.Measure(n=5, threshold=Fraction(4, 5))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(docs_of(rows), measure).collect()}
+    assert got == brute.jaccard(rows, 5, 80)
