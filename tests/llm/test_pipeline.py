@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from test_linededup import _lines_brute, simhashes
+from test_linededup import lines_brute
 
 import corpus_pipeline
 from demandlens.llm import quality
@@ -42,8 +42,8 @@ def _corpus():
             long = " ".join(body.split())
             rows.append((1000 + k, long))
             other = long.split()
-            other[5] = other[40] = "changed"  # a near copy, too far apart for one line's SimHash
-            body = " ".join(other)
+            other[5] = other[40] = "changed"  # a near copy, in other lines
+            body = "\n".join(" ".join(other[n:n + 30]) for n in range(0, len(other), 30))
         rows.append((k, body))
     rows += [(2000, None), (2001, ""), (None, text(9)), (7, dict(rows)[7])]
     labels = [(k, int("###" not in (t or "")), 0) for k, t in rows if k is not None]
@@ -82,9 +82,7 @@ def test_stages_and_run(llm, corpus, tmp_path):
                 assert (r in after) == (not base[-1] and trees.score(x)[0] >= trees.cut)
             assert not any("###" in r.text for r in after) and len(after) > 100
         elif name == "line_dedup":
-            df = llm.createDataFrame(before)
-            hashes = {line: h for (_, line), h in simhashes(df).items()}
-            gone = _lines_brute([(r.doc_id, r.text) for r in before], hashes)
+            gone = lines_brute([(r.doc_id, r.text) for r in before])
             expected = []
             for r in before:
                 text = r.text if r.doc_id is None else "\n".join(x for p, x in enumerate(r.text.split("\n")) if (r.doc_id, p) not in gone)
