@@ -17,11 +17,13 @@ from demandlens.operators.cleaning import semi_join_keys
 HASHES = 4
 #: Bits for each key (about 1.2 % false hits) and bits at most (8 MB).
 BITS_A_KEY, MOST_BITS = 10, 1 << 26
+#: Longs of the filter that are put together in one group.
+STRIP = 1 << 12
 
 
-def size_of(keys: int) -> int:
+def size_of(keys: int, most: int = MOST_BITS) -> int:
     """Bits of a filter for so many keys: a power of two within the bound."""
-    return min(MOST_BITS, max(1 << 10, 1 << (BITS_A_KEY * max(1, keys) - 1).bit_length()))
+    return min(most, max(1 << 10, 1 << (BITS_A_KEY * max(1, keys) - 1).bit_length()))
 
 
 def _positions(key: Column, bits: int) -> list[Column]:
@@ -34,7 +36,12 @@ def bloom_filter(keys: DataFrame, key: str, bits: int) -> Column:
     places = keys.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("p"))
     words = places.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
     whole = spark.range(bits // 64).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
-    return whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"])).scalar()
+
+    def inorder(place: str, value: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct(place, value))), lambda x: x[value])
+
+    strips = whole.groupBy(F.expr(f"id div {STRIP}").alias("strip")).agg(inorder("id", "b").alias("b"))
+    return strips.agg(F.flatten(inorder("strip", "b"))).scalar()
 
 
 def might_contain(bloom: Column, key: Column, bits: int) -> Column:

@@ -1,18 +1,20 @@
 """Extraction with a large taxonomy (X1, X2): an index of phrases instead of one
 regular expression for each.
 
-A text is cut into words once. A phrase is filed under one of its words, the longest
-one as it is rare; where that word stands in a text, the stretch that the phrase
-would take is joined by equality with the phrases. So the work follows the texts and
-their hits, not the number of phrases. The stretch goes from the phrase's first word
+A text is cut into words once. At each word, the stretches of the phrases' numbers
+of words are looked up in a Bloom filter of the phrases' cores (``keyset``), in the
+scan's own stage; what passes is joined by equality with the phrases. So the work
+follows the texts, what is shuffled follows their hits, and neither follows the
+number of phrases. A stretch goes from a phrase's first word
 to its last, separators included, so an equal one is a verified hit; what a phrase
 has before its first or after its last word ("C++", ".NET") is compared with the
 separators beside the stretch. The rows are those of ``extract.phrase_pattern`` run
 for every phrase: case-insensitive, whole phrase.
 
-The filing words are broadcast while they are few enough (``FILED``, counted first);
-beyond that, all stretches of the phrases' lengths are joined with the phrases by
-sort-merge, whose hot keys AQE splits. Long texts are cut into overlapping chunks,
+The phrases are broadcast while they are few enough (``FILED``, counted first);
+beyond that the join is by sort-merge, whose hot keys AQE splits. The filter is
+bounded (``MOST_BITS``): phrases beyond it only raise the share of false hits, which
+the join removes. Long texts are cut into overlapping chunks,
 so no array grows with a text.
 """
 
@@ -22,13 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.functions.text import NON_WORD, WORD_CHAR, fold
+from demandlens.operators import keyset
 from demandlens.operators.extract import extract_skills
 from demandlens.session import checkpointed
 
 #: Characters of a text that are cut off at once, and of these into words at once.
 CHUNK, PIECE = 1 << 17, 1 << 12
-#: Filing words that are broadcast at most, and their bytes.
+#: Phrases that are broadcast at most, and their bytes.
 FILED, FILED_BYTES = 500_000, 8 << 20
+#: Bits of the filter at most (32 MB).
+MOST_BITS = 1 << 28
+#: Words of a longer stretch that are looked up first.
+HEAD = 3
 
 _WORD = f"{WORD_CHAR}+"
 
@@ -39,17 +46,16 @@ def _cut(text: Column) -> tuple[Column, Column]:
 
 
 def phrase_index(phrases: DataFrame, phrase: str = "skill") -> DataFrame:
-    """(core, n, before, after, filed, place, skill) of the distinct phrases that
-    hold a word: n counts the words of the core, the one at ``place`` files it."""
+    """(core, n, head, before, after, skill) of the distinct phrases that hold a word:
+    n counts the words of the core, the head has the first ``HEAD`` ones."""
     folded = phrases.where(F.col(phrase).isNotNull()).select(F.col(phrase).alias("skill")).distinct()
     words, seps = _cut(F.col("_f"))
     cut = folded.withColumn("_f", fold(F.col("skill"))).select("skill", words.alias("w"), seps.alias("s")).where(F.size("w") > 0)
     pieces = F.transform(F.arrays_zip("w", F.slice("s", F.lit(2), F.size("w")).alias("s")), lambda x: F.concat(x["w"], x["s"]))
     inner, after = F.array_join(pieces, ""), F.element_at("s", -1)
-    longest = F.array_max(F.transform("w", lambda w, i: F.struct(F.length(w).alias("k"), (-i).alias("i"), w.alias("w"))))
+    begin, gap = F.array_join(F.slice(pieces, 1, HEAD), ""), F.element_at("s", F.least(F.size("w"), F.lit(HEAD)) + 1)
     return cut.select(F.substring(inner, F.lit(1), F.length(inner) - F.length(after)).alias("core"), F.size("w").alias("n"),
-                      F.element_at("s", 1).alias("before"), after.alias("after"), longest["w"].alias("filed"),
-                      (-longest["i"]).alias("place"), "skill")
+                      F.substring(begin, F.lit(1), F.length(begin) - F.length(gap)).alias("head"), F.element_at("s", 1).alias("before"), after.alias("after"), "skill")
 
 
 def _stretches(df: DataFrame, size: int, reach: int) -> DataFrame:
@@ -71,51 +77,36 @@ def _pieces(df: DataFrame, keys: list[str], text: str, reach: int) -> DataFrame:
     return _stretches(_stretches(folded, CHUNK, reach), PIECE, reach)
 
 
-def _filed_grams(pieces: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, core, before, after) of the stretches around the filing words."""
+def _grams(pieces: DataFrame, lengths: list[int], keys: list[str], bloom: Column, bits: int) -> DataFrame:
+    """(key, core, before, after) of the stretches of the given numbers of words whose
+    core passes the filter."""
     # tokens: words and separators by turns; a generator of one row keeps them as a
     # column, as an expression would run again for each use
-    tokens = pieces.select(*keys, "first", "last", F.explode(F.array(F.regexp_extract_all("part", F.lit(f"({_WORD}|{NON_WORD}+)")))).alias("u"))
-    files = index.groupBy("filed").agg(F.collect_set(F.struct("place", "n")).alias("shapes"))  # bounded by the phrases' lengths
-    at = tokens.select("*", F.posexplode("u").alias("i", "token")).join(F.broadcast(files), F.col("token") == F.col("filed"))
-    found = at.select(*keys, "first", "last", "u", "i", F.explode("shapes").alias("x"))
-    start = F.col("i") - 2 * F.col("x.place")
-    end = start + 2 * F.col("x.n") - 2
-    found = found.select(*keys, "first", "last", "u", start.alias("b"), end.alias("e"))
+    rows = pieces.select(*keys, "first", "last", F.explode(F.array(F.regexp_extract_all("part", F.lit(f"({_WORD}|{NON_WORD}+)")))).alias("u"))
+    rows = rows.select("*", F.when(F.get("u", F.lit(0)).rlike(f"^{WORD_CHAR}"), 0).otherwise(1).alias("odd"))
+    at = rows.select("*", F.posexplode("u").alias("i", "token")).where("i % 2 = odd")
+    i, size, end = F.col("i"), F.size("u"), F.col("i") + 2 * F.col("n") - 2
     # a word that the cut of a piece touches may be part of one
-    whole = ((F.col("b") > 0) | ((F.col("b") == 0) & F.col("first"))) & ((F.col("e") < F.size("u") - 1) | ((F.col("e") == F.size("u") - 1) & F.col("last")))
+    whole = ((i > 0) | F.col("first")) & ((end < size - 1) | ((end == size - 1) & F.col("last")))
+    core = F.concat_ws("", F.slice("u", i + 1, 2 * F.col("n") - 1))
+
+    # one row a length, and one a hash: expressions written out for every length, or for
+    # every look into the filter, make a method that the JVM leaves uncompiled
+    def passing(rows: DataFrame, words: list[int]) -> DataFrame:
+        rows = rows.select("*", F.explode(F.lit(words)).alias("n")).where(whole)
+        return rows.select("*", F.explode(F.array(F.xxhash64(core))).alias("h")).where(keyset.might_contain(bloom, F.col("h"), bits)).drop("h")
+
+    found = passing(at, sorted({min(n, HEAD) for n in lengths}))
+    longer = [n for n in lengths if n > HEAD]
+    if longer:  # what begins as a longer phrase does, and what has all of its words
+        own = [HEAD] if HEAD in lengths else []
+        full = found.select("*", F.explode(F.when(F.col("n") == HEAD, F.lit(own + longer)).otherwise(F.array("n"))).alias("m"))
+        full = full.drop("n").withColumnRenamed("m", "n").where(whole)
+        found = full.select("*", F.explode(F.array(F.xxhash64(core))).alias("h")).where(keyset.might_contain(bloom, F.col("h"), bits))
     # the text's edge counts as a character that is none of a word
-    before = F.concat(F.when(F.col("first") & (F.col("b") <= 1), "\n").otherwise(""), F.when(F.col("b") > 0, F.get("u", F.col("b") - 1)).otherwise(""))
-    after = F.concat(F.coalesce(F.get("u", F.col("e") + 1), F.lit("")), F.when(F.col("last") & (F.col("e") + 2 >= F.size("u")), "\n").otherwise(""))
-    return found.where(whole).select(*keys, F.concat_ws("", F.slice("u", F.col("b") + 1, F.col("e") - F.col("b") + 1)).alias("core"),
-                                     before.alias("_b"), after.alias("_a"))
-
-
-def _all_grams(pieces: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
-    """(key, core, before, after) of all stretches of the given numbers of words."""
-    words, seps = _cut(F.col("part"))
-    rows = pieces.select(*keys, "first", "last", F.inline(F.array(F.struct(words.alias("w"), seps.alias("s")))))
-    w, s = F.col("w"), F.col("s")
-
-    def edge(c: Column, there: Column) -> Column:
-        return F.when(there, c).otherwise("")
-
-    def kind(n: int) -> Column:
-        def gram(i: Column) -> Column:
-            pieces = [F.get(w, i)]
-            for j in range(1, n):
-                pieces += [F.get(s, i + j), F.get(w, i + j)]
-            return F.struct(F.concat(*pieces).alias("core"), F.concat(edge(F.lit("\n"), (i == 0) & F.col("first")), F.get(s, i)).alias("before"),
-                            F.concat(F.get(s, i + n), edge(F.lit("\n"), (i + n == F.size(w)) & F.col("last"))).alias("after"))
-
-        low = F.when(F.col("first") | (F.get(s, F.lit(0)) != ""), 0).otherwise(1)
-        high = F.size(w) - n - F.when(F.col("last") | (F.element_at(s, -1) != ""), 0).otherwise(1)
-        at = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, gram)
-
-    kinds = [kind(n) for n in lengths]
-    grams = rows.select(*keys, F.explode(F.concat(*kinds) if len(kinds) > 1 else kinds[0]).alias("g"))
-    return grams.select(*keys, F.col("g.core").alias("core"), F.col("g.before").alias("_b"), F.col("g.after").alias("_a"))
+    before = F.concat(F.when(F.col("first") & (i <= 1), "\n").otherwise(""), F.when(i > 0, F.get("u", i - 1)).otherwise(""))
+    after = F.concat(F.coalesce(F.get("u", end + 1), F.lit("")), F.when(F.col("last") & (end + 2 >= size), "\n").otherwise(""))
+    return found.select(*keys, core.alias("core"), before.alias("_b"), after.alias("_a"))
 
 
 def match_phrases(df: DataFrame, text: str, phrases: DataFrame, key: str | list[str], phrase: str = "skill") -> DataFrame:
@@ -125,17 +116,21 @@ def match_phrases(df: DataFrame, text: str, phrases: DataFrame, key: str | list[
     index = checkpointed(phrase_index(phrases, phrase))
     # a few numbers about the list, in one small job
     shape = index.agg(F.sort_array(F.collect_set("n")).alias("lengths"), F.max(F.length("skill")).alias("longest"),
-                      F.count_distinct("filed").alias("filed"), F.sum(F.octet_length("filed") + 40).alias("bytes")).first()
+                      F.count(F.lit(1)).alias("phrases"), F.sum(F.octet_length("core") + F.octet_length("skill") + 60).alias("bytes")).first()
     bare = [r.skill for r in phrases.where(~F.col(phrase).rlike(WORD_CHAR) & (F.col(phrase) != "")).select(F.col(phrase).alias("skill")).distinct().collect()]
     found = []
     if shape.lengths:
         pieces = _pieces(df, keys, text, shape.longest)
-        few = shape.filed <= FILED and shape.bytes <= FILED_BYTES
-        grams = _filed_grams(pieces, index, keys) if few else _all_grams(pieces, shape.lengths, keys)
+        bits = keyset.size_of(shape.phrases, MOST_BITS)
+        listed = index.select(F.explode(F.array_distinct(F.array(F.xxhash64("core"), F.xxhash64("head")))).alias("h"))
+        bloom = keyset.bloom_filter(listed, "h", bits)
+        grams = _grams(pieces, shape.lengths, keys, bloom, bits)
+        few = shape.phrases <= FILED and shape.bytes <= FILED_BYTES
+        listed = index.select("core", "before", "after", "skill")
         # beside a decoration there is the text's edge or one more character, none of a word
         clear = (((F.col("before") == "") | (F.endswith("_b", F.col("before")) & (F.length("_b") > F.length("before"))))
                  & ((F.col("after") == "") | (F.startswith("_a", F.col("after")) & (F.length("_a") > F.length("after")))))
-        hits = grams.join(index.select("core", "before", "after", "skill"), "core").where(clear)
+        hits = grams.join(F.broadcast(listed) if few else listed, "core").where(clear)
         found.append(hits.select(*keys, "skill"))
     if bare:  # phrases without a word, such as "++": few by nature
         plain = df.select(*keys, F.explode(extract_skills(F.col(text), bare)).alias("skill"))

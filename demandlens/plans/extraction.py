@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from demandlens.operators import extract, phrases
 from demandlens.plans.registry import query
+from demandlens.session import checkpointed
 from demandlens.sources.tables import table
 
 #: The beginning of a line: three words with what stands between and behind them.
@@ -41,6 +42,6 @@ near AS MATERIALIZED (SELECT doc_id, skill FROM pair JOIN d USING (doc_id) JOIN
 SELECT doc_id, skill, category FROM near JOIN d USING (doc_id) JOIN tax USING (skill) WHERE regexp_matches(text, pattern)""")
 def q_large_taxonomy_extract(spark, sf_dir):
     """Every phrase of a taxonomy that grows with the tables, in every document."""
-    taxonomy = line_taxonomy(spark, sf_dir)
+    taxonomy = checkpointed(line_taxonomy(spark, sf_dir))  # read by the index and for the categories
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return extract.attach_category(phrases.match_phrases(docs, "text", taxonomy, "doc_id"), taxonomy)

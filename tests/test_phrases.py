@@ -85,3 +85,24 @@ def test_folded_search_equals_the_regular_expressions(spark):
         hits = [F.when(F.col("text").rlike(extract.phrase_pattern(t, word)), F.lit(t)) for t in TAXONOMY]
         both = df.select(F.array_compact(F.array(*hits)).alias("a"), extract.extract_skills(F.col("text"), TAXONOMY, word).alias("b"))
         assert both.where("a != b").collect() == [] and both.where("size(a) > 2").count() > 100
+
+
+def test_only_hits_leave_the_scan(spark, form):
+    """Stretches that are no phrase don't reach the join, whatever the phrases' number."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(50)) + " quick brown fox jumps over") for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    tax = spark.createDataFrame([(f"skill {k} of many others",) for k in range(2000)] + [("brown fox",), ("quick brown fox jumps",)], "skill string")
+    seen = []
+    plain = phrases._grams
+
+    def watched(*args):
+        grams = plain(*args)
+        seen.append(grams.count())
+        return grams
+
+    phrases._grams = watched
+    try:
+        assert len(phrases.match_phrases(df, "text", tax, "id").collect()) == 80
+    finally:
+        phrases._grams = plain
+    assert 80 <= seen[0] <= 400  # of some 6,500
