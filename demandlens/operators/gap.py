@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.functions.text import strip_text
 from demandlens.operators.trends import PRIMARY_TREND_SKILLS, TREND_TOP_N, trending_score
 
 # Trivial inputs, alias map, names kept lower-case, the
@@ -59,11 +60,15 @@ PROMPT_CONCISE = ("My current skills are: {user}.\nTop trending skills are: {tre
 PRIORITY_FALLBACK = "the most relevant trending skills"
 PRIORITY_N = 5
 
-_EDGE = r"^\s+|\s+$"
-
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
+    return strip_text(c)
+
+
+def _once(c: Column) -> Column:
+    """A generator of one row: its column is computed once a row, where an expression
+    would be put into whatever reads it, and run again for each array element there."""
+    return F.explode(F.array(c))
 
 
 def _in_list(c: Column, values: list[str]) -> Column:
@@ -74,7 +79,11 @@ def valid_phrase(token: Column) -> Column:
     """A token is a skill phrase when it is not trivial, has >= 2
     characters and a letter, and -- beyond 5 words -- names a known keyword."""
     t = _strip(token)
-    low = F.lower(t)
+    return _valid(t, F.lower(t))
+
+
+def _valid(t: Column, low: Column) -> Column:
+    """``valid_phrase`` of a stripped token and its lower-case form."""
     words = F.size(F.split(t, r"\s+"))
     return ((t != "") & ~_in_list(low, TRIVIAL_INPUTS) & (F.length(t) >= 2)
             & t.rlike("[a-zA-Z]") & ~_in_list(low, EVERYTHING_PHRASES)
@@ -84,8 +93,16 @@ def valid_phrase(token: Column) -> Column:
 def canonical_skill(token: Column) -> Column:
     """Collapse inner whitespace; alias map; known names lower-cased;
     anything else keeps its case."""
-    cleaned = F.regexp_replace(_strip(token), r"\s+", " ")
-    low = F.lower(cleaned)
+    cleaned = _spaced(token)
+    return _canonical(cleaned, F.lower(cleaned))
+
+
+def _spaced(token: Column) -> Column:
+    return F.regexp_replace(_strip(token), r"\s+", " ")
+
+
+def _canonical(cleaned: Column, low: Column) -> Column:
+    """``canonical_skill`` of a token with single spaces and its lower-case form."""
     pairs = []
     for k, v in COMMON_SKILL_ALIASES.items():
         pairs += [F.lit(k), F.lit(v)]
@@ -99,17 +116,23 @@ def parse_profiles(profiles: DataFrame, text: str = "skills_text") -> DataFrame:
     Adds ``valid`` (bool), ``message`` (null when valid) and ``user_skills``
     (canonical skills, first occurrence order, duplicates removed).
     """
-    raw = _strip(F.col(text))
-    tokens = F.filter(F.transform(F.split(raw, ","), lambda x: _strip(x)), lambda x: x != "")
-    kept = F.filter(tokens, lambda x: valid_phrase(x))
-    cleaned = F.array_distinct(F.transform(kept, lambda x: canonical_skill(x)))
+    def both(x: Column) -> Column:  # a lambda computes again whatever it names twice
+        return F.struct(x.alias("t"), F.lower(x).alias("low"))
+
+    rows = profiles.select("*", _once(_strip(F.col(text))).alias("_raw"))
+    split = F.filter(F.transform(F.split("_raw", ","), lambda x: _strip(x)), lambda x: x != "")
+    rows = rows.select("*", _once(F.transform(split, both)).alias("_tokens"))
+    kept = F.transform(F.filter("_tokens", lambda x: _valid(x["t"], x["low"])), lambda x: _spaced(x["t"]))
+    unique = F.array_distinct(F.transform(F.transform(kept, both), lambda x: _canonical(x["t"], x["low"])))
+    rows = rows.select("*", _once(unique).alias("_cleaned"))
+    raw, tokens, cleaned = F.col("_raw"), F.col("_tokens"), F.col("_cleaned")
     trivial = (raw == "") | _in_list(F.lower(raw), TRIVIAL_INPUTS) | (F.size(tokens) == 0)
     message = (F.when(F.col(text).isNull(), F.lit(MSG_EMPTY))
                 .when(trivial, F.lit(MSG_TRIVIAL))
                 .when(F.size(cleaned) == 0, F.lit(MSG_NONE_VALID)))
-    return (profiles.withColumn("message", message)
-                    .withColumn("valid", F.col("message").isNull())
-                    .withColumn("user_skills", F.when(F.col("valid"), cleaned)))
+    return (rows.withColumn("message", message)
+                .withColumn("valid", F.col("message").isNull())
+                .withColumn("user_skills", F.when(F.col("valid"), cleaned)).drop("_raw", "_tokens", "_cleaned"))
 
 
 def trending_list(df: DataFrame, top_n: int = TREND_TOP_N, weight: str | None = None) -> Column:
@@ -125,10 +148,9 @@ def trending_list(df: DataFrame, top_n: int = TREND_TOP_N, weight: str | None =
     return ranked.agg(F.when(F.size(listed) > 0, listed).otherwise(fallback)).scalar()
 
 
-def _match(a: Column, b: Column) -> Column:
+def _match(x: Column, y: Column) -> Column:
     """Names under 3 characters must be equal, longer ones may also
-    contain one another (case-insensitive)."""
-    x, y = F.lower(_strip(a)), F.lower(_strip(b))
+    contain one another. Both are stripped, lower-case names."""
     short = (F.length(x) < 3) | (F.length(y) < 3)
     return F.when(short, x == y).otherwise((x == y) | x.contains(y) | y.contains(x))
 
@@ -145,8 +167,10 @@ def skill_gap(parsed: DataFrame, trending: Column) -> DataFrame:
     """
     # a subquery may not sit inside a higher-order function: hold it in a column
     df = parsed.withColumn("_trending", trending)
-    matched = F.filter(F.col("user_skills"), lambda u: F.exists(F.col("_trending"), lambda t: _match(u, t)))
-    df = df.withColumn("matched_skills", matched)
+    df = df.select("*", _once(F.transform("_trending", lambda t: F.lower(_strip(t)))).alias("_names"))
+    named = F.transform("user_skills", lambda u: F.struct(u.alias("u"), F.lower(_strip(u)).alias("x")))
+    matched = F.transform(F.filter(named, lambda k: F.exists(F.col("_names"), lambda y: _match(k["x"], y))), lambda k: k["u"])
+    df = df.select("*", _once(matched).alias("matched_skills")).drop("_names")
     # a filter, not array_except: a name that the list holds twice stays twice
     df = df.withColumn("_lower", F.transform(F.col("matched_skills"), lambda m: F.lower(m)))
     missing = F.when(F.col("_lower").isNotNull(),  # an invalid profile has no lists

@@ -73,3 +73,15 @@ def test_rule_insight_highest_lift(spark):
                                   "antecedents string, consequents string, confidence double, lift double")
     r = gap.rule_insight(g, rules).first()
     assert r.insight == "Association insight: Jobs requiring NLP also require AWS with 39% confidence."
+
+
+def test_profiles_are_cut_once(spark):
+    """Texts are split once a row, and no pattern runs on tokens for each trending name."""
+    df = spark.createDataFrame([(1, " SQL , sql,\tmachine  learning\n, n/a"), (2, None), (3, " R  , a b \u0085")], "user_id long, skills_text string")
+    parsed = gap.parse_profiles(df)
+    trending = spark.range(1).select(F.array(F.lit("sql"), F.lit("machine learning"), F.lit("excel")).alias("t")).agg(F.first("t")).scalar()
+    out = gap.skill_gap(parsed, trending)
+    rows = {r.user_id: r for r in out.collect()}
+    assert rows[1].matched_skills == rows[1].user_skills and rows[1].missing_skills == ["excel"] and rows[2].missing_skills is None
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("xists(") == 1
