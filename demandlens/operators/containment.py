@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.functions.text import normalize_text
 from demandlens.session import checkpointed
 
 Q = 3
@@ -19,7 +20,7 @@ Q = 3
 
 def clean(name: Column) -> Column:
     """A name as it is compared: stripped, lower-case."""
-    return F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
+    return normalize_text(name)
 
 
 def _grams(name: Column) -> Column:
@@ -55,6 +56,6 @@ def matches(left: DataFrame, right: DataFrame) -> DataFrame:
 def matched_skills(profiles: DataFrame, names: DataFrame, key: str = "user_id", skills: str = "user_skills") -> DataFrame:
     """G5/J8 against a list of any length: (key, skill, name) of the user's skills
     that match a name. Distinct skills are matched once, however many users have them."""
-    listed = profiles.select(key, F.explode(skills).alias("skill")).withColumn("_clean", clean(F.col("skill")))
+    listed = checkpointed(profiles.select(key, F.explode(skills).alias("skill")).withColumn("_clean", clean(F.col("skill"))))
     found = matches(listed.select("_clean"), names)
     return listed.join(found, F.col("_clean") == F.col("left")).select(key, "skill", F.col("right").alias("name"))
