@@ -12,6 +12,7 @@ from demandlens.functions.text import (
     coerce_int,
     digit_year,
     normalize_text,
+    strip_text,
 )
 from demandlens.session import checkpointed
 
@@ -81,8 +82,8 @@ def repair_job_ids(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal",
     reduced to one row per key on the jobs side, so the (large) skills side
     is shuffled for a single join instead of one per lookup.
     """
-    s = skills.withColumn("job_id", F.regexp_replace(F.col("job_id").cast("string"), r"^\s+|\s+$", ""))
-    j = jobs.select(F.regexp_replace(F.col("job_id").cast("string"), r"^\s+|\s+$", "").alias("job_id"),
+    s = skills.withColumn("job_id", strip_text(F.col("job_id").cast("string")))
+    j = jobs.select(strip_text(F.col("job_id").cast("string")).alias("job_id"),
                     F.col(ordinal).alias("_ord")).filter(F.col("job_id").isNotNull())
     # both keys of a job from one read of the jobs table
     keys = F.explode(F.array(
@@ -92,7 +93,7 @@ def repair_job_ids(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal",
               .groupBy("_key")
               .agg(F.max("_exact").alias("_exact_hit"),
                    F.max_by(F.col("_job"), F.when(~F.col("_exact"), F.col("_ord"))).alias("_prefix_job")))
-    out = s.join(lookup, s["job_id"] == lookup["_key"], "left")
+    out = s.join(lookup.hint("shuffle_hash"), s["job_id"] == lookup["_key"], "left")
     method = (F.when(F.col("_prefix_job").isNotNull(), F.lit("prefix11"))
                .when(F.col("_exact_hit"), F.lit("exact"))
                .otherwise(F.lit("unmatched")))
@@ -114,13 +115,15 @@ def clean_primary(skills: DataFrame, jobs: DataFrame, ordinal: str = "ordinal",
     """
     repaired = repair_job_ids(skills, jobs, ordinal)
     jobs_clean = first_by_key(
-        jobs.withColumn("job_id", F.regexp_replace(F.col("job_id").cast("string"), r"^\s+|\s+$", "")),
+        jobs.withColumn("job_id", strip_text(F.col("job_id").cast("string"))),
         "job_id", ordinal)
-    skills_dedup = repaired.dropDuplicates(["job_id", "skill", "skill_category", "skill_level"])
+    # what the repair adds follows from job_id; as keys these need no sort, as strings to be kept would
+    skills_dedup = repaired.dropDuplicates(["job_id", "skill", "skill_category", "skill_level", "job_id_normalized", "job_match_method"])
     jobs_clean = normalize_columns(jobs_clean, PRIMARY_JOB_TEXT_COLS)
     skills_dedup = normalize_columns(skills_dedup, PRIMARY_SKILL_TEXT_COLS)
     jobs_clean = coerce_numeric(jobs_clean).withColumnRenamed("job_id", "job_id_job").drop(ordinal)
-    merged = skills_dedup.join(jobs_clean, skills_dedup["job_id_normalized"] == jobs_clean["job_id_job"], "left")
+    # one row a key on the jobs' side: hashed by partition, the many skills need no sort
+    merged = skills_dedup.join(jobs_clean.hint("shuffle_hash"), skills_dedup["job_id_normalized"] == jobs_clean["job_id_job"], "left")
     merged = (merged.withColumn("source", F.lit(source))
                     .withColumn("job_id", F.col("job_id_normalized")).drop("job_id_normalized"))
     merged = fill_not_specified(merged, ["experience_level", "country"])

@@ -140,3 +140,16 @@ def test_clean_postings_contract_cases(spark):
     assert ml.experience_level == "Not Specified" and ml.company_location == "fr" and ml.month == "2023-11"
     report = cleaning.unparsed_date_share(df).first()
     assert report.rows == 4 and report.unparsed == 1 and report.passed is False  # 25 % > 20 %
+
+
+def test_clean_primary_sorts_no_skills(spark):
+    """The skills are neither de-duplicated by sorting nor sorted for the joins."""
+    jobs = spark.createDataFrame([("00000000001x", 1, "T", "2020"), ("00000000001y", 2, None, "x")], "job_id string, ordinal long, job_title string, posted_year string")
+    skills = spark.createDataFrame([("E00000000001", " A ", "c", None), ("E00000000001", " A ", "c", None), ("00000000001x", "b\t", None, "l"), (None, "n", "c", "l")],
+                                   "job_id string, skill string, skill_category string, skill_level string")
+    jobs = jobs.withColumns({c: F.lit(None).cast("string") for c in ("experience_level", "country")})
+    out = cleaning.clean_primary(skills, jobs)
+    assert sorted((r.job_id or "", r.skill, r.job_match_method, r.posted_year_label) for r in out.collect()) == [
+        ("", "n", "unmatched", "Not Specified"), ("00000000001x", "b", "exact", "2020"), ("00000000001y", "a", "prefix11", "Not Specified")]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
