@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import blocks as B
+from . import repeats
 from .buckets import connect, shared
 from .components import components
 
@@ -139,10 +140,17 @@ def signatures(d: np.ndarray, x: np.ndarray, target: np.ndarray, plan: np.ndarra
     return np.concatenate([doc[~skip], d[one]]), np.concatenate([sig[~skip], sig_del])
 
 
+#: Columns of a set's size and parities.
+SKETCH = ["n_shingles", *(f"p{k}" for k in range(PARITIES)), "wide"]
+
+
 def _summary(docs: DataFrame, measure: Measure, columns: list[str]) -> DataFrame:
-    """``columns`` with n_shingles, and two sums s1, s2 that stand for the set."""
+    """``columns`` with n_shingles, two sums s1, s2 that stand for the set, its
+    parities p0, p1, ... and, of a large one, ``wide``."""
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_shingles long, s1 long, s2 long"
+    names = [*columns, "s1", "s2", *SKETCH]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", s1 long, s2 long, n_shingles long, " + ", ".join(
+        f"p{k} long" for k in range(PARITIES)) + ", wide array<long>"
 
     def run(batches):
         for batch in batches:
@@ -152,31 +160,38 @@ def _summary(docs: DataFrame, measure: Measure, columns: list[str]) -> DataFrame
                 with np.errstate(over="ignore"):
                     np.add.at(sums[0], d, x)
                     np.add.at(sums[1], d, B.mix(x ^ U64(0x5851F42D4C957F2D)))
+                bits, n = parities(d, x, j - i), np.bincount(d, minlength=j - i)
+                # large sets fill the short bits; they have long ones too
+                large = np.flatnonzero(n > 64 * PARITIES)
+                kept = n[d] > 64 * PARITIES
+                long = parities(np.searchsorted(large, d[kept]), x[kept], len(large), WIDE).T
+                offs_wide = np.concatenate([[0], np.cumsum(np.where(n > 64 * PARITIES, WIDE, 0))]).astype(np.int32)
+                wide = pa.ListArray.from_arrays(pa.array(offs_wide), pa.array(np.ascontiguousarray(long).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(i, j - i) for c in columns] + [pa.array(np.bincount(d, minlength=j - i))]
-                    + [pa.array(s.view(np.int64)) for s in sums], names=[*columns, "n_shingles", "s1", "s2"])
+                    [batch.column(c).slice(i, j - i) for c in columns] + [pa.array(s.view(np.int64)) for s in sums]
+                    + [pa.array(n)] + [pa.array(np.ascontiguousarray(b)) for b in bits] + [wide], names=names)
 
     needed = columns if "text" in columns else [*columns, "text"]
     return docs.select(*needed).mapInArrow(run, schema)
 
 
-def _signature_rows(docs: DataFrame, measure: Measure, edges: np.ndarray, plan: np.ndarray) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for i, j, data, offs in B.blocks(batch.column("text")):
-                d, x = measure.sets(data, offs)
-                n = np.bincount(d, minlength=j - i)
-                own = np.searchsorted(edges, n, "right") - 1
-                ids = np.asarray(batch.column("doc_id").slice(i, j - i), np.int64)
-                for low in (0, 1):
-                    doc, sig = signatures(d, x, own - low, plan)
-                    for k in range(0, len(doc), 1 << 17):
-                        at = doc[k:k + (1 << 17)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(sig[k:k + (1 << 17)].view(np.int64)), pa.array(ids[at]), pa.array(np.full(len(at), low == 0))],
-                            names=["sig", "node", "own"])
+def _signature_rows(docs: DataFrame, measure: Measure, edges: np.ndarray, plan: np.ndarray, expected: int) -> DataFrame:
+    """(sig, node, own) of the signatures that several documents may have."""
+    def make(batch):
+        for i, j, data, offs in B.blocks(batch.column("text")):
+            d, x = measure.sets(data, offs)
+            n = np.bincount(d, minlength=j - i)
+            own = np.searchsorted(edges, n, "right") - 1
+            ids = np.asarray(batch.column("doc_id").slice(i, j - i), np.int64)
+            for low in (0, 1):
+                doc, sig = signatures(d, x, own - low, plan)
+                for k in range(0, len(doc), 1 << 17):
+                    at = doc[k:k + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(sig[k:k + (1 << 17)].view(np.int64)), pa.array(ids[at]), pa.array(np.full(len(at), low == 0))],
+                        names=["sig", "node", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long, own boolean")
+    return repeats.of_repeats(docs.select("doc_id", "text"), make, "sig long, node long, own boolean", expected)
 
 
 def parities(d: np.ndarray, x: np.ndarray, docs: int, longs: int = PARITIES) -> np.ndarray:
@@ -190,31 +205,36 @@ def parities(d: np.ndarray, x: np.ndarray, docs: int, longs: int = PARITIES) ->
 
 
 def _set_rows(docs: DataFrame, measure: Measure) -> DataFrame:
-    names = [f"p{k}" for k in range(PARITIES)]
-
+    """(doc_id, grams) of the documents."""
     def run(batches):
         for batch in batches:
             for i, j, data, offs in B.blocks(batch.column("text")):
                 d, x = measure.sets(data, offs)
                 lists = pa.LargeListArray.from_arrays(
                     pa.array(np.searchsorted(d, np.arange(j - i + 1))), pa.array(x.view(np.int64)))
-                bits, n = parities(d, x, j - i), np.bincount(d, minlength=j - i)
-                # large sets fill the short bits; they have long ones too
-                large = np.flatnonzero(n > 64 * PARITIES)
-                kept = n[d] > 64 * PARITIES
-                long = parities(np.searchsorted(large, d[kept]), x[kept], len(large), WIDE).T
-                offs_wide = np.concatenate([[0], np.cumsum(np.where(n > 64 * PARITIES, WIDE, 0))]).astype(np.int32)
-                wide = pa.ListArray.from_arrays(pa.array(offs_wide), pa.array(np.ascontiguousarray(long).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), lists.cast(pa.list_(pa.int64())), wide, pa.array(n),
-                     *(pa.array(np.ascontiguousarray(b)) for b in bits)], ["doc_id", "grams", "wide", "n", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists.cast(pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>, wide array<long>, n long, " + ", ".join(f"{p} long" for p in names))
+@dataclass(frozen=True)
+class Sets:
+    """The documents' sets: small ``sketches`` (doc_id and ``SKETCH``) of all, whole sets
+    made from ``docs`` (doc_id, text) for those that are asked for."""
+
+    sketches: DataFrame
+    docs: DataFrame
+    measure: Measure
 
+    def small(self, node: str, h: str) -> DataFrame:
+        """(node, h): each set's size and parities."""
+        return self.sketches.select(F.col("doc_id").alias(node), F.struct(
+            F.col("n_shingles").alias("n"), *[f"p{k}" for k in range(PARITIES)]).alias(h))
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """(doc_id, h): each set's size and parities."""
-    return sets.select("doc_id", F.struct("n", *[f"p{k}" for k in range(PARITIES)]).alias("h"))
+    def whole(self, nodes: DataFrame) -> DataFrame:
+        """(doc_id, grams) of the documents in the first column of ``nodes``."""
+        wanted = checkpointed(nodes.toDF("doc_id").distinct())
+        return checkpointed(_set_rows(self.docs.join(wanted, "doc_id", "left_semi"), self.measure))
 
 
 def _possible(x: str, y: str, measure: Measure):
@@ -229,40 +249,41 @@ def _most(x: str, y: str, measure: Measure):
     return F.floor((F.col(f"{x}.n") + F.col(f"{y}.n")) * (t.denominator - t.numerator) / (t.denominator + t.numerator) + 1e-9)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+def _verified(pairs: DataFrame, sets: Sets, measure: Measure) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, on the whole sets. Most
-    candidates are ruled out by their parities, so few take whole sets along."""
-    few = _sketches(sets)
-    pairs = (pairs.join(few.toDF("b", "y"), "b").join(few.toDF("a", "x"), "a").where(_possible("x", "y", measure))
+    candidates are ruled out by their parities, so whole sets are made of few."""
+    pairs = (pairs.join(sets.small("b", "y"), "b").join(sets.small("a", "x"), "a").where(_possible("x", "y", measure))
              .select("a", "b", F.least("x.n", "y.n").alias("n"), _most("x", "y", measure).alias("most")).distinct())
-    long = sets.where(F.size("wide") > 0).select("doc_id", "wide")
+    long = sets.sketches.where(F.size("wide") > 0).select("doc_id", "wide")
     apart = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, k: total + k)
     both_large = F.col("n") > 64 * PARITIES
     pairs = checkpointed(pairs)
     pairs = (pairs.where(both_large).join(long.toDF("b", "y"), "b").join(long.toDF("a", "x"), "a").where(apart <= F.col("most"))
              .select("a", "b").unionByName(pairs.where(~both_large).select("a", "b")).distinct())
-    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
+    pairs = checkpointed(pairs)
+    whole = sets.whole(pairs.select(F.explode(F.array("a", "b"))))
+    left = whole.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
+    right = whole.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     num, den = measure.threshold.numerator, measure.threshold.denominator
     return (pairs.join(right, "b").join(left, "a")
             .where(den * both >= num * (F.size("ga") + F.size("gb") - both)).select("a", "b"))
 
 
-def _rest(left: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+def _rest(left: DataFrame, sets: Sets, measure: Measure) -> DataFrame:
     """Pairs of different components among the members of buckets that have several:
     in buckets of few members those that the parities leave, and in larger ones those
     that ``_unruled`` leaves."""
     large = checkpointed(left.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED).select("sig"))
     few = (left.join(large, "sig", "left_anti").select("sig", "node", "part", "own")
-           .join(_sketches(sets).toDF("node", "h"), "node"))
+           .join(sets.small("node", "h"), "node"))
     p, q = few.alias("p"), few.alias("q")
     pairs = (p.join(q, (F.col("p.sig") == F.col("q.sig")) & F.expr("p.own and p.part != q.part and (not q.own or p.node < q.node)")
                     & _possible("p.h", "q.h", measure)))
     return _ends(pairs).unionByName(_unruled(checkpointed(left.join(large, "sig", "left_semi")), sets, measure)).distinct()
 
 
-def _unruled(left: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+def _unruled(left: DataFrame, sets: Sets, measure: Measure) -> DataFrame:
     """Pairs of different components in a bucket that may be linked.
 
     Members are compared by what tells them from their bucket's rep: D(x), the
@@ -276,8 +297,9 @@ def _unruled(left: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     residual is bounded by its document's and the rep's own size."""
     home = left.where("node = rep").select("rep", F.col("part").alias("home")).distinct()
     rows = left.select("rep", "node", "part", F.col("hint.n").alias("n")).distinct().join(home, "rep")
-    x = sets.select(F.col("doc_id").alias("node"), F.col("grams").alias("gx"))
-    p = sets.select(F.col("doc_id").alias("rep"), F.col("grams").alias("gp"))
+    whole = sets.whole(rows.select(F.explode(F.array("rep", "node"))))
+    x = whole.select(F.col("doc_id").alias("node"), F.col("grams").alias("gx"))
+    p = whole.select(F.col("doc_id").alias("rep"), F.col("grams").alias("gp"))
     rows = (rows.where("node != rep").join(x, "node").join(p, "rep")
             .select("rep", "node", "part", "n", (F.col("part") != F.col("home")).alias("out"),
                     F.explode(F.concat(F.array_except("gx", "gp"), F.array_except("gp", "gx"))).alias("e")))
@@ -316,7 +338,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame | None:
     """Links (a, b) between class representatives that connect all that can be
-    connected; None where no two sizes are near enough. ``rows`` has the doc_ids.
+    connected; None where no two sizes are near enough. ``rows`` has the doc_ids
+    and sketches.
     What picks documents by id is written first: Spark then knows its size, and
     where that is small it need not shuffle the texts."""
     sizes = classes.groupBy("n_shingles").agg(F.count("*").alias("docs")).where("n_shingles > 0")
@@ -337,12 +360,11 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, measure: Measure
     # copies and short texts are mostly fewer than the others
     others = checkpointed(rows.where("doc_id is not null").select("doc_id").distinct().join(reps, "doc_id", "left_anti"))
     rep_docs = docs.select("doc_id", "text").join(others, "doc_id", "left_anti")
-    # made twice in there: keeping them takes more than making them
-    found = shared(_signature_rows(rep_docs, measure, edges, plan))
+    expected = sum(n * int(plan[b, 0] + plan[max(b - 1, 0), 0]) * 2 for b, (n, _) in by_band.items())
+    found = shared(_signature_rows(rep_docs, measure, edges, plan, expected))
     sizes = classes.select(F.col("rep").alias("node"), F.struct(F.col("n_shingles").cast("int").alias("n")).alias("hint")).distinct()
     members = checkpointed(found.join(sizes, "node"))
-    nodes = checkpointed(members.select(F.col("node").alias("doc_id")).distinct())
-    sets = checkpointed(_set_rows(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), measure))
+    sets = Sets(rows.where("doc_id is not null").select("doc_id", *SKETCH), docs.select("doc_id", "text"), measure)
     num, den = measure.threshold.numerator, measure.threshold.denominator
     return connect(members, lambda pairs: _verified(pairs, sets, measure),
                    lambda x, y: den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"]),
