@@ -19,6 +19,8 @@ HASHES = 4
 BITS_A_KEY, MOST_BITS = 10, 1 << 26
 #: Longs of the filter that are put together in one group.
 STRIP = 1 << 12
+#: Longs of a strip of a filter that is a table.
+WIDTH = 64
 
 
 def size_of(keys: int, most: int = MOST_BITS) -> int:
@@ -52,6 +54,35 @@ def might_contain(bloom: Column, key: Column, bits: int) -> Column:
     return hit
 
 
+def strips_of(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """The filter of the keys as a table (strip, b), ``WIDTH`` longs a row; strips without
+    keys are left out. For a filter that is large: a value that expressions refer to goes
+    into every stage's code once for each reference, on the driver too."""
+    one = keys.select(_strip(F.col(key), bits).alias("strip"), F.explode(F.array(*_inside(F.col(key)))).alias("p"))
+    words = one.groupBy("strip", F.expr("p div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    held = words.groupBy("strip").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+    return held.select("strip", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("b"))
+
+
+def _strip(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(max(1, bits // (64 * WIDTH)))).alias("strip")
+
+
+def _inside(key: Column) -> list[Column]:
+    h = F.xxhash64(key, F.lit(1))
+    return [F.pmod(F.shiftright(h, 12 * j), F.lit(64 * WIDTH)) for j in range(HASHES)]
+
+
+def passing(df: DataFrame, key: str, strips: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key can be among those of ``strips_of``. The strips are broadcast:
+    their size is bounded by ``bits``, and an executor holds them once."""
+    hit = F.lit(True)
+    for p in _inside(F.col(key)):
+        hit = hit & (F.getbit(F.element_at("__b", (F.shiftright(p, 6) + 1).cast("int")), (p % 64).cast("int")) == 1)
+    rows = df.select("*", _strip(F.col(key), bits).alias("__strip"))
+    return rows.join(F.broadcast(strips.toDF("__strip", "__b")), "__strip").where(hit).drop("__strip", "__b")
+
+
 def filtered(df: DataFrame, keys: DataFrame, key: str, bits: int | None = None) -> DataFrame:
     """The rows whose key passes the filter: all that match, and a few more."""
     known = keys.select(key).where(F.col(key).isNotNull()).distinct()

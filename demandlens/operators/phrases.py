@@ -13,7 +13,7 @@ for every phrase: case-insensitive, whole phrase.
 
 The phrases are broadcast while they are few enough (``FILED``, counted first);
 beyond that the join is by sort-merge, whose hot keys AQE splits. The filter is
-bounded (``MOST_BITS``): phrases beyond it only raise the share of false hits, which
+bounded (``MOST_BITS``) and broadcast as a table: phrases beyond it only raise the share of false hits, which
 the join removes. Long texts are cut into overlapping chunks,
 so no array grows with a text.
 """
@@ -77,7 +77,7 @@ def _pieces(df: DataFrame, keys: list[str], text: str, reach: int) -> DataFrame:
     return _stretches(_stretches(folded, CHUNK, reach), PIECE, reach)
 
 
-def _grams(pieces: DataFrame, lengths: list[int], keys: list[str], bloom: Column, bits: int) -> DataFrame:
+def _grams(pieces: DataFrame, lengths: list[int], keys: list[str], bloom: DataFrame, bits: int) -> DataFrame:
     """(key, core, before, after) of the stretches of the given numbers of words whose
     core passes the filter."""
     # tokens: words and separators by turns; a generator of one row keeps them as a
@@ -94,7 +94,7 @@ def _grams(pieces: DataFrame, lengths: list[int], keys: list[str], bloom: Column
     # every look into the filter, make a method that the JVM leaves uncompiled
     def passing(rows: DataFrame, words: list[int]) -> DataFrame:
         rows = rows.select("*", F.explode(F.lit(words)).alias("n")).where(whole)
-        return rows.select("*", F.explode(F.array(F.xxhash64(core))).alias("h")).where(keyset.might_contain(bloom, F.col("h"), bits)).drop("h")
+        return keyset.passing(rows.select("*", F.explode(F.array(F.xxhash64(core))).alias("h")), "h", bloom, bits).drop("h")
 
     found = passing(at, sorted({min(n, HEAD) for n in lengths}))
     longer = [n for n in lengths if n > HEAD]
@@ -102,7 +102,7 @@ def _grams(pieces: DataFrame, lengths: list[int], keys: list[str], bloom: Column
         own = [HEAD] if HEAD in lengths else []
         full = found.select("*", F.explode(F.when(F.col("n") == HEAD, F.lit(own + longer)).otherwise(F.array("n"))).alias("m"))
         full = full.drop("n").withColumnRenamed("m", "n").where(whole)
-        found = full.select("*", F.explode(F.array(F.xxhash64(core))).alias("h")).where(keyset.might_contain(bloom, F.col("h"), bits))
+        found = keyset.passing(full.select("*", F.explode(F.array(F.xxhash64(core))).alias("h")), "h", bloom, bits)
     # the text's edge counts as a character that is none of a word
     before = F.concat(F.when(F.col("first") & (i <= 1), "\n").otherwise(""), F.when(i > 0, F.get("u", i - 1)).otherwise(""))
     after = F.concat(F.coalesce(F.get("u", end + 1), F.lit("")), F.when(F.col("last") & (end + 2 >= size), "\n").otherwise(""))
@@ -123,7 +123,7 @@ def match_phrases(df: DataFrame, text: str, phrases: DataFrame, key: str | list[
         pieces = _pieces(df, keys, text, shape.longest)
         bits = keyset.size_of(shape.phrases, MOST_BITS)
         listed = index.select(F.explode(F.array_distinct(F.array(F.xxhash64("core"), F.xxhash64("head")))).alias("h"))
-        bloom = keyset.bloom_filter(listed, "h", bits)
+        bloom = checkpointed(keyset.strips_of(listed, "h", bits))
         grams = _grams(pieces, shape.lengths, keys, bloom, bits)
         few = shape.phrases <= FILED and shape.bytes <= FILED_BYTES
         listed = index.select("core", "before", "after", "skill")

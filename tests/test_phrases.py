@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from demandlens.operators import extract, phrases
+from demandlens.operators import extract, keyset, phrases
 
 TAXONOMY = ["Python", "SQL", "R", "C", "C++", "C#", ".NET", "Machine Learning", "machine  learning", "CI/CD", "A/B Testing", "scikit-learn",
             "All rights reserved.", "ÉTÉ", "straße", "ΟΔΟΣ", "µ-law", "Kelvin", "İstanbul", "++", "日本", "a b c d", "x_y", "(R)", "-", "9", "the", "the the"]
@@ -106,3 +106,24 @@ def test_only_hits_leave_the_scan(spark, form):
     finally:
         phrases._grams = plain
     assert 80 <= seen[0] <= 400  # of some 6,500
+
+
+def test_filter_is_no_value_of_the_plan(spark, form):
+    """The filter reaches the tasks as a broadcast table, not as a value that every stage's
+    code holds several times, on the driver too."""
+    df = spark.createDataFrame([(1, "python and sql x1 y")], "id long, text string")
+    tax = spark.createDataFrame([(f"x{k} y",) for k in range(3000)], "skill string")
+    found = phrases.match_phrases(df, "text", tax, "id")
+    plan = found._jdf.queryExecution().toString().lower()
+    assert "scalar-subquery" not in plan and "subquery#" not in plan and "__strip" in plan
+    assert [tuple(r) for r in found.collect()] == [(1, "x1 y")]
+
+
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 14, 1 << 20])
+def test_strips_let_all_keys_pass(spark, bits):
+    keys = spark.range(0, 1000).selectExpr("id * 7 as h")
+    rows = spark.range(0, 20000).selectExpr("id as h", "id % 3 as other")
+    got = {r.h for r in keyset.passing(rows, "h", keyset.strips_of(keys, "h", bits), bits).collect()}
+    assert {k * 7 for k in range(1000)} <= got
+    assert bits < 1 << 14 or len(got) < 1000 + 0.05 * 20000
+    assert keyset.passing(rows, "h", keyset.strips_of(keys.limit(0), "h", bits), bits).count() == 0
